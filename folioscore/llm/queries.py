@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, sharding, url_filter
+from . import bpe, merkle, packing, quality, sharding, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_quality": quality.op2_quality,
+        "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_sharding": sharding.op5_sharding,
         "op8_packing": packing.op8_packing,
+        "op9_merkle": merkle.op9_merkle,
     }
 
 
