@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, packing, quality, sharding, simhash, url_filter
+from . import bpe, licenses, merkle, packing, pii, quality, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +16,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_sharding": sharding.op5_sharding,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_pii": pii.op7_pii,
         "op8_packing": packing.op8_packing,
         "op9_merkle": merkle.op9_merkle,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op10_licenses": licenses.SQL}
