@@ -1,14 +1,15 @@
 """Toxicity grades by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(t_k - w.x): ordered thresholds t_1 < t_2 < ... share one weight vector w over sparse
-features (which selected words a text has). The model gives P(grade >= 1), and the expected severity, the sum of
+features. A feature is a word or a word start (of PREFIXES letters: inflected and compound words share it), its value
+log(1 + occurrences in a hundred words). The model gives P(grade >= 1), and the expected severity, the sum of
 P(grade >= k).
 
 Training uses a sample of at most SAMPLE labelled rows a class (documented bound, taken in the order of a hash
-of doc_id, copies counting once). Labels tell toxic from not; the grades 1 to 3 of toxic texts come from the number of different
-words they have that the labels mark as toxic. Words enter the model if their share among toxic texts
-differs from that among the others by MIN_Z standard errors, so a long text gathers no noise. At most
-MAX_WORDS words enter: the model is bounded and travels with the tasks. Scoring reads every whole text.
+of doc_id, copies counting once). Labels tell toxic from not; the grades 1 to 3 of toxic texts are thirds by the
+mass of features that mark toxic texts. Features enter the model if their mean among toxic texts differs from
+that among the others by MIN_Z standard errors, so a long text gathers no noise; that is computed by Spark. At most
+MAX_FEATURES enter: the model is bounded and travels with the tasks. Scoring reads every whole text.
 
 Edge cases: null and empty texts have no features and the severity of the base rate. Without labelled rows of both
 classes nothing is toxic (severity 0). A doc_id with several labels counts as toxic if one of them says so; null
@@ -27,19 +28,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, map_batches
+from .shared import discard, documents, map_batches, stored
 
 SAMPLE = 4_000
-MAX_WORDS = 4_096
+MAX_FEATURES = 4_096
 MIN_Z = 5.0
 MIN_TEXTS = 5
 GRADES = 3
 LIMIT = 0.5
+PREFIXES = (4, 6)
 _WORD = re.compile(r"\w+")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def counted(text: str | None) -> tuple[Counter, int]:
+    """Lower-cased words and their number, 50 at least, so that one word in a tiny text isn't a flood."""
+    words = _WORD.findall((text or "").lower())
+    return Counter(words), max(len(words), 50)
+
+
+def features(text: str | None) -> dict[str, float]:
+    """All features: ``w:word``, ``4:start``, ``6:start``."""
+    words, n = counted(text)
+    out: Counter = Counter()
+    for w, c in words.items():
+        out["w:" + w] += c
+        for k in PREFIXES:
+            if len(w) > k:
+                out[f"{k}:{w[:k]}"] += c
+    return {f: float(np.log1p(100 * c / n)) for f, c in out.items()}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -51,12 +67,29 @@ class OrdinalModel:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
 
+    @functools.cached_property
+    def _tables(self) -> tuple[dict, list[tuple[int, dict]]]:
+        def of(kind: str) -> dict[str, str]:
+            return {f[2:]: f for f in self.weights if f.startswith(kind)}
+
+        return of("w:"), [(k, of(f"{k}:")) for k in PREFIXES]
+
+    def values(self, text: str | None) -> dict[str, float]:
+        """The model's own features of a text."""
+        words, n = counted(text)
+        whole, starts = self._tables
+        out: Counter = Counter()
+        for w in words.keys() & whole.keys():
+            out[whole[w]] += words[w]
+        for k, table in starts:
+            for w, c in words.items():
+                if len(w) > k and (f := table.get(w[:k])):
+                    out[f] += c
+        return {f: float(np.log1p(100 * c / n)) for f, c in sorted(out.items())}  # sorted: the same sums everywhere
+
     def above(self, text: str | None) -> list[float]:
         """P(grade >= k) for k = 1, 2, ..."""
-        return self.of(words_of(text))
-
-    def of(self, words: set[str]) -> list[float]:
-        score = sum(self.weights[w] for w in sorted(words & self.weights.keys()))  # sorted: the same sum everywhere
+        score = sum(self.weights[f] * x for f, x in self.values(text).items())
         return [float(_sigmoid(np.float64(score - t))) for t in self.thresholds]
 
 
@@ -64,71 +97,50 @@ class OrdinalModel:
 EMPTY = OrdinalModel({}, (40.0,) * GRADES)
 
 
-def select_words(texts: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Words whose share differs between the classes, and the z of the difference (of two proportions)."""
-    n1 = int(toxic.sum())
-    n0 = len(toxic) - n1
-    c1, c0 = Counter(), Counter()
-    for words, t in zip(texts, toxic.tolist(), strict=True):
-        (c1 if t else c0).update(words)
-    out = {}
-    for w in c1.keys() | c0.keys():
-        a, b = c1[w], c0[w]
-        if a + b >= MIN_TEXTS:
-            p = (a + b) / (n1 + n0)
-            z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) if p < 1 else 0.0
-            if abs(z) >= MIN_Z:
-                out[w] = float(z)
-    return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:MAX_WORDS])
-
-
-def grades(texts: list[set[str]], toxic: np.ndarray, z: dict[str, float]) -> np.ndarray:
-    """0 for texts that aren't toxic; else 1 to GRADES, one more for every two words that mark toxic texts."""
-    marks = {w for w, x in z.items() if x > 0}
-    n = np.fromiter((len(words & marks) for words in texts), np.int64, len(texts))
-    return np.where(toxic, 1 + np.minimum(GRADES - 1, np.maximum(n - 1, 0) // 2), 0)
-
-
-def fit(texts: list[set[str]], toxic: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> OrdinalModel:
-    """Maximum likelihood with a ridge, by accelerated gradient descent on the mean loss."""
-    if not toxic.any() or toxic.all():
+def fit(rows: list[dict[str, float]], toxic: np.ndarray, marks: dict[str, float], ridge: float = 1e-3, steps: int = 600) -> OrdinalModel:
+    """Maximum likelihood with a ridge, by accelerated gradient descent on the mean loss.
+
+    marks: the model's features, with the sign that tells which class they mark.
+    """
+    if not len(toxic) or not toxic.any() or toxic.all() or not marks:
         return EMPTY
-    z = select_words(texts, toxic)
-    y = grades(texts, toxic, z)
-    column = {w: i for i, w in enumerate(z)}
-    rows = [[column[w] for w in sorted(words & z.keys())] for words in texts]
+    column = {f: i for i, f in enumerate(marks)}
     count = np.fromiter(map(len, rows), np.int64, len(rows))
-    at = np.fromiter((i for r in rows for i in r), np.int64, int(count.sum()))
+    at = np.fromiter((column[f] for r in rows for f in r), np.int64, int(count.sum()))
+    x = np.fromiter((v for r in rows for v in r.values()), np.float64, len(at))
     row = np.repeat(np.arange(len(rows)), count)
-    n, m = len(rows), len(z)
-    levels = int(y.max())
-    share = np.array([np.clip((y >= k).mean(), 1e-4, 1 - 1e-4) for k in range(1, levels + 1)])
-    theta = np.maximum.accumulate(np.log((1 - share) / share) + 1e-3 * np.arange(levels))
-    lift = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])  # thresholds stay ordered
-    state = np.concatenate([np.zeros(m), lift])
-    # Half the largest row and column sums bound the curvature.
-    rate = 1.0 / (0.5 * max(1.0, count.max(initial=1)) * max(1.0, np.bincount(at, minlength=max(m, 1)).max() / n) + 0.5)
+    n, m = len(rows), len(column)
+    sign = np.fromiter((z > 0 for z in marks.values()), bool, m)
+    mass = np.bincount(row, weights=x * sign[at], minlength=n)
+    edges = np.quantile(mass[toxic], np.arange(1, GRADES) / GRADES)
+    y = np.where(toxic, 1 + np.searchsorted(edges, mass, side="right"), 0)
+    share = np.array([np.clip((y >= k).mean(), 1e-4, 1 - 1e-4) for k in range(1, GRADES + 1)])
+    theta = np.maximum.accumulate(np.log((1 - share) / share) + 1e-3 * np.arange(GRADES))
+    state = np.concatenate([np.zeros(m), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])  # thresholds stay ordered
+    v = np.ones(m)
+    for _ in range(30):  # the largest eigenvalue of the features' second moments bounds the curvature
+        v /= np.linalg.norm(v)
+        v = np.bincount(at, weights=x * np.bincount(row, weights=x * v[at], minlength=n)[row], minlength=m) / n + 1e-12
+    rate = 1.0 / (0.5 * (np.linalg.norm(v) + 2.0))
 
     def unpack(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return s[:m], np.cumsum(np.concatenate([s[m : m + 1], np.exp(s[m + 1 :])]))
 
     def slope(s: np.ndarray) -> np.ndarray:
         w, t = unpack(s)
-        score = np.bincount(row, weights=w[at], minlength=n)
-        low = np.concatenate([[-np.inf], t])[y]  # t_y below the grade, t_{y+1} above
+        score = np.bincount(row, weights=x * w[at], minlength=n)
+        low = np.concatenate([[-np.inf], t])[y]  # the thresholds below and above the grade
         high = np.concatenate([t, [np.inf]])[y]
-        a, b = _sigmoid(high - score), _sigmoid(low - score)
-        mass = np.maximum(a - b, 1e-12)
-        da, db = a * (1 - a) / mass, b * (1 - b) / mass
-        g_score = (da - db) / n
-        g_t = np.zeros(levels + 1)
-        np.add.at(g_t, y, -da / n)
-        g_low = np.zeros(levels + 1)
-        np.add.at(g_low, y, db / n)
-        own = g_t[:levels] + g_low[1:]  # t_k is the upper edge of grade k - 1 and the lower one of grade k
+        a, b = _sigmoid(high - score), np.where(y > 0, _sigmoid(low - score), 0.0)
+        a = np.where(y < GRADES, a, 1.0)
+        p = np.maximum(a - b, 1e-12)
+        da, db = a * (1 - a) / p, b * (1 - b) / p
+        up = np.bincount(y, weights=da / n, minlength=GRADES + 1)
+        down = np.bincount(y, weights=db / n, minlength=GRADES + 1)
+        own = down[1:] - up[:GRADES]  # t_k is above grade k - 1 and below grade k
         tail = np.cumsum(own[::-1])[::-1]
-        g_lift = np.concatenate([tail[:1], tail[1:] * np.exp(s[m + 1 :])])
-        return np.concatenate([np.bincount(at, weights=g_score[row], minlength=m) + ridge * w, g_lift])
+        g_theta = np.concatenate([tail[:1], tail[1:] * np.exp(s[m + 1 :])])
+        return np.concatenate([np.bincount(at, weights=x * ((da - db) / n)[row], minlength=m) + ridge * w, g_theta])
 
     ahead, before = state.copy(), state
     for k in range(steps):
@@ -136,11 +148,37 @@ def fit(texts: list[set[str]], toxic: np.ndarray, ridge: float = 1e-3, steps: in
         ahead = now + k / (k + 3) * (now - before)
         before = now
     w, t = unpack(before)
-    return OrdinalModel({x: float(w[i]) for x, i in column.items()}, (*map(float, t), *[40.0] * (GRADES - levels)))
+    return OrdinalModel({f: float(w[i]) for f, i in column.items()}, tuple(map(float, t)))
+
+
+def _exploded(batch: pa.RecordBatch) -> dict:
+    out: dict[str, list] = {"toxic": [], "feature": [], "x": []}
+    for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        own = features(text)
+        out["toxic"] += [toxic] * len(own)
+        out["feature"] += own
+        out["x"] += own.values()
+    return out
+
+
+def _rows(batch: pa.RecordBatch, model: OrdinalModel) -> dict:
+    own = [model.values(t) for t in batch.column(1).to_pylist()]
+    return {"toxic": batch.column(0), "feature": [list(o) for o in own], "x": [list(o.values()) for o in own]}
+
+
+def marking_features(sample: DataFrame, n_toxic: int, n_other: int) -> dict[str, float]:
+    """Features whose mean differs between the classes, with the z of the difference."""
+    each = map_batches(sample, _exploded, "toxic boolean, feature string, x double")
 
+    def total(of, toxic: bool):
+        return F.sum(F.when(F.col("toxic") == toxic, of).otherwise(0.0))
 
-def _tokens(batch: pa.RecordBatch) -> dict:
-    return {"doc_id": batch.column(0), "toxic": batch.column(1), "words": [sorted(words_of(t)) for t in batch.column(2).to_pylist()]}
+    sums = each.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), total(F.col("x"), True).alias("a"), total(F.col("x"), False).alias("b"), F.sum(F.col("x") * F.col("x")).alias("q")).where(F.col("n") >= MIN_TEXTS)
+    n = n_toxic + n_other
+    spread = F.col("q") / n - F.pow((F.col("a") + F.col("b")) / n, F.lit(2))
+    z = (F.col("a") / n_toxic - F.col("b") / n_other) / F.sqrt(F.greatest(spread, F.lit(1e-9)) * (1 / n_toxic + 1 / n_other))
+    top = sums.select("feature", z.alias("z")).where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES)
+    return {r[0]: r[1] for r in top.collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
@@ -149,10 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [one.where(f"toxic {c} 0").orderBy(*order).limit(sample) for c in ("<>", "=")]
     # 2 x sample rows at most, so the labels may be broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).alias("toxic"), "text")
-    table = map_batches(chosen, _tokens, "doc_id long, toxic boolean, words array<string>").toArrow()
-    rows = sorted({(tuple(w), t) for w, t in zip(table["words"].to_pylist(), table["toxic"].to_pylist(), strict=True)})
-    return fit([set(w) for w, _ in rows], np.array([t for _, t in rows], bool))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select((F.col("toxic") != 0).alias("toxic"), "text").dropDuplicates()
+    rows, path = stored(chosen, "labelled")
+    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    model = EMPTY
+    if len(sizes) == 2:
+        marks = marking_features(rows, sizes[True], sizes[False])
+        table = map_batches(rows, functools.partial(_rows, model=OrdinalModel(marks, ())), "toxic boolean, feature array<string>, x array<double>").toArrow()
+        own = sorted((tuple(f), tuple(x), t) for f, x, t in zip(table["feature"].to_pylist(), table["x"].to_pylist(), table["toxic"].to_pylist(), strict=True))
+        model = fit([dict(zip(f, x, strict=True)) for f, x, _ in own], np.array([t for *_, t in own], bool), marks)
+    discard(docs.sparkSession, path)
+    return model
 
 
 def _grade(batch: pa.RecordBatch, model: OrdinalModel, limit: float) -> dict:
