@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 BINS = 10
 
 
@@ -39,21 +41,23 @@ def calibration_error(outcomes: Column, confidences: Column, bins: int = BINS) -
     """Sum over bins of share x |accuracy - mean confidence|."""
     pairs = F.transform(_pairs(outcomes, confidences), lambda p: F.struct(bin_of(p.c, bins).alias("b"), p.o.cast("double").alias("o"), p.c.alias("c")))
 
-    def gap(b: Column) -> Column:
-        own = F.filter(pairs, lambda p: p.b == b)
-        return F.abs(F.aggregate(own, F.lit(0.0), lambda s, p: s + (p.o - p.c)))
+    def gap(own: Column, b: Column) -> Column:
+        return F.abs(F.aggregate(F.filter(own, lambda p: p.b == b), F.lit(0.0), lambda s, p: s + (p.o - p.c)))
 
-    total = F.aggregate(F.array(*map(F.lit, range(bins))), F.lit(0.0), lambda s, b: s + gap(b))
+    total = let(pairs, lambda own: F.aggregate(F.array(*map(F.lit, range(bins))), F.lit(0.0), lambda s, b: s + gap(own, b)))
     return F.when(_valid(outcomes, confidences), total / F.size(outcomes))
 
 
 def error_auroc(outcomes: Column, confidences: Column) -> Column:
     """Probability that an error (outcome 0) has a higher 1 - confidence than a success, ties half."""
     pairs = F.transform(_pairs(outcomes, confidences), lambda p: F.struct(p.o.alias("o"), (1.0 - p.c).alias("u")))
-    errors, rights = F.filter(pairs, lambda p: p.o == 0), F.filter(pairs, lambda p: p.o != 0)
 
-    def wins(e: Column) -> Column:
-        return F.aggregate(rights, F.lit(0.0), lambda s, r: s + F.when(e.u > r.u, 1.0).when(e.u == r.u, 0.5).otherwise(0.0))
+    def share(errors: Column, rights: Column) -> Column:
+        def wins(e: Column) -> Column:
+            return F.aggregate(rights, F.lit(0.0), lambda s, r: s + F.when(e.u > r.u, 1.0).when(e.u == r.u, 0.5).otherwise(0.0))
+
+        total = F.aggregate(errors, F.lit(0.0), lambda s, e: s + wins(e))
+        return F.when((F.size(errors) > 0) & (F.size(rights) > 0), total / (F.size(errors) * F.size(rights)))
 
-    total = F.aggregate(errors, F.lit(0.0), lambda s, e: s + wins(e))
-    return F.when((F.size(errors) > 0) & (F.size(rights) > 0), total / (F.size(errors) * F.size(rights)))
+    sides = F.struct(F.filter(pairs, lambda p: p.o == 0).alias("e"), F.filter(pairs, lambda p: p.o != 0).alias("r"))
+    return let(sides, lambda s: share(s.e, s.r))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import iou
+from .geometry import let, iou
 
 #: Fixed value: names of amounts, between separators.
 FINANCIAL = r"(?i)(^|[_.\-\[\]])(ht|tva|ttc|quantity|unit_price|line_total)([_.\-\[\]]|$)"
@@ -23,19 +23,23 @@ def aligned(reference: Column, hypothesis: Column) -> Column:
     """For each reference field (r), the hypothesis field (h, or null) of its name and occurrence."""
 
     def numbered(fields: Column) -> Column:
-        names = F.transform(fields, lambda f: f.field_name)
-        return F.transform(fields, lambda f, i: F.struct(f.alias("f"), F.size(F.filter(F.slice(names, F.lit(1), i), lambda n: n == f.field_name)).alias("k")))
+        return let(F.transform(fields, lambda f: f.field_name), lambda names: F.transform(fields, lambda f, i: F.struct(f.alias("f"), F.size(F.filter(F.slice(names, F.lit(1), i), lambda n: n == f.field_name)).alias("k"))))
 
-    others = numbered(hypothesis)
-    return F.transform(
-        numbered(reference),
-        lambda r: F.struct(r.f.alias("r"), F.get(F.filter(others, lambda h: (h.f.field_name == r.f.field_name) & (h.k == r.k)), 0).f.alias("h")),
-    )
+    def paired(others: Column) -> Column:
+        return F.transform(
+            numbered(reference),
+            lambda r: F.struct(r.f.alias("r"), F.get(F.filter(others, lambda h: (h.f.field_name == r.f.field_name) & (h.k == r.k)), 0).f.alias("h")),
+        )
+
+    return let(numbered(hypothesis), paired)
 
 
 def field_scores(reference: Column, hypothesis: Column) -> Column:
     """precision, recall, f1, exact_accuracy, coordinate_iou, hallucination_rate, financial_accuracy and counts."""
-    pairs = aligned(reference, hypothesis)
+    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), lambda s: let(aligned(s.r, s.h), lambda pairs: _scores(s.r, s.h, pairs)))
+
+
+def _scores(reference: Column, hypothesis: Column, pairs: Column) -> Column:
     exact = F.filter(pairs, lambda p: F.coalesce(p.r.normalized_value.eqNullSafe(p.h.normalized_value) & p.h.isNotNull(), F.lit(False)))
     n_ref, n_hyp = F.size(reference), F.size(hypothesis)
     n_exact = F.size(exact)

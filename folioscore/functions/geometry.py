@@ -32,6 +32,10 @@ def greedy_match(reference: Column, hypothesis: Column, minimum_iou: float = MIN
     """
     if not 0 <= minimum_iou <= 1:
         raise ValueError("minimum_iou must be within 0 and 1")
+    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), lambda s: _greedy(s.r, s.h, minimum_iou))
+
+
+def _greedy(reference: Column, hypothesis: Column, minimum_iou: float) -> Column:
     places = F.when(F.size(hypothesis) > 0, F.sequence(F.lit(0), F.size(hypothesis) - 1)).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<h: int, iou: double>>").alias("out"))
 
@@ -105,7 +109,9 @@ def equation_page_score(reference: Column, hypothesis: Column) -> Column:
     """Equation blocks as structs with bbox and ``text``, their normalised text."""
 
     def score(r: Column, h: Column) -> Column:
-        other = F.get(hypothesis, h).text
+        return let(F.get(hypothesis, h).text, lambda other: one(r, other))
+
+    def one(r: Column, other: Column) -> Column:
         return 1 - F.levenshtein(r.text, other) / F.greatest(F.char_length(r.text), F.char_length(other), F.lit(1))
 
     return _mean_over(greedy_match(boxes(reference), boxes(hypothesis)), reference, score)
@@ -119,19 +125,39 @@ def diagram_counts(reference: Column, hypothesis: Column) -> Column:
 
 def in_reading_order(items: Column) -> Column:
     """Sorted by reading_order_index, ties in array order. Only keys are sorted: items may hold what has no order."""
-    keys = F.array_sort(F.transform(items, lambda b, i: F.struct(b.reading_order_index.alias("k"), i.alias("i"))))
-    return F.transform(keys, lambda k: F.get(items, k.i))
+
+    def sort(own: Column) -> Column:
+        keys = F.array_sort(F.transform(own, lambda b, i: F.struct(b.reading_order_index.alias("k"), i.alias("i"))))
+        return F.transform(keys, lambda k: F.get(own, k.i))
+
+    return let(items, sort)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: lambda functions would compute a captured expression at every use."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
 def comparable_orders(reference: Column, hypothesis: Column) -> Column:
     """(reference, hypothesis): block ids in reading order, hypothesis ids replaced by those of their partners."""
-    r, h = in_reading_order(reference), in_reading_order(hypothesis)
-    matches = greedy_match(boxes(r), boxes(h))
-    pairs = F.filter(F.transform(F.arrays_zip(r.alias("r"), matches.alias("m")), lambda p: F.struct(F.get(h, p.m.h).block_id.alias("h"), p.r.block_id.alias("r"))), lambda p: p.h.isNotNull())
-    # of equal hypothesis ids the last match counts, hence from behind
-    partner = lambda b: F.get(F.filter(F.reverse(pairs), lambda p: p.h == b.block_id), 0).r
-    mapped = F.transform(h, lambda b, i: F.coalesce(partner(b), F.concat(F.lit("unmatched:"), i.cast("string"))))
-    return F.struct(F.transform(r, lambda b: b.block_id).alias("reference"), mapped.alias("hypothesis"))
+
+    def lean(items: Column) -> Column:
+        return F.transform(items, lambda b: F.struct(b.block_id.alias("id"), b.bbox.alias("bbox")))
+
+    def paired(s: Column) -> Column:
+        """The partners' ids, (h, r), the last match first: of equal hypothesis ids it counts."""
+        def pairs(m: Column) -> Column:
+            ids = F.transform(m, lambda x, i: F.struct(F.get(s.h, x.h).id.alias("h"), F.get(s.r, i).id.alias("r")))
+            return F.reverse(F.filter(ids, lambda p: p.h.isNotNull()))
+
+        return let(greedy_match(boxes(s.r), boxes(s.h)), pairs)
+
+    def mapped(s: Column, pairs: Column) -> Column:
+        own = F.transform(s.h, lambda b, i: F.coalesce(F.get(F.filter(pairs, lambda p: p.h == b.id), 0).r, F.concat(F.lit("unmatched:"), i.cast("string"))))
+        return F.struct(F.transform(s.r, lambda b: b.id).alias("reference"), own.alias("hypothesis"))
+
+    sides = F.struct(lean(in_reading_order(reference)).alias("r"), lean(in_reading_order(hypothesis)).alias("h"))
+    return let(sides, lambda s: let(paired(s), lambda pairs: mapped(s, pairs)))
 
 
 def reading_order_score(orders: Column) -> Column:
