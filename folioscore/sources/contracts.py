@@ -268,8 +268,9 @@ def key_violations(raw: DataFrame, kind: str) -> DataFrame:
     no_object = raw.where(F.json_object_keys("value").isNull() | ~F.ltrim("value").startswith("{"))
     # every quoted name before a colon; open maps (details, runtime, hardware, metrics) are cut out first
     closed = F.regexp_replace("value", r'"(details|runtime|hardware|metrics)"\s*:\s*\{[^{}]*(\{[^{}]*\}[^{}]*)*\}', '"$1": null')
-    strings = F.regexp_replace(closed, r'"(?:[^"\\]|\\.)*"(?!\s*:)', '""')  # values may hold colons
-    names = F.regexp_extract_all(strings, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1)
+    # all strings from the left, each with the colon behind it if it is a name; values may hold colons and quotes
+    strings = F.regexp_extract_all(closed, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'), F.lit(0))
+    names = F.transform(F.filter(strings, lambda x: F.endswith(x, F.lit(":"))), lambda x: F.regexp_extract(x, r'^"(.*)"\s*:$', 1))
     unknown = raw.select("path", F.explode(F.array_except(F.array_distinct(names), F.array(*map(F.lit, known)))).alias("k"))
     return _violations(no_object, "object", kind, F.col("path"), "not a JSON object").unionByName(_violations(unknown, "closed", kind, F.col("k"), "unknown key"))
 
