@@ -143,24 +143,36 @@ def findings(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return map_batches(rows, functools.partial(_find, near=near), schema)
 
 
-def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough contexts."""
-    near = found.where(F.size("context") > 0).select(F.explode("context").alias("c")).select("c.entity", "c.term", "c.window").distinct()
-    pairs, _ = stored(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_contexts), "pairs")
+def _disclosure(both, of_term, of_entity, n):
+    """PMI / IC; 0 where an entity tells nothing."""
+    content = F.log2(F.greatest(n / of_entity, F.lit(1.0)))
+    return F.when(content > 0, 1 + F.log2(both / F.greatest(of_term, both)) / content).otherwise(0.0)
+
+
+def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """(entity, term, disclosure) of the pairs with enough contexts that disclose at least generalise_at.
+
+    A term's documents are at least those with it near an entity. Pairs that stay below the limit even so are
+    dropped before the corpus is counted: that keeps common words out of the join, and changes no result.
+    """
+    n = F.lit(float(docs.agg(F.count(F.lit(1))).first()[0]))
+    all_near = found.where(F.size("context") > 0).select("doc_id", "_h", F.explode("context").alias("c"))
+    near = all_near.select("c.entity", "c.term", "c.window").distinct()
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_contexts)
     entities = near.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    wanted, _ = stored(pairs.select("term").distinct(), "terms")
+    least = all_near.select("doc_id", "_h", "c.term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    may = pairs.join(entities, "entity").join(least, "term").where(_disclosure(F.col("both"), F.col("least"), F.col("of_entity"), n) >= generalise_at)
+    kept, _ = stored(may.drop("least"), "pairs")
+    wanted, _ = stored(kept.select("term").distinct(), "terms")
     tokens = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     of_term = tokens.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    known = pairs.join(entities, "entity").join(of_term, "term", "left").withColumn("n", F.lit(n.first()[0]).cast("double"))
-    share = F.col("both") / F.greatest(F.coalesce("of_term", F.lit(0)), F.col("both"))
-    content = F.log2(F.greatest(F.col("n") / F.col("of_entity"), F.lit(1.0)))
-    return known.select("entity", "term", F.when(content > 0, 1 + F.log2(share) / content).otherwise(0.0).alias("disclosure"))
+    told = kept.join(of_term, "term", "left").withColumn("disclosure", _disclosure(F.col("both"), F.coalesce("of_term", F.lit(0)), F.col("of_entity"), n))
+    return told.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
 
 
 def term_spans(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(doc_id, _h, terms): the spans of each document's disclosing terms, and how much they disclose."""
-    told, _ = stored(disclosures(found, docs, min_contexts).where(F.col("disclosure") >= generalise_at), "disclosures")
+    told, _ = stored(disclosures(found, docs, min_contexts, generalise_at), "disclosures")
     placed = found.where(F.size("context") > 0).select("doc_id", "_h", F.explode("context").alias("c")).select("doc_id", "_h", "c.*")
     hits = placed.join(told, ["entity", "term"]).groupBy("doc_id", "_h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     return hits.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure")).alias("terms"))
