@@ -6,7 +6,6 @@ is sanitised; what remains is packed into sequences. Its result can't be said in
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -49,10 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{shared.shared_dir(spark)}/tables/{spark.sparkContext.applicationId}-pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{place}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        point = shared.mark()
+        after, path = shared.stored(stage(spark, docs, sf_dir), f"pipeline-{name}", point)
+        if before:
+            shared.discard(spark, before)
+        docs, before = after, path
     return docs

@@ -88,11 +88,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_checkpoint_dir
 
 
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it again: its lineage ends, any executor can read it."""
+def stored(df: DataFrame, tag: str, since: int | None = None) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it again: its lineage ends, any executor can read it.
+
+    since: a mark; the tables written since then, which only df reads, are deleted afterwards.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if since is not None:
+        discard_since(spark, since)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -105,6 +110,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def mark() -> int:
+    """A point in time for discard_since."""
+    return len(_written)
+
+
+def discard_since(spark: SparkSession, point: int) -> None:
+    """Delete all tables written since a mark: once the result that reads them has been written itself."""
+    discard(spark, *(path for _, path in _written[point:]))
+    del _written[point:]
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
