@@ -165,7 +165,8 @@ def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTE
     kept, _ = stored(may.drop("least"), "pairs")
     wanted, _ = stored(kept.select("term").distinct(), "terms")
     tokens = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    of_term = tokens.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    # counted before the join: it then meets a row for each word, not one for each word of each document
+    of_term = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(wanted, "term", "left_semi")
     told = kept.join(of_term, "term", "left").withColumn("disclosure", _disclosure(F.col("both"), F.coalesce("of_term", F.lit(0)), F.col("of_entity"), n))
     return told.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
 
