@@ -29,7 +29,7 @@ from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, map_batches, stored
@@ -47,6 +47,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+#: What _TERM leaves out, for Java: no letter, and no numeral but decimal digits.
+_BETWEEN_TERMS = r"[\P{L}&&[\P{N}\p{Nd}]]+"
+#: The one letter whose lower case isn't a term: it gets a mark.
+_DOTTED_I = "\u0130"
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -117,7 +121,7 @@ def contexts(text: str, spans: list[Span], near: int = NEAR) -> list[dict]:
         value = text[s:e].lower() if k < 2 else re.sub(r"[^0-9]", "", text[s:e])
         entity = xxhash.xxh64_intdigest(f"{KINDS[k]}:{value}") - (1 << 63)
         here = terms[max(0, bisect_left(begins, s) - near) : bisect_left(begins, s)] + terms[bisect_right(begins, e - 1) : bisect_right(begins, e - 1) + near]
-        words = [m[0].lower() for m in here]
+        words = [lowered(m[0]) for m in here]
         window = xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
         out += [{"entity": entity, "window": window, "term": w, "start": m.start(), "end": m.end()} for w, m in zip(words, here, strict=True)]
     return out
@@ -143,6 +147,16 @@ def findings(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return map_batches(rows, functools.partial(_find, near=near), schema)
 
 
+def lowered(term: str) -> str:
+    return term.replace(_DOTTED_I, "I").lower()
+
+
+def corpus_terms(text: Column) -> Column:
+    """The distinct terms of a text, as _TERM finds them and lowered() has them (shorter ones too)."""
+    low = F.lower(F.replace(text, F.lit(_DOTTED_I), F.lit("I")))
+    return F.array_distinct(F.split(low, _BETWEEN_TERMS))
+
+
 def _disclosure(both, of_term, of_entity, n):
     """PMI / IC; 0 where an entity tells nothing."""
     content = F.log2(F.greatest(n / of_entity, F.lit(1.0)))
@@ -164,7 +178,7 @@ def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTE
     may = pairs.join(entities, "entity").join(least, "term").where(_disclosure(F.col("both"), F.col("least"), F.col("of_entity"), n) >= generalise_at)
     kept, _ = stored(may.drop("least"), "pairs")
     wanted, _ = stored(kept.select("term").distinct(), "terms")
-    tokens = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    tokens = docs.select(F.explode(corpus_terms(F.col("text"))).alias("term"))
     # counted before the join: it then meets a row for each word, not one for each word of each document
     of_term = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(wanted, "term", "left_semi")
     told = kept.join(of_term, "term", "left").withColumn("disclosure", _disclosure(F.col("both"), F.coalesce("of_term", F.lit(0)), F.col("of_entity"), n))

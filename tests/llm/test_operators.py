@@ -344,6 +344,21 @@ def test_revealing_terms(spark):
     assert "alpha" in " ".join(clean[i] for i in range(6))  # common words stay
 
 
+def test_corpus_terms_are_those_near_entities(spark):
+    texts = ["İstanbul İSTANBUL straße STRASSE", "area 50m² km² ⅧⅨⅩ x²y²z", "tel_name a1b2c3 naïve naïve", "ΟΔΟΣ οδός 日本語 ٣٤٥abc", None, "", "ab abc Abc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.corpus_terms(F.col("text")).alias("t")).collect()
+    for i, got in rows:
+        assert {t for t in got or () if len(t) >= 3} >= {pii.lowered(m[0]) for m in pii._TERM.finditer(texts[i] or "")}
+        assert len(set(got or ())) == len(got or ())
+
+
+def test_common_words_of_any_script_stay(spark):
+    common = ["İstanbul", "km²x"]
+    docs = [(i, f"word{'abcdef'[i]} {common[0]} zeb@example.com {common[1]}") for i in range(6)] + [(100 + i, " and ".join(common)) for i in range(300)]
+    rows = pii.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert not any("term" in r.spans for r in rows)
+
+
 def test_sanitising_keeps_columns(odd):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns
