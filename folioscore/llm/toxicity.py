@@ -13,7 +13,8 @@ MAX_FEATURES enter: the model is bounded and travels with the tasks. Scoring rea
 
 Edge cases: null and empty texts have no features and the severity of the base rate. Without labelled rows of both
 classes nothing is toxic (severity 0). A doc_id with several labels counts as toxic if one of them says so; null
-labels are not used. Repeated rows get equal rows; other columns are ignored.
+labels are not used; of a doc_id with several texts the first in order is learned from, so that the sample stays
+bounded. Repeated rows get equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [one.where(f"toxic {c} 0").orderBy(*order).limit(sample) for c in ("<>", "=")]
     # 2 x sample rows at most, so the labels may be broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select((F.col("toxic") != 0).alias("toxic"), "text").dropDuplicates()
+    # one text for each doc_id keeps the bound where doc_ids are repeated
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select((F.col("toxic") != 0).alias("toxic"), "text").dropDuplicates()
     rows, path = stored(chosen, "labelled")
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     model = EMPTY

@@ -285,6 +285,13 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.keep_clean(df, model).count() == sum(r.kept for r in rows.values())
 
 
+def test_toxicity_learns_one_text_of_each_id(spark):
+    docs = [(i, f"{word} some plain words here {k}") for i, word in enumerate(["zorgish", "plain"] * 10) for k in range(40)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, toxic int")
+    least = spark.createDataFrame([(i, min(t for j, t in docs if j == i)) for i in range(20)], "doc_id long, text string")
+    assert toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels) == toxicity.train(least, labels)
+
+
 def test_toxicity_without_labels(spark, odd):
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, nothing)
