@@ -31,10 +31,17 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio: (bytes from, lowest, highest), the last fitting row counts."""
+    """Limits of the ratio: (bytes from, lowest, highest), the last fitting row counts.
 
-    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, 3.0), (256, 1.0, 3.0), (1_024, 1.2, 3.2), (4_096, 1.3, 3.5), (16_384, 1.4, 4.0), (65_536, 1.4, 4.5))
-    chunk: tuple[float, float] = (1.2, 3.2)
+    Set from the labelled good rows of the small check table that pass the base rule: from the lowest ratio of each
+    length class (half octaves) less 5 % to the highest plus 2 %; chunks likewise.
+    """
+
+    whole: tuple[tuple[int, float, float], ...] = (
+        (0, 0.0, 1.31), (128, 0.0, 1.48), (181, 0.0, 1.61), (256, 1.19, 1.75), (362, 1.29, 1.79), (512, 1.38, 1.89), (724, 1.46, 2.07), (1_024, 1.58, 2.11), (1_448, 1.68, 2.22), (2_048, 1.73, 2.25),
+        (2_896, 1.82, 2.28), (4_096, 1.86, 2.35), (5_793, 1.99, 2.4), (8_192, 2.05, 2.45), (11_585, 2.1, 2.48), (16_384, 2.16, 2.5), (23_170, 2.16, 2.54), (32_768, 2.2, 2.59), (46_341, 2.23, 2.6),
+    )
+    chunk: tuple[float, float] = (1.85, 2.33)
     chunk_bytes: int = 4_096
     max_bad_chunks: float = 0.5
     level: int = 3

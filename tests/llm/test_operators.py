@@ -125,6 +125,14 @@ def test_compression_bands():
     assert not quality.judge(prose[:9000] + b"abcdef " * 6000).kept  # most chunks are bad
 
 
+def test_bands_reject_junk_and_keep_labelled_good_rows():
+    con = duckdb.connect()
+    rows = con.sql("SELECT text, quality FROM '/root/testdata/sf0.01/documents.parquet' JOIN '/root/testdata/sf0.01/labels.parquet' USING (doc_id)").fetchall()
+    passing = [(quality.judge(t.encode()).kept, q) for t, q in rows if not brute_quality(t)[-1]]
+    good, junk = [k for k, q in passing if q == 1], [k for k, q in passing if q == 0]
+    assert all(good) and 2 * sum(junk) <= len(junk)
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------
 
 
