@@ -61,7 +61,7 @@ TEMPLATES = (
     Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     Template("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    Template("all-rights-reserved", "Copyright. All rights reserved."),
+    Template("all-rights-reserved", "All rights reserved."),
 )
 
 

@@ -492,6 +492,11 @@ def test_license_scan(odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_all_rights_reserved_alone(spark):
+    df = spark.createDataFrame([(1, "All rights reserved."), (2, "some text\nCopyright 2020 by them. All rights reserved.\nmore"), (3, "all rights")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {1: "all-rights-reserved", 2: "all-rights-reserved", 3: ""}
+
+
 def test_license_blocks_fuzz(spark):
     rnd = random.Random(10)
     words = sorted({w for t in licenses.TEMPLATES for w in t.words})[:40] + ["other", "words", "of", "the"]
