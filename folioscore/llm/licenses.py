@@ -1,7 +1,10 @@
 """License scan by an exact set-similarity join.
 
-Templates are license notices as word sets; a text block (a run of ``block_lines`` lines) is a set of words. A block
-meets a template if it holds at least a share ``threshold`` of the template's words. All such pairs are found:
+Templates are license notices as word sets; a text block (a run of lines) is a set of words. A block meets a
+template if it holds at least a share ``threshold`` of the template's words. Runs have ``block_lines`` lines; without
+it, as in the query, a template of k words (repeated ones too) is held against all runs of 1 to k lines that have
+words, so a notice is found however it is wrapped. A run holds what shorter runs in it hold, so those of k lines
+(fewer at the text's end) tell all. All pairs that meet are found:
 
 * Words are ordered by global frequency, the rarest first. Only template words need an order: others add to no overlap.
 * Prefix filter: of a template with n words that needs k, one of the n - k + 1 rarest must be in the block. These are
@@ -42,9 +45,18 @@ class Template:
     text: str
     threshold: float = 0.9
 
+    @property
+    def _all(self) -> list[str]:
+        return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", self.text.translate(str.maketrans(UPPER, LOWER))) if w]
+
     @property
     def words(self) -> list[str]:
-        return sorted({w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", self.text.translate(str.maketrans(UPPER, LOWER))) if w})
+        return sorted(set(self._all))
+
+    @property
+    def most_lines(self) -> int:
+        """The lines that the notice is wrapped over at most: one for each word, repeated ones too."""
+        return max(1, len(self._all))
 
     @property
     def needed(self) -> int:
@@ -120,15 +132,17 @@ def matching_blocks(blocks: DataFrame, templates: tuple[Template, ...], order: l
     index = []
     for n, t in enumerate(templates):
         ranks = sorted(rank[w] for w in t.words)
-        index += [(r, n, i, len(ranks), t.needed, ranks, t.label) for i, r in enumerate(ranks[: len(ranks) - t.needed + 1])]
-    schema = "token int, template int, i int, n int, needed int, ranks array<int>, label string"
-    arrow = pa.schema([("token", pa.int32()), ("template", pa.int32()), ("i", pa.int32()), ("n", pa.int32()), ("needed", pa.int32()), ("ranks", pa.list_(pa.int32())), ("label", pa.string())])
+        index += [(r, n, i, len(ranks), t.needed, t.most_lines, ranks, t.label) for i, r in enumerate(ranks[: len(ranks) - t.needed + 1])]
+    schema = "token int, template int, i int, n int, needed int, most_lines int, ranks array<int>, label string"
+    arrow = pa.schema([("token", pa.int32()), ("template", pa.int32()), ("i", pa.int32()), ("n", pa.int32()), ("needed", pa.int32()), ("most_lines", pa.int32()), ("ranks", pa.list_(pa.int32())), ("label", pa.string())])
     prefixes = spark.createDataFrame(pa.Table.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in index], schema=arrow), schema)
     ranks = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
     sets = blocks.select(*keys, F.array_sort(F.transform(F.array_intersect("words", _strings(order)), lambda w: F.element_at(ranks, w))).alias("have"))
     probes = sets.select(*keys, "have", F.size("have").alias("m"), F.posexplode("have").alias("j", "token"))
     # the index is bounded by the template list
     hits = probes.join(F.broadcast(prefixes), "token").where("m >= needed AND least(n - i, m - j) >= needed")
+    if "lines" in keys:  # runs made for the templates that can be wrapped over as many lines
+        hits = hits.where("lines = most_lines")
     # a pair is verified at its first common word only
     first = hits.where(F.element_at(F.array_intersect("have", "ranks"), 1) == F.col("token"))
     met = first.withColumn("overlap", F.size(F.array_intersect("have", "ranks"))).where("overlap >= needed")
@@ -144,8 +158,26 @@ def line_blocks(text: Column, block_lines: int) -> Column:
     return F.transform(lines, lambda x: F.array_distinct(F.split(spaced_words(x), " ")))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None, block_lines: int = 1) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
+def wrapped_blocks(text: Column, templates: tuple[Template, ...], order: list[str]) -> Column:
+    """(lines, words): the template words of all runs that may meet a template; the text must have a word."""
+    spaced = F.filter(F.transform(F.split(text, "\n"), spaced_words), lambda x: x != "")
+    lines = F.transform(spaced, lambda x: F.array_intersect(F.split(x, " "), _strings(order)))
+
+    def runs(own: Column, k: int, least: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.size(F.element_at(own, i)) > 0)
+        words = F.transform(starts, lambda i: F.array_distinct(F.flatten(F.slice(own, i, k))))
+        return F.transform(F.filter(words, lambda w: F.size(w) >= least), lambda w: F.struct(F.lit(k).alias("lines"), w.alias("words")))
+
+    lengths = {k: min(t.needed for t in templates if t.most_lines == k) for k in sorted({t.most_lines for t in templates})}
+    # an array of one, so that the lines are cut once and not in every lambda
+    return F.flatten(F.transform(F.array(lines), lambda own: F.flatten(F.array(*[runs(own, k, least) for k, least in lengths.items()]))))
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None, block_lines: int | None = 1) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row.
+
+    block_lines: the lines of a block; None for all runs that a template can be wrapped over.
+    """
     phrases = PHRASES if phrases is None else phrases
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", spaced_words(F.col("text")).alias("spaced"))
     order = word_order(F.split("spaced", " "), texts, templates)
@@ -156,8 +188,13 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
     n_words = F.when(F.col("spaced") == "", F.lit(0).cast("long")).otherwise(_spaces(F.col("spaced")) + 1)
     may = F.arrays_overlap(F.split("spaced", " "), _strings(probes))
     looked, _ = stored(texts.select("doc_id", F.xxhash64("text").alias("_h"), n_words.alias("n_words"), *[c.alias(k) for k, c in base.items()], F.when(may, F.col("text")).alias("candidate")), "licenses")
-    blocks = looked.where("candidate IS NOT NULL").select("doc_id", "_h", F.posexplode(line_blocks(F.col("candidate"), block_lines)).alias("block", "words"))
-    met = matching_blocks(blocks, templates, order, ["doc_id", "_h", "block"])
+    candidates, keys = looked.where("candidate IS NOT NULL"), ["doc_id", "_h", "block"]
+    if block_lines is None:
+        blocks = candidates.select("doc_id", "_h", F.posexplode(wrapped_blocks(F.col("candidate"), templates, order)).alias("block", "run")).select(*keys, "run.lines", "run.words")
+        keys = [*keys, "lines"]
+    else:
+        blocks = candidates.select("doc_id", "_h", F.posexplode(line_blocks(F.col("candidate"), block_lines)).alias("block", "words"))
+    met = matching_blocks(blocks, templates, order, keys)
     by_doc = met.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_k")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     rows = looked.drop("candidate").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left")
     every = F.concat("base", F.coalesce("more", F.array().cast("array<string>")))
@@ -170,7 +207,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir), block_lines=None)
 
 
 def _sql() -> str:

@@ -508,6 +508,36 @@ def test_license_blocks_fuzz(spark):
         assert got == {i: brute_licenses(t, templates, n)[5:] for i, t in enumerate(texts)}
 
 
+def brute_wrapped(text, templates):
+    """Labels and the best share of all runs of lines with words, 1 to as many as the template has words, by trying every one."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    lines = [set(w) for w in map(cut, text.split("\n")) if w]
+    met = []
+    for t in templates:
+        runs = [set().union(*lines[i : i + k]) for k in range(1, len(cut(t.text)) + 1) for i in range(len(lines))]
+        met += [(t.label, len(r & set(t.words)) / len(t.words)) for r in runs if len(r & set(t.words)) >= t.needed]
+    return ",".join(sorted({x for x, _ in met})), max([c for _, c in met], default=0.0)
+
+
+def test_wrapped_notices(spark, tmp_path):
+    mit, bsd = licenses.TEMPLATES[1].text, licenses.TEMPLATES[5].text
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = [f"intro\n{wrap(mit, 6)}\nend", f"# {wrap(bsd, 1)}", f"x\n\n{wrap(bsd, 9)}".replace("\n", "\n\n * "), "Copyright 2020\nAll rights\nreserved.", "all\nand\nother\nrights\nwere\nreserved", "plain\ntext", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.labels for r in licenses.op10_licenses(spark, str(tmp_path)).collect()}
+    assert got == {0: "mit", 1: "bsd", 2: "bsd", 3: "all-rights-reserved", 4: "", 5: "", 6: "", 7: ""}
+
+
+def test_wrapped_blocks_fuzz(spark):
+    rnd = random.Random(11)
+    words = sorted({w for t in licenses.TEMPLATES for w in t.words})[:40] + ["other", "words", "of", "the"]
+    templates = (licenses.Template("p", " ".join(words[:8]), 0.7), licenses.Template("q", " ".join(words[5:20]), 0.5), licenses.Template("r", "solo"))
+    texts = ["\n".join(" ".join(rnd.choice(words + ["solo"]) for _ in range(rnd.randrange(4))) for _ in range(rnd.randrange(30))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, pytest.approx(r.score)) for r in licenses.scan(df, templates, {"no such phrase": "none"}, None).collect()}
+    assert got == {i: brute_wrapped(t, templates) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize(("query", "sql", "table"), [(url_filter.op1_url_filter, url_filter.SQL, "pages"), (licenses.op10_licenses, licenses.SQL, "documents")])
 def test_queries_equal_their_sql(spark, query, sql, table):
     con = duckdb.connect()
