@@ -2,8 +2,8 @@
 
 Base: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers, found by fixed patterns. Each found
 value is a protected entity c. A term t near an entity (NEAR words on either side) may give it away even when
-the value is masked. How much it tells is estimated on the whole corpus: with P(c|t) = contexts of c that have t / documents
-that have t, and the information content IC(c) = log2(documents / contexts of c), the disclosure is
+the value is masked. How much it tells is estimated on the whole corpus, whose copies count once: with P(c|t) = texts with t
+near c / texts with t, and the information content IC(c) = log2(texts / texts with c), the disclosure is
 
     PMI(c; t) / IC(c) = log2(P(c|t) / P(c)) / IC(c),
 
@@ -166,19 +166,19 @@ def _disclosure(both, of_term, of_entity, n):
 def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(entity, term, disclosure) of the pairs with enough contexts that disclose at least generalise_at.
 
-    A term's documents are at least those with it near an entity. Pairs that stay below the limit even so are
+    A term's texts are at least those with it near an entity. Pairs that stay below the limit even so are
     dropped before the corpus is counted: that keeps common words out of the join, and changes no result.
     """
-    n = F.lit(float(docs.agg(F.count(F.lit(1))).first()[0]))
-    all_near = found.where(F.size("context") > 0).select("doc_id", "_h", F.explode("context").alias("c"))
-    near = all_near.select("c.entity", "c.term", "c.window").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_contexts)
-    entities = near.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    least = all_near.select("doc_id", "_h", "c.term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    n = F.lit(float(found.select("_h").distinct().count()))
+    near = found.where(F.size("context") > 0).select("_h", F.explode("context").alias("c")).select("_h", "c.entity", "c.term", "c.window").distinct()
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("_h").alias("both"), F.count_distinct("window").alias("contexts")).where(F.col("contexts") >= min_contexts)
+    entities = near.groupBy("entity").agg(F.count_distinct("_h").alias("of_entity"))
+    least = near.groupBy("term").agg(F.count_distinct("_h").alias("least"))
     may = pairs.join(entities, "entity").join(least, "term").where(_disclosure(F.col("both"), F.col("least"), F.col("of_entity"), n) >= generalise_at)
     kept, _ = stored(may.drop("least"), "pairs")
     wanted, _ = stored(kept.select("term").distinct(), "terms")
-    tokens = docs.select(F.explode(corpus_terms(F.col("text"))).alias("term"))
+    # copies count once; distinct by the text itself, so map-side partials drop the copies of hot groups
+    tokens = docs.select("text").distinct().select(F.explode(corpus_terms(F.col("text"))).alias("term"))
     # counted before the join: it then meets a row for each word, not one for each word of each document
     of_term = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(wanted, "term", "left_semi")
     told = kept.join(of_term, "term", "left").withColumn("disclosure", _disclosure(F.col("both"), F.coalesce("of_term", F.lit(0)), F.col("of_entity"), n))

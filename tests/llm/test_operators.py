@@ -359,6 +359,17 @@ def test_revealing_terms(spark):
     assert "alpha" in " ".join(clean[i] for i in range(6))  # common words stay
 
 
+def test_copies_hide_no_term(spark):
+    """The same texts twenty times over disclose what they disclose once."""
+    rnd = random.Random(9)
+    filler = lambda: " ".join(rnd.choice("alpha beta gamma delta omega kappa sigma".split()) for _ in range(12))
+    texts = [f"{filler()} Zebulon wrote from zeb@example.com about {filler()}" for _ in range(6)]
+    docs = [(i, t) for i, t in enumerate(texts * 20)] + [(1000 + i, filler()) for i in range(400)]
+    rows = pii.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    at = texts[0].index("Zebulon")
+    assert sum(f"term:{at}:{at + 7}" in r.spans for r in rows if r.doc_id % 6 == 0 and r.doc_id < 120) == 20
+
+
 def test_corpus_terms_are_those_near_entities(spark):
     texts = ["İstanbul İSTANBUL straße STRASSE", "area 50m² km² ⅧⅨⅩ x²y²z", "tel_name a1b2c3 naïve naïve", "ΟΔΟΣ οδός 日本語 ٣٤٥abc", None, "", "ab abc Abc"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.corpus_terms(F.col("text")).alias("t")).collect()
