@@ -8,8 +8,11 @@ near c / texts with t, and the information content IC(c) = log2(texts / texts wi
     PMI(c; t) / IC(c) = log2(P(c|t) / P(c)) / IC(c),
 
 1 if t occurs with c only. Terms with a disclosure of at least REMOVE_AT are removed where they stand near
-c, those of at least GENERALISE_AT are generalised to a class. A pair counts only with MIN_CONTEXTS different contexts, so exact
-copies prove nothing.
+c, those of at least GENERALISE_AT are generalised to a class. A pair counts only if chance doesn't explain it: were t spread
+over the texts regardless of c, its contexts would meet those of c so often with a probability (Chernoff's bound
+of the binomial tail) of at most CHANCE / pairs in the corpus. Contexts are different windows, one a text at most, so copies and near
+copies prove nothing more; how many contexts it takes depends on the corpus (two, mostly, for a rare term; one only where
+entities are few).
 
 One pass finds spans and contexts of every document; it is stored without the texts. Pair counts are pre-aggregated,
 document frequencies are counted for the terms that are left, over all documents. No count is sampled and no join side is
@@ -36,7 +39,8 @@ from .shared import documents, map_batches, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
-MIN_CONTEXTS = 3
+#: Pairs that may pass by chance in the whole corpus.
+CHANCE = 0.05
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 
@@ -163,18 +167,31 @@ def _disclosure(both, of_term, of_entity, n):
     return F.when(content > 0, 1 + F.log2(both / F.greatest(of_term, both)) / content).otherwise(0.0)
 
 
-def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough contexts that disclose at least generalise_at.
+def _log_chance(of_term, n):
+    """The log of a bound on the probability that a term of so many texts meets an entity in so many contexts by chance."""
+    b = F.col("contexts").cast("double")
+    t = F.greatest(of_term - (F.col("both") - b), b)  # near copies count once
+    p, share = F.least(F.col("of_contexts") / n, F.lit(1.0)), b / t
+    others = F.when(t > b, (t - b) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+    return F.when(share > p, -(b * F.log(share / p) + others)).otherwise(0.0)
 
-    A term's texts are at least those with it near an entity. Pairs that stay below the limit even so are
+
+def disclosures(found: DataFrame, docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """(entity, term, disclosure) of the pairs beyond chance that disclose at least generalise_at.
+
+    A term's texts are at least those with it near an entity. Pairs that stay below a limit even so are
     dropped before the corpus is counted: that keeps common words out of the join, and changes no result.
     """
     n = F.lit(float(found.select("_h").distinct().count()))
     near = found.where(F.size("context") > 0).select("_h", F.explode("context").alias("c")).select("_h", "c.entity", "c.term", "c.window").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("_h").alias("both"), F.count_distinct("window").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    entities = near.groupBy("entity").agg(F.count_distinct("_h").alias("of_entity"))
+    texts, contexts = F.count_distinct("_h"), F.least(F.count_distinct("_h"), F.count_distinct("window"))
+    pairs, _ = stored(near.groupBy("entity", "term").agg(texts.alias("both"), contexts.alias("contexts")), "contexts")
+    limit = F.log(F.lit(chance / max(pairs.count(), 1)))
+    entities = near.groupBy("entity").agg(texts.alias("of_entity"), contexts.alias("of_contexts"))
+    # drops most pairs with one context, as chance may explain even a term of no other text
+    pairs = pairs.join(entities, "entity").where(_log_chance(F.col("both"), n) <= limit)
     least = near.groupBy("term").agg(F.count_distinct("_h").alias("least"))
-    may = pairs.join(entities, "entity").join(least, "term").where(_disclosure(F.col("both"), F.col("least"), F.col("of_entity"), n) >= generalise_at)
+    may = pairs.join(least, "term").where((_disclosure(F.col("both"), F.col("least"), F.col("of_entity"), n) >= generalise_at) & (_log_chance(F.col("least"), n) <= limit))
     kept, _ = stored(may.drop("least"), "pairs")
     wanted, _ = stored(kept.select("term").distinct(), "terms")
     # copies count once; distinct by the text itself, so map-side partials drop the copies of hot groups
@@ -182,12 +199,13 @@ def disclosures(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTE
     # counted before the join: it then meets a row for each word, not one for each word of each document
     of_term = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(wanted, "term", "left_semi")
     told = kept.join(of_term, "term", "left").withColumn("disclosure", _disclosure(F.col("both"), F.coalesce("of_term", F.lit(0)), F.col("of_entity"), n))
-    return told.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
+    sure = _log_chance(F.greatest(F.coalesce("of_term", F.lit(0)), F.col("both")), n) <= limit
+    return told.where((F.col("disclosure") >= generalise_at) & sure).select("entity", "term", "disclosure")
 
 
-def term_spans(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def term_spans(found: DataFrame, docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(doc_id, _h, terms): the spans of each document's disclosing terms, and how much they disclose."""
-    told, _ = stored(disclosures(found, docs, min_contexts, generalise_at), "disclosures")
+    told, _ = stored(disclosures(found, docs, chance, generalise_at), "disclosures")
     placed = found.where(F.size("context") > 0).select("doc_id", "_h", F.explode("context").alias("c")).select("doc_id", "_h", "c.*")
     hits = placed.join(told, ["entity", "term"]).groupBy("doc_id", "_h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     return hits.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure")).alias("terms"))
@@ -198,10 +216,10 @@ def _with_terms(rows: DataFrame, terms: DataFrame, kind: str = "left") -> DataFr
     return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), kind).drop("_d", "_k")
 
 
-def report(docs: DataFrame, near: int = NEAR, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def report(docs: DataFrame, near: int = NEAR, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """doc_id, counts, base_sha256 and all spans of each row."""
     found, _ = stored(findings(docs, near), "findings")
-    rows = _with_terms(found, term_spans(found, docs, min_contexts, generalise_at))
+    rows = _with_terms(found, term_spans(found, docs, chance, generalise_at))
     more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start: int, kind: int, end: int, disclosure: double>>")), lambda t: F.struct(t.start.alias("start"), t.kind.alias("kind"), t.end.alias("end")))
     names = F.array(*map(F.lit, KINDS))
     spans = F.transform(F.array_sort(F.concat("base", more)), lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string")))
@@ -230,10 +248,10 @@ def _sanitise(batch: pa.RecordBatch, remove_at: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in keep], names=keep)
 
 
-def sanitise(docs: DataFrame, near: int = NEAR, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def sanitise(docs: DataFrame, near: int = NEAR, chance: float = CHANCE, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """The rows of docs with their texts sanitised (and n_chars, if there, counted again)."""
     found, _ = stored(findings(docs, near), "findings")
-    rows = _with_terms(docs.withColumn("_h", F.xxhash64("text")), term_spans(found, docs, min_contexts, generalise_at)).drop("_h")
+    rows = _with_terms(docs.withColumn("_h", F.xxhash64("text")), term_spans(found, docs, chance, generalise_at)).drop("_h")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = map_batches(rows, functools.partial(_sanitise, remove_at=remove_at), ddl)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

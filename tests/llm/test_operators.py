@@ -370,6 +370,18 @@ def test_copies_hide_no_term(spark):
     assert sum(f"term:{at}:{at + 7}" in r.spans for r in rows if r.doc_id % 6 == 0 and r.doc_id < 120) == 20
 
 
+def test_two_contexts_are_enough_in_a_large_corpus(spark):
+    rnd = random.Random(12)
+    filler = lambda: " ".join(rnd.choice("alpha beta gamma delta omega kappa sigma".split()) for _ in range(12))
+    docs = [(i, f"{filler()} Zebulon {rare} zeb@example.com {filler()}") for i, rare in enumerate(("once", "other"))] + [(2, f"{filler()} Lonely ann@example.com {filler()}")] + [(100 + i, filler()) for i in range(3000)]
+    docs += [(10 + i, f"{i}{i} alpha beta gamma delta omega kappa sigma alpha Nearcopy bob@example.com beta") for i in range(8)]  # one window
+    docs += [(5000 + i, f"{filler()} user{i}@example.com {filler()}") for i in range(400)]
+    text = dict(docs)
+    rows = pii.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    found = {(r.doc_id, text[r.doc_id][int(x.split(":")[1]) : int(x.split(":")[2])]) for r in rows for x in r.spans.split(",") if x.startswith("term")}
+    assert found == {(0, "Zebulon"), (1, "Zebulon")}  # what stands there once, or only in near copies, may be chance
+
+
 def test_corpus_terms_are_those_near_entities(spark):
     texts = ["İstanbul İSTANBUL straße STRASSE", "area 50m² km² ⅧⅨⅩ x²y²z", "tel_name a1b2c3 naïve naïve", "ΟΔΟΣ οδός 日本語 ٣٤٥abc", None, "", "ab abc Abc"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.corpus_terms(F.col("text")).alias("t")).collect()
