@@ -2,8 +2,8 @@
 
 A text's zstandard ratio (raw bytes / compressed bytes) is low for incompressible text and high for repetitive
 text, and it depends on the length: a short text has little to repeat. So the limits are a table by length.
-The whole document is judged by the band of its length, and every fixed chunk of it (``chunk_bytes``) by the chunk
-band: if more than a share ``max_bad_chunks`` of the chunks is outside, the document is rejected.
+The whole document is judged by the band of its length, and every fixed chunk of it (``chunk_bytes``), and the last
+``chunk_bytes`` where the chunks leave a tail, by the chunk band (a shorter text is one chunk, judged by the band of its length): if more than a share ``max_bad_chunks`` of the chunks is outside, the document is rejected.
 
 Besides, the base counts of the words (runs without ASCII white space) are returned.
 
@@ -43,7 +43,7 @@ class Bands:
     )
     chunk: tuple[float, float] = (1.85, 2.33)
     chunk_bytes: int = 4_096
-    max_bad_chunks: float = 0.5
+    max_bad_chunks: float = 0.1
     level: int = 3
 
     def limits(self, n: int) -> tuple[float, float] | None:
@@ -74,8 +74,10 @@ class Verdict:
 def judge(raw: bytes, bands: Bands = BANDS) -> Verdict:
     whole = ratio(raw, bands.level)
     limits = bands.limits(len(raw))
-    # Whole chunks only: the tail is shorter than the limits are made for, and the whole ratio covers it.
-    parts = [raw[i : i + bands.chunk_bytes] for i in range(0, len(raw) - bands.chunk_bytes + 1, bands.chunk_bytes)]
+    size = bands.chunk_bytes
+    parts = [raw[i : i + size] for i in range(0, len(raw) - size + 1, size)]
+    if parts and len(raw) % size:
+        parts.append(raw[-size:])  # the tail, with what is before it: the limits are made for whole chunks
     bad = sum(not bands.chunk[0] <= ratio(p, bands.level) <= bands.chunk[1] for p in parts)
     kept = (limits is None or limits[0] <= whole <= limits[1]) and bad <= bands.max_bad_chunks * len(parts)
     return Verdict(whole, bad, len(parts), kept)

@@ -125,6 +125,17 @@ def test_compression_bands():
     assert not quality.judge(prose[:9000] + b"abcdef " * 6000).kept  # most chunks are bad
 
 
+def test_tails_and_single_chunks_are_judged():
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    prose = " ".join(rnd.choice(vocabulary) for _ in range(8000)).encode()
+    wide = quality.Bands(whole=((0, 0.0, 99.0),))  # chunks alone decide
+    noise = rnd.randbytes(3000)
+    assert quality.judge(prose[:8192] + prose[9000:12000], wide).kept
+    assert not quality.judge(prose[:8192] + noise, wide).kept  # in the tail
+    assert not quality.judge(prose[:8192] + rnd.randbytes(4096) + prose[8192:16384], wide).kept  # one chunk of five
+
+
 def test_bands_reject_junk_and_keep_labelled_good_rows():
     con = duckdb.connect()
     rows = con.sql("SELECT text, quality FROM '/root/testdata/sf0.01/documents.parquet' JOIN '/root/testdata/sf0.01/labels.parquet' USING (doc_id)").fetchall()
