@@ -14,28 +14,32 @@ of the binomial tail) of at most CHANCE / pairs in the corpus. Contexts are diff
 copies prove nothing more; how many contexts it takes depends on the corpus (two, mostly, for a rare term; one only where
 entities are few).
 
-One pass finds spans and contexts of every document; it is stored without the texts. Pair counts are pre-aggregated,
-document frequencies are counted for the terms that are left, over all documents. No count is sampled and no join side is
-broadcast by hand: the tables are stored, and Spark knows their sizes.
+One pass finds spans and contexts of every document; both are stored as flat rows without the texts. Pair counts are
+pre-aggregated, document frequencies are counted for the terms that are left, over all documents. No count is sampled and
+no join side is broadcast by hand: the tables are stored, and Spark knows their sizes.
 
 Edge cases: null and empty texts have no spans (the digest is that of the empty string). Equal starts are
 ordered by kind as listed, terms last. Repeated rows get equal rows; equal doc_ids with other texts are kept apart
-by the text's hash. Very long texts are read whole: patterns run in linear time. Other columns are ignored.
+by the text's hash. Very long texts are read whole: patterns run in linear time, and contexts leave the worker as they
+are found. An empty table gives none. Other columns, whatever their names, are ignored by the report and kept by ``sanitise``.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
+from array import array
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, map_batches, stored
+from .shared import documents, map_batches, stored, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
@@ -43,6 +47,8 @@ NEAR = 8
 CHANCE = 0.05
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
+#: Rows that a Python worker holds before it gives them out.
+PIECE = 4_096
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -103,52 +109,66 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def contexts(text: str, spans: list[Span], near: int = NEAR) -> list[dict]:
-    """Each term near each entity, with the context's hash."""
+def entity_key(kind: int, value: str) -> int:
+    """The hash of a value, whatever its case (e-mail, IP) or its separators (card, phone)."""
+    plain = value.lower() if kind < 2 else re.sub(r"[^0-9]", "", value)
+    return xxhash.xxh64_intdigest(f"{KINDS[kind]}:{plain}") - (1 << 63)
+
+
+def contexts(text: str, spans: list[Span], near: int = NEAR) -> Iterator[tuple[int, int, str, int, int]]:
+    """(entity, window, term, start, end): each term near each entity, with the hash of the terms around it."""
     if not spans:
-        return []
-    covered = sorted((s, e) for s, _, e in spans)
-    reach, ends = [], 0
-    for _, e in covered:
-        ends = max(ends, e)
-        reach.append(ends)
-    starts = [s for s, _ in covered]
-
-    def free(m: re.Match) -> bool:
+        return
+    starts = [s for s, _, _ in spans]
+    reach = list(itertools.accumulate((e for *_, e in spans), max))  # the furthest end so far
+    # places of the terms that overlap no span; two integers a term, however long the text is
+    begins, ends = array("q"), array("q")
+    for m in _TERM.finditer(text):
         i = bisect_left(starts, m.end())
-        return i == 0 or reach[i - 1] <= m.start()
-
-    terms = [m for m in _TERM.finditer(text) if free(m)]
-    begins = [m.start() for m in terms]
-    out = []
+        if i == 0 or reach[i - 1] <= m.start():
+            begins.append(m.start())
+            ends.append(m.end())
     for s, k, e in spans:
-        value = text[s:e].lower() if k < 2 else re.sub(r"[^0-9]", "", text[s:e])
-        entity = xxhash.xxh64_intdigest(f"{KINDS[k]}:{value}") - (1 << 63)
-        here = terms[max(0, bisect_left(begins, s) - near) : bisect_left(begins, s)] + terms[bisect_right(begins, e - 1) : bisect_right(begins, e - 1) + near]
-        words = [lowered(m[0]) for m in here]
+        entity = entity_key(k, text[s:e])
+        left, right = bisect_left(begins, s), bisect_right(begins, e - 1)
+        here = [*range(max(0, left - near), left), *range(right, min(right + near, len(begins)))]
+        words = [lowered(text[begins[i] : ends[i]]) for i in here]
         window = xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
-        out += [{"entity": entity, "window": window, "term": w, "start": m.start(), "end": m.end()} for w, m in zip(words, here, strict=True)]
-    return out
+        for w, i in zip(words, here, strict=True):
+            yield entity, window, w, begins[i], ends[i]
+
+
+_FOUND = "doc_id long, _h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entity long, window long, term string, start int, end int"
+_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
+
+
+def _find(batch: pa.RecordBatch, near: int) -> Iterator[dict]:
+    """A row for each text, and one for each context, in pieces of PIECE rows."""
 
+    def rows() -> Iterator[tuple]:
+        for doc, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            spans = base_spans(text or "")
+            found = joined(spans)
+            yield doc, h, *(sum(x[1] == k for x in spans) for k in range(4)), hashlib.sha256(found.encode()).hexdigest(), found, None, None, None, None, None
+            for context in contexts(text or "", spans, near):
+                yield doc, h, None, None, None, None, None, None, *context
 
-def _find(batch: pa.RecordBatch, near: int) -> dict:
-    out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "context")}
-    for text in batch.column(2).to_pylist():
-        spans = base_spans(text or "")
-        for k, name in enumerate(("n_email", "n_ip", "n_card", "n_phone")):
-            out[name].append(sum(x[1] == k for x in spans))
-        out["base_sha256"].append(hashlib.sha256(joined(spans).encode()).hexdigest())
-        out["base"].append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-        out["context"].append(contexts(text or "", spans, near))
-    return {"doc_id": batch.column(0), "_h": batch.column(1)} | out
+    made = rows()
+    while piece := list(itertools.islice(made, PIECE)):
+        yield dict(zip(_NAMES, zip(*piece, strict=True), strict=True))
 
 
 def findings(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """Base spans and contexts of each row; ``_h`` is the text's hash."""
+    """Rows of two kinds: each document's base spans (``base_sha256`` is given) and each context (``entity`` is given).
+
+    ``_h`` is the text's hash. Rows are flat, and come in pieces of bounded size, so that a dense text takes no memory.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), "text")
-    span = "start: int, kind: int, end: int"
-    schema = f"doc_id long, _h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<{span}>>, context array<struct<entity: long, window: long, term: string, start: int, end: int>>"
-    return map_batches(rows, functools.partial(_find, near=near), schema)
+    return map_batches(rows, functools.partial(_find, near=near), _FOUND)
+
+
+def _contexts_of(found: DataFrame) -> DataFrame:
+    return found.where("entity IS NOT NULL").select("doc_id", "_h", "entity", "window", "term", "start", "end")
 
 
 def lowered(term: str) -> str:
@@ -182,8 +202,8 @@ def disclosures(found: DataFrame, docs: DataFrame, chance: float = CHANCE, gener
     A term's texts are at least those with it near an entity. Pairs that stay below a limit even so are
     dropped before the corpus is counted: that keeps common words out of the join, and changes no result.
     """
-    n = F.lit(float(found.select("_h").distinct().count()))
-    near = found.where(F.size("context") > 0).select("_h", F.explode("context").alias("c")).select("_h", "c.entity", "c.term", "c.window").distinct()
+    n = F.lit(float(found.where("base_sha256 IS NOT NULL").select("_h").distinct().count()))
+    near = _contexts_of(found).select("_h", "entity", "term", "window").distinct()
     texts, contexts = F.count_distinct("_h"), F.least(F.count_distinct("_h"), F.count_distinct("window"))
     pairs, _ = stored(near.groupBy("entity", "term").agg(texts.alias("both"), contexts.alias("contexts")), "contexts")
     limit = F.log(F.lit(chance / max(pairs.count(), 1)))
@@ -206,24 +226,31 @@ def disclosures(found: DataFrame, docs: DataFrame, chance: float = CHANCE, gener
 def term_spans(found: DataFrame, docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(doc_id, _h, terms): the spans of each document's disclosing terms, and how much they disclose."""
     told, _ = stored(disclosures(found, docs, chance, generalise_at), "disclosures")
-    placed = found.where(F.size("context") > 0).select("doc_id", "_h", F.explode("context").alias("c")).select("doc_id", "_h", "c.*")
-    hits = placed.join(told, ["entity", "term"]).groupBy("doc_id", "_h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    hits = _contexts_of(found).join(told, ["entity", "term"]).groupBy("doc_id", "_h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     return hits.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure")).alias("terms"))
 
 
-def _with_terms(rows: DataFrame, terms: DataFrame, kind: str = "left") -> DataFrame:
-    other = terms.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), "terms")
-    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), kind).drop("_d", "_k")
+def _parsed(base: Column) -> Column:
+    """The spans of a joined string as (start, kind, end)."""
+    names = F.array(*map(F.lit, KINDS))
+
+    def span(x: Column) -> Column:
+        part = F.split(x, ":")
+        return F.struct(F.get(part, 1).cast("int").alias("start"), (F.array_position(names, F.get(part, 0)) - 1).cast("int").alias("kind"), F.get(part, 2).cast("int").alias("end"))
+
+    return F.transform(F.filter(F.split(base, ","), lambda x: x != ""), span)
 
 
 def report(docs: DataFrame, near: int = NEAR, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """doc_id, counts, base_sha256 and all spans of each row."""
     found, _ = stored(findings(docs, near), "findings")
-    rows = _with_terms(found, term_spans(found, docs, chance, generalise_at))
-    more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start: int, kind: int, end: int, disclosure: double>>")), lambda t: F.struct(t.start.alias("start"), t.kind.alias("kind"), t.end.alias("end")))
+    terms = term_spans(found, docs, chance, generalise_at).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), "terms")
+    rows = found.where("base_sha256 IS NOT NULL").join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left")
+    more = F.transform("terms", lambda t: F.struct(t.start.alias("start"), t.kind.alias("kind"), t.end.alias("end")))
     names = F.array(*map(F.lit, KINDS))
-    spans = F.transform(F.array_sort(F.concat("base", more)), lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string")))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(spans, ",").alias("spans"))
+    every = F.transform(F.array_sort(F.concat(_parsed(F.col("base")), more)), lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string")))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_join(every, ","))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
 
 
 def sanitised(text: str, terms: list[dict], remove_at: float = REMOVE_AT) -> str:
@@ -240,20 +267,21 @@ def sanitised(text: str, terms: list[dict], remove_at: float = REMOVE_AT) -> str
     return "".join(out) + text[at:]
 
 
-def _sanitise(batch: pa.RecordBatch, remove_at: float) -> pa.RecordBatch:
+def _sanitise(batch: pa.RecordBatch, remove_at: float, terms: str) -> pa.RecordBatch:
     names = batch.schema.names
-    terms = batch.column(names.index("terms")).to_pylist()
-    texts = [None if t is None else sanitised(t, x, remove_at) for t, x in zip(batch.column(names.index("text")).to_pylist(), terms, strict=True)]
-    keep = [n for n in names if n != "terms"]
-    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in keep], names=keep)
+    texts = batch.column(names.index("text")).to_pylist()
+    clean = [None if t is None else sanitised(t, x, remove_at) for t, x in zip(texts, batch.column(names.index(terms)).to_pylist(), strict=True)]
+    keep = [n for n in names if n != terms]
+    return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if n == "text" else batch.column(names.index(n)) for n in keep], names=keep)
 
 
 def sanitise(docs: DataFrame, near: int = NEAR, chance: float = CHANCE, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """The rows of docs with their texts sanitised (and n_chars, if there, counted again)."""
     found, _ = stored(findings(docs, near), "findings")
-    rows = _with_terms(docs.withColumn("_h", F.xxhash64("text")), term_spans(found, docs, chance, generalise_at)).drop("_h")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = map_batches(rows, functools.partial(_sanitise, remove_at=remove_at), ddl)
+    h, d, k, terms = unused(docs, "_h", "_d", "_k", "terms")
+    told = term_spans(found, docs, chance, generalise_at).select(F.col("doc_id").alias(d), F.col("_h").alias(k), F.col("terms").alias(terms))
+    rows = docs.withColumn(h, F.xxhash64("text")).join(told, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(k)), "left").drop(h, d, k)
+    out = map_batches(rows, functools.partial(_sanitise, remove_at=remove_at, terms=terms), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

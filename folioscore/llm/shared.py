@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one call of a batch function gets at most (a single longer text goes alone).
 SLICE_BYTES = 8_000_000
@@ -60,17 +62,28 @@ def _run(batches: Iterable[pa.RecordBatch], fn: Callable, schema: pa.Schema) ->
         for part in slices(batch):
             if part.num_rows:
                 out = fn(part)
-                yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out, schema=schema)
+                for some in (out,) if isinstance(out, dict | pa.RecordBatch) else out:
+                    yield some if isinstance(some, pa.RecordBatch) else pa.RecordBatch.from_pydict(some, schema=schema)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over slices of bounded text size; fn returns columns for the DDL schema."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch | Iterator[dict]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over slices of bounded text size; fn returns columns for the schema, or yields them in pieces."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     ship_package(df.sparkSession)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return df.mapInArrow(functools.partial(_run, fn=fn, schema=arrow), schema)
+    typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return df.mapInArrow(functools.partial(_run, fn=fn, schema=to_arrow_schema(typed)), typed)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 _own_checkpoint_dir: str | None = None
@@ -78,11 +91,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode where that is unset."""
     global _own_checkpoint_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # executors don't share this machine's folders
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_checkpoint_dir is None:
         _own_checkpoint_dir = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     return _own_checkpoint_dir
@@ -105,6 +120,7 @@ def stored(df: DataFrame, tag: str, since: int | None = None) -> tuple[DataFrame
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that stored() has written and no plan reads any more."""
     jvm = spark.sparkContext._jvm
+    _written[:] = [w for w in _written if w[1] not in paths]
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -117,13 +133,12 @@ def mark() -> int:
 
 def discard_since(spark: SparkSession, point: int) -> None:
     """Delete all tables written since a mark: once the result that reads them has been written itself."""
-    discard(spark, *(path for _, path in _written[point:]))
-    del _written[point:]
+    discard(spark, *[path for _, path in _written[point:]])
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _written:
+    for spark, path in list(_written):
         try:
             discard(spark, path)
         except Exception:  # the session has ended; its shared folder is the cluster's to clean
