@@ -11,7 +11,7 @@ their strings in a text become their ids), with padding and truncation unused.
 
 Edge cases: null and empty texts have no ids and decode to an empty text. Texts of any length are encoded
 whole; words over LONG_WORD bytes go straight to exact merging (a heap, n log n). Repeated rows are encoded
-each, extra columns ignored.
+each, an empty table gives none. Extra columns are kept, but for one named as the result (``ids``, ``decoded``): it is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from .shared import documents, map_batches
 
@@ -352,32 +353,35 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with a column at its end, in place of one of that name."""
+    keep = [n for n in batch.schema.names if n.lower() != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in keep), values], names=[*keep, name])
+
+
 def _encode(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
-    texts = batch.column(batch.schema.names.index("text")).to_pylist()
-    raw = encoder(path).encode(texts)
+    raw = encoder(path).encode(batch.column(batch.schema.names.index("text")).to_pylist())
     offsets = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
-    return pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+    return _put(batch, "ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))))
 
 
 def _decode(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
     ids = batch.column(batch.schema.names.index("ids"))
-    texts = [encoder(path).decode(np.asarray(x.values)) if x.is_valid else None for x in ids]
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+    return _put(batch, "decoded", pa.array([encoder(path).decode(np.asarray(x.values)) if x.is_valid else None for x in ids], pa.string()))
 
 
-def _ddl(df: DataFrame) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
+    return StructType([f for f in df.schema if f.name.lower() != name] + [StructField(name, kind)])
 
 
 def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The rows with ``ids``, an array of int, from their ``text``."""
-    return map_batches(docs, functools.partial(_encode, path=tokenizer), _ddl(docs) + "ids array<int>")
+    """The rows with ``ids``, an array of int, from their ``text``; a column of that name is replaced."""
+    return map_batches(docs, functools.partial(_encode, path=tokenizer), _with(docs, "ids", ArrayType(IntegerType())))
 
 
 def decode_ids(tokens: DataFrame, tokenizer: str) -> DataFrame:
-    """The rows with ``decoded``, the text of their ``ids``."""
-    return map_batches(tokens, functools.partial(_decode, path=tokenizer), _ddl(tokens) + "decoded string")
+    """The rows with ``decoded``, the text of their ``ids``; a column of that name is replaced."""
+    return map_batches(tokens, functools.partial(_decode, path=tokenizer), _with(tokens, "decoded", StringType()))
 
 
 def _digests(batch: pa.RecordBatch, path: str) -> dict:

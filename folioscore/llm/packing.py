@@ -12,6 +12,7 @@ The table of intervals is bounded by the capacity, not by the data, and so may b
 
 Edge cases: a null or empty text is one piece, the closing id. Very long texts become many full pieces.
 Repeated rows are packed each; equal lengths are told apart by their rank. An empty table packs into nothing.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -214,7 +215,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         pa.table({"length": [i.length for i in intervals]} | {f"_{n}": [getattr(i, n) for i in intervals] for n in ("first", "last", "each", "sequence", "offset")}, schema=pa.schema([(n, pa.int64()) for n in ("length", "_first", "_last", "_each", "_sequence", "_offset")]))
     )
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32", "doc_tokens")]
-    ranked = gapless_ranks(pieces, ["length"], order, F.xxhash64("doc_id", "start", "ids_crc32"), "_rank", max(4, bucket_count(spark) // 8))
+    ranked = gapless_ranks(pieces, ["length"], order, F.xxhash64("doc_id", "start", "ids_crc32"), "_rank", bucket_count(spark) // 2)
     at = F.col("_rank") - F.col("_first")
     placed = ranked.join(F.broadcast(table), "length").where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last")))
     return placed.select(

@@ -3,13 +3,15 @@
 A text's zstandard ratio (raw bytes / compressed bytes) is low for incompressible text and high for repetitive
 text, and it depends on the length: a short text has little to repeat. So the limits are a table by length.
 The whole document is judged by the band of its length, and every fixed chunk of it (``chunk_bytes``), and the last
-``chunk_bytes`` where the chunks leave a tail, by the chunk band (a shorter text is one chunk, judged by the band of its length): if more than a share ``max_bad_chunks`` of the chunks is outside, the document is rejected.
+``chunk_bytes`` where the chunks leave a tail, by the chunk band (a shorter text is one chunk, judged by the band of its
+length): if more than a share ``max_bad_chunks`` of the chunks is outside, the document is rejected.
 
 Besides, the base counts of the words (runs without ASCII white space) are returned.
 
 Edge cases: a null or empty text has no words and fails the base rule; below 256 bytes a ratio only tells
 repetition, so there is no lower limit. Very long texts are read whole; their windows are counted in numpy.
-Repeated rows give equal rows; other columns are ignored.
+Repeated rows give equal rows, an empty table none. Other columns, whatever their names, are ignored by ``measure`` and kept by
+``keep_good``.
 """
 
 from __future__ import annotations
@@ -144,8 +146,7 @@ def _keep(batch: pa.RecordBatch, bands: Bands) -> pa.RecordBatch:
 
 def keep_good(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, functools.partial(_keep, bands=bands), ddl)
+    return map_batches(docs, functools.partial(_keep, bands=bands), docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ All of it is column expressions; rows of the tree (shards, not data) are literal
 sub-group counts (see gapless_ranks), so a shard of any size never meets in one task.
 
 Edge cases: a null key hashes as its own value; equal keys share a shard, whatever their texts; a null text
-has no bytes (size 16, CRC 0). Repeated rows get a slot each. Columns of other names are ignored.
+has no bytes (size 16, CRC 0). Repeated rows get a slot each; an empty table gives none. Only the size and the CRC of a text are kept, however long it is.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -10,19 +10,21 @@ Hot groups. Copies have one fingerprint and enter once. Many near copies can sha
 more than HOT fingerprints (an aggregate of two rows a fingerprint tells) is indexed finer, without a loss:
 pairs that differ in one bit of that segment differ in at most two of the other, so they agree on one of its
 thirds; pairs equal in that segment differ in at most three bits of the other, so one of its halves differs in at
-most one bit (a wildcard variant again). In a bucket, members are compared in numpy while the bucket streams by,
-and only links that join two parts of it are given out (fewer than members), never all pairs.
+most one bit (a wildcard variant again). In a bucket, members are compared in numpy while the bucket streams by (one that is
+large all the same is cut again, by the bits that vary in it), and only links that join two parts of it are given out (fewer than members), never all pairs.
 
 Components of the links are found on the executors (see components), and a document's component_id is the smallest
 doc_id with a fingerprint that is reachable.
 
 Edge cases: null, empty and blank texts have the fingerprint zero and link like any other; fewer than three words
 are one shingle. Repeated rows are in one component, a row each; a null doc_id counts only where no other is
-there. An empty table gives none. Other columns are ignored. Texts of any length are read whole.
+there. An empty table gives none. Texts of any length are read whole. Other columns, whatever their names, are ignored, and
+``keep_one`` keeps them.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, map_batches, ship_package, stored
+from .shared import documents, map_batches, ship_package, stored, unused
 
 SEED = 42
 SHINGLE = 3
@@ -40,6 +42,8 @@ MAX_BITS = 3
 HOT = 256
 #: Buckets up to this size give out all their links; larger ones a spanning forest.
 SMALL_BUCKET = 6
+#: Buckets over this size are cut into finer ones before their members are compared.
+FOREST = 2_048
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -61,18 +65,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > n).view(np.uint64)[0])
 
 
-def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
-    at = batch.schema.names.index("text")
-    prints = np.fromiter(map(fingerprint, batch.column(at).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
-    columns = [c for i, c in enumerate(batch.columns) if i != at]
-    names = [n for i, n in enumerate(batch.schema.names) if i != at]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(prints)], names=[*names, "fp"])
+def _fingerprints(batch: pa.RecordBatch, width: int) -> dict:
+    prints = np.fromiter((fingerprint(t, width) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+    return {"doc_id": batch.column(0), "h": batch.column(1), "fp": pa.array(prints)}
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """The rows with fp (long, the fingerprint's bits) instead of the text."""
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    return map_batches(docs, _fingerprints, ddl + "fp long")
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, h (the text's hash) and fp (long, the fingerprint's bits) of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return map_batches(rows, functools.partial(_fingerprints, width=width), "doc_id long, h long, fp long")
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -118,6 +119,23 @@ def _forest(members: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield from ((int(at), int(x)) for x in found)
 
 
+def _joining(members: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join the parts of one bucket of any size.
+
+    Members of a bucket agree in most bits. Of the bits that vary, cut into MAX_BITS + 1 parts, a linked pair agrees on one part
+    at least: so a bucket over FOREST members falls into finer ones, again and again, until they are small.
+    """
+    varying = int(np.bitwise_or.reduce(members ^ members[0]))
+    bits = [b for b in range(64) if varying >> b & 1]
+    if len(members) <= FOREST or len(bits) <= MAX_BITS:
+        yield from _forest(members)
+        return
+    for part in np.array_split(np.array(bits, np.uint64), MAX_BITS + 1):
+        values = members & np.bitwise_or.reduce(np.uint64(1) << part)
+        order = np.argsort(values, kind="stable")
+        yield from _bucket_links(values[order], members[order])
+
+
 class _Links:
     """Union-find over what a task has linked, so that it gives out each joining link once."""
 
@@ -156,7 +174,7 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
                     yield from set(zip(a[near].tolist(), b[near].tolist(), strict=True))
     large = size > SMALL_BUCKET
     for start, n in zip(edge[large].tolist(), size[large].tolist(), strict=True):
-        yield from _forest(fp[start : start + n])
+        yield from _joining(fp[start : start + n])
 
 
 def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +215,9 @@ def grouped(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return components(linked(prints, hot)).select(F.col("node").alias("fp"), "root")
 
 
-def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot: int = HOT, width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id of each row."""
-    prints, _ = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
+    prints, _ = stored(fingerprints(docs, width), "fingerprints")
     roots = grouped(prints, hot)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -207,15 +225,15 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (of equal ones, by the text's hash)."""
-    marked = docs.withColumn("_th", F.xxhash64("text"))
-    prints, _ = stored(fingerprints(marked.select("doc_id", "_th", "text")), "fingerprints")
+def keep_one(docs: DataFrame, hot: int = HOT, width: int = SHINGLE) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (of equal ones, by the text's hash; of repeated rows, any)."""
+    prints, _ = stored(fingerprints(docs, width), "fingerprints")
     roots = grouped(prints, hot)
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_th")).alias("w")).join(roots, "fp", "left")
-    chosen = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w._th").alias("_ch"))
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_ch")))
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("w")).join(roots, "fp", "left")
+    i, h, k = unused(docs, "_id", "_h", "_k")
+    chosen = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias(i), F.col("w.h").alias(k))
+    kept = docs.withColumn(h, F.xxhash64("text")).join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k)))
+    return kept.dropDuplicates(["doc_id", h]).drop(i, h, k)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

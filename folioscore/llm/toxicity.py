@@ -14,7 +14,8 @@ MAX_FEATURES enter: the model is bounded and travels with the tasks. Scoring rea
 Edge cases: null and empty texts have no features and the severity of the base rate. Without labelled rows of both
 classes nothing is toxic (severity 0). A doc_id with several labels counts as toxic if one of them says so; null
 labels are not used; of a doc_id with several texts the first in order is learned from, so that the sample stays
-bounded. Repeated rows get equal rows; other columns are ignored.
+bounded. Repeated rows get equal rows, an empty table none. Very long texts are read whole. Other columns, whatever their names,
+are ignored by ``grade`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -224,8 +225,7 @@ def _keep(batch: pa.RecordBatch, model: OrdinalModel, limit: float) -> pa.Record
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, limit: float = LIMIT) -> DataFrame:
     """The rows of docs that aren't toxic, with all their columns."""
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, functools.partial(_keep, model=model, limit=limit), ddl)
+    return map_batches(docs, functools.partial(_keep, model=model, limit=limit), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

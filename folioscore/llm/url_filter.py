@@ -13,7 +13,8 @@ candidate keys with the rules as a table.
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule and the default
 verdict. An empty path (``http://a.org``) starts with no rule's ``/``. Repeated rows are judged each;
 of a rule that is listed twice, ``block`` wins; of two fitting rules of equal length, the one with the
-longer host. Empty tables give empty results; other columns are ignored.
+longer host. Very long urls are probed only at domains that a rule's host can equal (by labels and length), so they cost no more
+than their length. Empty tables give empty results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import functools
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .shared import map_batches
 
@@ -40,11 +43,13 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 
 @dataclass(frozen=True)
 class UrlRules:
-    """A digest file: its name among the session's files, and the distinct lengths of the rules' paths."""
+    """A digest file: its name among the session's files, and what the rules' keys look like, which bounds the probes of a url."""
 
     file: str
     n: int
     path_lengths: tuple[int, ...]
+    #: (labels, longest host of so many labels), ascending
+    hosts: tuple[tuple[int, int], ...]
 
     @staticmethod
     def build(spark: SparkSession, rules: dict[str, str], max_bytes: int = 4_000_000_000) -> UrlRules:
@@ -57,7 +62,7 @@ class UrlRules:
         keys = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
         order = np.argsort(keys, kind="stable")
         ends = np.cumsum([0, *(len(texts[i]) for i in order)], dtype=np.int64)
-        blocks = np.fromiter((list(rules.values())[i] == "block" for i in order), np.uint8, len(texts))
+        blocks = np.fromiter((v == "block" for v in rules.values()), np.uint8, len(texts))[order]
         data = keys[order].tobytes() + ends.tobytes() + blocks.tobytes() + b"".join(texts[i] for i in order)
         name = f"url-rules-{hashlib.sha256(data).hexdigest()[:16]}.bin"
         if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
@@ -65,8 +70,13 @@ class UrlRules:
             with open(path, "wb") as f:
                 f.write(data)
             spark.sparkContext.addFile(path)
-        lengths = tuple(sorted({len(r) - r.index("/") for r in rules}))
-        return UrlRules(name, len(texts), lengths)
+        lengths, longest = set(), {}
+        for r in rules:
+            at = r.index("/")
+            lengths.add(len(r) - at)
+            labels = r.count(".", 0, at) + 1
+            longest[labels] = max(longest.get(labels, 0), at)
+        return UrlRules(name, len(texts), tuple(sorted(lengths)), tuple(sorted(longest.items())))
 
 
 class DigestArray:
@@ -108,14 +118,17 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and the domains above it, longest first."""
-    out = [host]
-    at = host.find(".")
-    while at >= 0:
-        out.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    return out
+def suffixes(host: str, hosts: tuple[tuple[int, int], ...]) -> Iterator[str]:
+    """The host and the domains above it, as far as they have the labels and the length of a rule's host."""
+    at, have = len(host), 0
+    for labels, longest in hosts:
+        while have < labels and at >= 0:
+            at = host.rfind(".", 0, at)
+            have += 1
+        if have < labels:
+            return
+        if len(host) - at - 1 <= longest:
+            yield host[at + 1 :]
 
 
 def _judge(batch: pa.RecordBatch, rules: UrlRules, default: str) -> pa.RecordBatch:
@@ -129,7 +142,7 @@ def _judge(batch: pa.RecordBatch, rules: UrlRules, default: str) -> pa.RecordBat
     where = np.fromiter((seen.setdefault((x["h"], x["p"]), len(seen)) for x in pairs), np.int64, len(pairs))
     candidates, owner = [], []
     for i, (host, start) in enumerate(seen):
-        for suffix in suffixes(host):
+        for suffix in suffixes(host, rules.hosts):
             for n in rules.path_lengths:
                 if len(start) >= n:
                     candidates.append((suffix + start[:n]).encode())
@@ -154,26 +167,35 @@ def judge_urls(pages: DataFrame, rules: UrlRules, id_col: str = "page_id", url_c
     """id, host, path, rule, verdict of each row; only the id and url columns are read."""
     host, path = host_and_path(F.col(url_col))
     wanted = pages.select(id_col, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    kind = wanted.schema[id_col].dataType.simpleString()
-    return map_batches(wanted, functools.partial(_judge, rules=rules, default=default), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    schema = StructType([*wanted.schema, StructField("rule", StringType()), StructField("verdict", StringType())])
+    return map_batches(wanted, functools.partial(_judge, rules=rules, default=default), schema)
 
 
-def judge_by_join(pages: DataFrame, rules: DataFrame, path_lengths: list[int], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_by_join(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """judge_urls for rule lists (rule, verdict) too large for an executor: candidates are joined by key.
 
-    Distinct (host, path start) pairs are judged once, so a hot host is one row before the join.
+    Distinct (host, path start) pairs are judged once, so a hot host is one row before the join. Only domains with as many
+    labels as a rule's host are candidates.
     """
+    place = F.locate("/", F.col("rule"))
+    # distinct lengths and label counts: no more than the longest rule has characters
+    shape = rules.agg(F.collect_set(F.char_length("rule") - place + 1), F.collect_set(F.regexp_count(F.substr("rule", F.lit(1), place), F.lit(r"\.")) + 1)).first()
+    path_lengths, label_counts = (sorted(x) for x in shape)
     host, path = host_and_path(F.col(url_col))
     longest = max(path_lengths, default=0)
-    rows = pages.select(id_col, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).withColumn("_p", F.substring("path", 1, longest))
+    rows = pages.select(F.col(id_col).alias("_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).withColumn("_p", F.substring("path", 1, longest))
     distinct = rows.select("host", "_p").distinct()
-    labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    starts = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("_p", 1, n).alias("s")) for n in path_lengths]), lambda x: F.char_length(x.s) == x.n)
-    keyed = distinct.select("host", "_p", F.explode(tails).alias("_t"), starts.alias("_s")).select("host", "_p", "_t", F.explode("_s.s").alias("_x")).withColumn("rule", F.concat("_t", "_x"))
+    labels = F.regexp_count(F.col("host"), F.lit(r"\.")) + 1
+
+    def listed(of: list[Column]) -> Column:
+        return F.array_compact(F.array(*of)) if of else F.array().cast("array<string>")
+
+    tails = listed([F.when(labels >= n, F.substring_index("host", ".", -n)) for n in label_counts])
+    starts = listed([F.when(F.char_length("_p") >= n, F.substring("_p", 1, n)) for n in path_lengths])
+    keyed = distinct.select("host", "_p", F.explode(tails).alias("_t"), starts.alias("_s")).select("host", "_p", "_t", F.explode("_s").alias("_x")).withColumn("rule", F.concat("_t", "_x"))
     fits = keyed.join(rules.groupBy("rule").agg(F.max("verdict").alias("verdict")), "rule")
     best = fits.groupBy("host", "_p").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.char_length("rule"), F.char_length("_t"))).alias("_w"))
-    return rows.join(best, ["host", "_p"], "left").select(id_col, "host", "path", F.col("_w.rule").alias("rule"), F.coalesce("_w.verdict", F.lit(default)).alias("verdict"))
+    return rows.join(best, ["host", "_p"], "left").select(F.col("_id").alias(id_col), "host", "path", F.col("_w.rule").alias("rule"), F.coalesce("_w.verdict", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
