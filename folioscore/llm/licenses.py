@@ -1,24 +1,25 @@
 """License scan by an exact set-similarity join.
 
-Templates are license notices as word sets; a text block (a run of lines) is a set of words. A block meets a
-template if it holds at least a share ``threshold`` of the template's words. Runs have ``block_lines`` lines; without
-it, as in the query, a template of k words (repeated ones too) is held against all runs of 1 to k lines that have
-words, so a notice is found however it is wrapped. A run holds what shorter runs in it hold, so those of k lines
-(fewer at the text's end) tell all. All pairs that meet are found:
+Templates are license notices as word sets. A text block is a window of consecutive words, REACH times as long as the
+template, wherever it begins and however its lines are wrapped; it meets the template if it holds at least a share ``threshold``
+of the template's words. All pairs that meet are found:
 
 * Words are ordered by global frequency, the rarest first. Only template words need an order: others add to no overlap.
 * Prefix filter: of a template with n words that needs k, one of the n - k + 1 rarest must be in the block. These are
-  the index, joined by equality; documents without any of them are dropped before they are cut into blocks.
-* Length filter: a block with fewer than k of the templates' words can't meet it.
+  the index, joined by equality with the words of the texts; texts without any of them are dropped before.
+* A block that meets may be moved up to its first template word, so only windows that begin at one and hold the joined word
+  are formed.
+* Length filter: a block with fewer than k of the templates' words can't meet the template.
 * Positional filter: behind the first common word, at least k - 1 more must be left on both sides.
 * What remains is verified by intersecting the sets.
 
 Everything is DataFrame functions. The index and the word order are bounded by the template list (checked), not
-by the data; documents' words are counted after map-side aggregation.
+by the data; documents' words are counted after map-side aggregation. Template words of a text are gathered in chunks of CHUNK
+words (with what a window reaches beyond), so a text of any length makes rows of bounded size.
 
 Edge cases: null and empty texts have no words, labels or places (first_word and last_word null, labels empty,
 score 0). Repeated rows give equal rows; equal doc_ids with other texts are kept apart by the text's hash. Very long
-texts are scanned whole. Extra columns are ignored.
+texts are scanned whole. An empty table gives none. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The phrases of the base rule and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 MAX_TEMPLATE_WORDS = 100_000
+#: A block's words for each word of the template.
+REACH = 1.5
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -54,9 +58,9 @@ class Template:
         return sorted(set(self._all))
 
     @property
-    def most_lines(self) -> int:
-        """The lines that the notice is wrapped over at most: one for each word, repeated ones too."""
-        return max(1, len(self._all))
+    def reach(self) -> int:
+        """The words of a block."""
+        return -(-round(1000 * REACH) * len(self._all) // 1000)
 
     @property
     def needed(self) -> int:
@@ -125,61 +129,56 @@ def word_order(words: Column, docs: DataFrame, templates: tuple[Template, ...])
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
-def matching_blocks(blocks: DataFrame, templates: tuple[Template, ...], order: list[str], keys: list[str]) -> DataFrame:
-    """(keys, template, overlap, containment) of all pairs that meet; blocks has keys and ``words``, an array."""
-    spark = blocks.sparkSession
-    rank = {w: i for i, w in enumerate(order)}
-    index = []
-    for n, t in enumerate(templates):
-        ranks = sorted(rank[w] for w in t.words)
-        index += [(r, n, i, len(ranks), t.needed, t.most_lines, ranks, t.label) for i, r in enumerate(ranks[: len(ranks) - t.needed + 1])]
-    schema = "token int, template int, i int, n int, needed int, most_lines int, ranks array<int>, label string"
-    arrow = pa.schema([("token", pa.int32()), ("template", pa.int32()), ("i", pa.int32()), ("n", pa.int32()), ("needed", pa.int32()), ("most_lines", pa.int32()), ("ranks", pa.list_(pa.int32())), ("label", pa.string())])
-    prefixes = spark.createDataFrame(pa.Table.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in index], schema=arrow), schema)
-    ranks = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
-    sets = blocks.select(*keys, F.array_sort(F.transform(F.array_intersect("words", _strings(order)), lambda w: F.element_at(ranks, w))).alias("have"))
-    probes = sets.select(*keys, "have", F.size("have").alias("m"), F.posexplode("have").alias("j", "token"))
-    # the index is bounded by the template list
-    hits = probes.join(F.broadcast(prefixes), "token").where("m >= needed AND least(n - i, m - j) >= needed")
-    if "lines" in keys:  # runs made for the templates that can be wrapped over as many lines
-        hits = hits.where("lines = most_lines")
-    # a pair is verified at its first common word only
-    first = hits.where(F.element_at(F.array_intersect("have", "ranks"), 1) == F.col("token"))
-    met = first.withColumn("overlap", F.size(F.array_intersect("have", "ranks"))).where("overlap >= needed")
-    return met.select(*keys, "template", "label", "overlap", (F.col("overlap") / F.col("n")).alias("containment"))
-
+def _table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
-def line_blocks(text: Column, block_lines: int) -> Column:
-    """The word arrays of all runs of block_lines lines (of all lines, if there are fewer)."""
-    lines = F.split(text, "\n")
-    if block_lines > 1:
-        runs = F.sequence(F.lit(1), F.greatest(F.size(lines) - (block_lines - 1), F.lit(1)))
-        lines = F.transform(runs, lambda i: F.array_join(F.slice(lines, i, block_lines), " "))
-    return F.transform(lines, lambda x: F.array_distinct(F.split(spaced_words(x), " ")))
 
+def template_words(texts: DataFrame, order: list[str], reach: int) -> DataFrame:
+    """(doc_id, _h, chunk, own) of texts (doc_id, _h, candidate): own has (at, rank) of the template words in and about a chunk."""
+    rank = _table(texts.sparkSession, [{"word": w, "rank": i} for i, w in enumerate(order)], pa.schema([("word", pa.string()), ("rank", pa.int32())]))
+    words = texts.select("doc_id", "_h", F.posexplode(F.split("candidate", " ")).alias("at", "word"))
+    # MAX_TEMPLATE_WORDS rows at most
+    placed = words.join(F.broadcast(rank), "word")
+    near = F.sequence(F.floor((F.col("at") - reach) / CHUNK), F.floor((F.col("at") + reach) / CHUNK))
+    # a set: repeated rows have equal places, and count once
+    return placed.select("doc_id", "_h", "at", "rank", F.explode(near).alias("chunk")).groupBy("doc_id", "_h", "chunk").agg(F.collect_set(F.struct("at", "rank")).alias("own"))
 
-def wrapped_blocks(text: Column, templates: tuple[Template, ...], order: list[str]) -> Column:
-    """(lines, words): the template words of all runs that may meet a template; the text must have a word."""
-    spaced = F.filter(F.transform(F.split(text, "\n"), spaced_words), lambda x: x != "")
-    lines = F.transform(spaced, lambda x: F.array_intersect(F.split(x, " "), _strings(order)))
 
-    def runs(own: Column, k: int, least: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.size(F.element_at(own, i)) > 0)
-        words = F.transform(starts, lambda i: F.array_distinct(F.flatten(F.slice(own, i, k))))
-        return F.transform(F.filter(words, lambda w: F.size(w) >= least), lambda w: F.struct(F.lit(k).alias("lines"), w.alias("words")))
+def matching_blocks(chunks: DataFrame, templates: tuple[Template, ...], order: list[str]) -> DataFrame:
+    """(doc_id, _h, template, label, overlap, containment) of all blocks that meet a template."""
+    rank = {w: i for i, w in enumerate(order)}
+    index = []
+    for t, template in enumerate(templates):
+        ranks = sorted(rank[w] for w in template.words)
+        own = {"template": t, "label": template.label, "n": len(ranks), "needed": template.needed, "reach": template.reach, "ranks": ranks}
+        index += [{"token": r, "i": i} | own for i, r in enumerate(ranks[: len(ranks) - template.needed + 1])]
+    small = ("token", "i", "template", "n", "needed", "reach")
+    prefixes = _table(chunks.sparkSession, index, pa.schema([(n, pa.int32()) for n in small] + [("label", pa.string()), ("ranks", pa.list_(pa.int32()))]))
+    tokens = sorted({x["token"] for x in index})
+    widest = max((t.reach for t in templates), default=1)
+    inside = F.filter("own", lambda o: (F.floor(o.at / CHUNK) == F.col("chunk")) & o.rank.isin(tokens))
+    around = F.transform(inside, lambda o: F.struct(o.rank.alias("token"), o["at"].alias("at"), F.filter("own", lambda x: F.abs(x.at - o["at"]) < widest).alias("near")))
+    hits = chunks.select("doc_id", "_h", F.explode(around).alias("hit")).select("doc_id", "_h", "hit.*")
+    # the index is bounded by the template list
+    hits = hits.join(F.broadcast(prefixes), "token")
+    starts = F.filter("near", lambda s: (s.at <= F.col("at")) & (s.at > F.col("at") - F.col("reach")) & F.array_contains("ranks", s.rank))
 
-    lengths = {k: min(t.needed for t in templates if t.most_lines == k) for k in sorted({t.most_lines for t in templates})}
-    # an array of one, so that the lines are cut once and not in every lambda
-    return F.flatten(F.transform(F.array(lines), lambda own: F.flatten(F.array(*[runs(own, k, least) for k, least in lengths.items()]))))
+    def block(s: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(F.filter("near", lambda x: (x.at >= s.at) & (x.at < s.at + F.col("reach"))), lambda x: x.rank)))
 
+    blocks = hits.select("doc_id", "_h", "token", "template", "label", "i", "n", "needed", "ranks", F.explode(F.array_distinct(F.transform(starts, block))).alias("have"))
+    blocks = blocks.withColumn("m", F.size("have")).withColumn("j", F.array_position("have", F.col("token")) - 1)
+    fits = blocks.where("m >= needed AND least(n - i, m - j) >= needed")
+    # a pair is verified at its first common word only
+    first = fits.withColumn("common", F.array_intersect("have", "ranks")).where(F.get("common", F.lit(0)) == F.col("token"))
+    met = first.withColumn("overlap", F.size("common")).where("overlap >= needed")
+    return met.select("doc_id", "_h", "template", "label", "overlap", (F.col("overlap") / F.col("n")).alias("containment"))
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None, block_lines: int | None = 1) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row.
 
-    block_lines: the lines of a block; None for all runs that a template can be wrapped over.
-    """
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
     phrases = PHRASES if phrases is None else phrases
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", spaced_words(F.col("text")).alias("spaced"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), spaced_words(F.col("text")).alias("spaced"))
     order = word_order(F.split("spaced", " "), texts, templates)
     rank = {w: i for i, w in enumerate(order)}
     probes = sorted({w for t in templates for w in sorted(t.words, key=rank.get)[: len(t.words) - t.needed + 1]})
@@ -187,14 +186,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
     base = base_columns(padded, phrases)
     n_words = F.when(F.col("spaced") == "", F.lit(0).cast("long")).otherwise(_spaces(F.col("spaced")) + 1)
     may = F.arrays_overlap(F.split("spaced", " "), _strings(probes))
-    looked, _ = stored(texts.select("doc_id", F.xxhash64("text").alias("_h"), n_words.alias("n_words"), *[c.alias(k) for k, c in base.items()], F.when(may, F.col("text")).alias("candidate")), "licenses")
-    candidates, keys = looked.where("candidate IS NOT NULL"), ["doc_id", "_h", "block"]
-    if block_lines is None:
-        blocks = candidates.select("doc_id", "_h", F.posexplode(wrapped_blocks(F.col("candidate"), templates, order)).alias("block", "run")).select(*keys, "run.lines", "run.words")
-        keys = [*keys, "lines"]
-    else:
-        blocks = candidates.select("doc_id", "_h", F.posexplode(line_blocks(F.col("candidate"), block_lines)).alias("block", "words"))
-    met = matching_blocks(blocks, templates, order, keys)
+    looked, _ = stored(texts.select("doc_id", "_h", n_words.alias("n_words"), *[c.alias(k) for k, c in base.items()], F.when(may, F.col("spaced")).alias("candidate")), "licenses")
+    chunks = template_words(looked.where("candidate IS NOT NULL"), order, max((t.reach for t in templates), default=1))
+    met = matching_blocks(chunks, templates, order)
     by_doc = met.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_k")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     rows = looked.drop("candidate").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left")
     every = F.concat("base", F.coalesce("more", F.array().cast("array<string>")))
@@ -207,29 +201,29 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir), block_lines=None)
+    return scan(documents(spark, sf_dir))
 
 
 def _sql() -> str:
-    """Every line against every template, and every place against every phrase, in DuckDB."""
+    """Every window that begins at a template's word against the template, and every place against every phrase, in DuckDB."""
     def listed(words) -> str:
         return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
-    templates = ", ".join(f"({i}, '{t.label}', {t.needed}, {listed(t.words)})" for i, t in enumerate(TEMPLATES))
+    templates = ", ".join(f"({i}, '{t.label}', {t.needed}, {t.reach}, {listed(t.words)})" for i, t in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{v}', {listed(k.split())})" for k, v in PHRASES.items())
     cut = f"list_filter(regexp_split_to_array(translate({{}}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {cut.format("coalesce(text, '')")} AS words FROM documents),
-templates(k, label, needed, words) AS (VALUES {templates}),
+templates(k, label, needed, reach, words) AS (VALUES {templates}),
 phrases(label, words) AS (VALUES {phrases}),
 places AS (
   SELECT d.doc_id, p.label, unnest(list_filter(range(len(d.words)), lambda i: d.words[i + 1 : i + len(p.words)] = p.words)) AS place FROM d, phrases p
 ),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-sets AS (SELECT doc_id, {cut.format("line")} AS words FROM lines),
 met AS (
-  SELECT s.doc_id, t.label, len(list_intersect(s.words, t.words)) AS overlap, len(t.words) AS n, t.needed FROM sets s, templates t
+  SELECT d.doc_id, t.label, t.needed, len(t.words) AS n,
+    list_max(list_transform(list_filter(range(len(d.words)), lambda i: list_contains(t.words, d.words[i + 1])), lambda i: len(list_intersect(d.words[i + 1 : i + t.reach], t.words)))) AS overlap
+  FROM d, templates t
 ),
 more AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(overlap / n) AS best FROM met WHERE overlap >= needed GROUP BY doc_id)
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,

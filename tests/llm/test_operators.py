@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -507,13 +508,19 @@ def test_ranges_of_ids(spark, splits):
 # -- 10 ---------------------------------------------------------------------------------------------------------
 
 
-def brute_licenses(text, templates=licenses.TEMPLATES, block_lines=1):
-    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
-    words = cut(text)
-    places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-    lines = text.split("\n")
-    blocks = [" ".join(lines[i : i + block_lines]) for i in range(max(1, len(lines) - block_lines + 1))]
-    met = [(t.label, len(set(cut(b)) & set(t.words)) / len(t.words)) for b in blocks for t in templates if len(set(cut(b)) & set(t.words)) >= t.needed]
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
+def brute_licenses(text, templates=licenses.TEMPLATES, phrases=licenses.PHRASES):
+    """Every window of every length class against every template."""
+    words = license_words(text)
+    places = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    met = []
+    for t in templates:
+        own, long = set(license_words(t.text)), math.ceil(1.5 * len(license_words(t.text)))
+        shares = [len(own & set(words[i : i + long])) / len(own) for i in range(len(words))] if own & set(words) else []
+        met += [(t.label, s) for s in shares if s >= t.threshold - 1e-9]
     base = {x for _, x in places}
     starts = [i for i, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in met})), max([*(c for _, c in met), 1.0 if places else 0.0])
@@ -530,45 +537,29 @@ def test_all_rights_reserved_alone(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {1: "all-rights-reserved", 2: "all-rights-reserved", 3: ""}
 
 
-def test_license_blocks_fuzz(spark):
+@pytest.mark.parametrize("chunk", [3, 512])
+def test_license_windows_fuzz(spark, monkeypatch, chunk):
+    """Dense word soups; chunks shorter than a window as well."""
+    monkeypatch.setattr(licenses, "CHUNK", chunk)
     rnd = random.Random(10)
     words = sorted({w for t in licenses.TEMPLATES for w in t.words})[:40] + ["other", "words", "of", "the"]
-    templates = (licenses.Template("p", " ".join(words[:8]), 0.7), licenses.Template("q", " ".join(words[5:20]), 0.5), licenses.Template("r", "solo"))
-    texts = ["\n".join(" ".join(rnd.choice(words + ["solo"]) for _ in range(rnd.randrange(14))) for _ in range(rnd.randrange(6))) for _ in range(150)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for n in (1, 2):
-        got = {r.doc_id: (r.labels, pytest.approx(r.score)) for r in licenses.scan(df, templates, block_lines=n).collect()}
-        assert got == {i: brute_licenses(t, templates, n)[5:] for i, t in enumerate(texts)}
-
-
-def brute_wrapped(text, templates):
-    """Labels and the best share of all runs of lines with words, 1 to as many as the template has words, by trying every one."""
-    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
-    lines = [set(w) for w in map(cut, text.split("\n")) if w]
-    met = []
-    for t in templates:
-        runs = [set().union(*lines[i : i + k]) for k in range(1, len(cut(t.text)) + 1) for i in range(len(lines))]
-        met += [(t.label, len(r & set(t.words)) / len(t.words)) for r in runs if len(r & set(t.words)) >= t.needed]
-    return ",".join(sorted({x for x, _ in met})), max([c for _, c in met], default=0.0)
+    templates = (licenses.Template("p", " ".join(words[:8]), 0.7), licenses.Template("q", " ".join(words[5:20]), 0.5), licenses.Template("r", "solo"), licenses.Template("s", "the the of of the other", 0.6))
+    texts = ["\n".join(" ".join(rnd.choice(words + ["solo"] * (k % 2)) for _ in range(rnd.randrange(14))) for _ in range(rnd.randrange(9))) for k in range(150)]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[4]), (None, texts[4]), (None, texts[5]), (6, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = by_row(licenses.scan(df, templates, {"the of": "x"}), "doc_id", "labels", "score")
+    want = Counter((i, *brute_licenses(t, templates, {"the of": "x"})[5:]) for i, t in rows)
+    assert {(i, x, round(y, 9)): n for (i, x, y), n in got.items()} == {(i, x, round(y, 9)): n for (i, x, y), n in want.items()}
 
 
-def test_wrapped_notices(spark, tmp_path):
+def test_wrapped_and_scattered_notices(spark, tmp_path):
     mit, bsd = licenses.TEMPLATES[1].text, licenses.TEMPLATES[5].text
     wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
-    texts = [f"intro\n{wrap(mit, 6)}\nend", f"# {wrap(bsd, 1)}", f"x\n\n{wrap(bsd, 9)}".replace("\n", "\n\n * "), "Copyright 2020\nAll rights\nreserved.", "all\nand\nother\nrights\nwere\nreserved", "plain\ntext", "", None]
+    apart = " ".join(w + " filler" * 500 for w in ("all", "copyright", "rights", "reserved"))
+    texts = [f"intro\n{wrap(mit, 6)}\nend", f"# {wrap(bsd, 1)}", f"x\n\n{wrap(bsd, 9)}".replace("\n", "\n\n * "), "Copyright 2020\nAll rights\nreserved.", "all\nand\nother\nrights\nwere\nreserved", "plain\ntext", "", None, apart, "w " * 30_000 + bsd]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.labels for r in licenses.op10_licenses(spark, str(tmp_path)).collect()}
-    assert got == {0: "mit", 1: "bsd", 2: "bsd", 3: "all-rights-reserved", 4: "", 5: "", 6: "", 7: ""}
-
-
-def test_wrapped_blocks_fuzz(spark):
-    rnd = random.Random(11)
-    words = sorted({w for t in licenses.TEMPLATES for w in t.words})[:40] + ["other", "words", "of", "the"]
-    templates = (licenses.Template("p", " ".join(words[:8]), 0.7), licenses.Template("q", " ".join(words[5:20]), 0.5), licenses.Template("r", "solo"))
-    texts = ["\n".join(" ".join(rnd.choice(words + ["solo"]) for _ in range(rnd.randrange(4))) for _ in range(rnd.randrange(30))) for _ in range(150)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.labels, pytest.approx(r.score)) for r in licenses.scan(df, templates, {"no such phrase": "none"}, None).collect()}
-    assert got == {i: brute_wrapped(t, templates) for i, t in enumerate(texts)}
+    assert got == {0: "mit", 1: "bsd", 2: "bsd", 3: "all-rights-reserved", 4: "", 5: "", 6: "", 7: "", 8: "", 9: "bsd"}
 
 
 @pytest.mark.parametrize(("query", "sql", "table"), [(url_filter.op1_url_filter, url_filter.SQL, "pages"), (licenses.op10_licenses, licenses.SQL, "documents")])
