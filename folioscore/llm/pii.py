@@ -116,7 +116,10 @@ def entity_key(kind: int, value: str) -> int:
 
 
 def contexts(text: str, spans: list[Span], near: int = NEAR) -> Iterator[tuple[int, int, str, int, int]]:
-    """(entity, window, term, start, end): each term near each entity, with the hash of the terms around it."""
+    """(entity, window, term, start, end): each term near each entity, with the hash of the terms around it.
+
+    An entity without any gives one row, its own place with a null term: it counts among the texts with the entity.
+    """
     if not spans:
         return
     starts = [s for s, _, _ in spans]
@@ -136,6 +139,8 @@ def contexts(text: str, spans: list[Span], near: int = NEAR) -> Iterator[tuple[i
         window = xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
         for w, i in zip(words, here, strict=True):
             yield entity, window, w, begins[i], ends[i]
+        if not here:
+            yield entity, window, None, s, e
 
 
 _FOUND = "doc_id long, _h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entity long, window long, term string, start int, end int"
@@ -205,12 +210,12 @@ def disclosures(found: DataFrame, docs: DataFrame, chance: float = CHANCE, gener
     n = F.lit(float(found.where("base_sha256 IS NOT NULL").select("_h").distinct().count()))
     near = _contexts_of(found).select("_h", "entity", "term", "window").distinct()
     texts, contexts = F.count_distinct("_h"), F.least(F.count_distinct("_h"), F.count_distinct("window"))
-    pairs, _ = stored(near.groupBy("entity", "term").agg(texts.alias("both"), contexts.alias("contexts")), "contexts")
+    pairs, _ = stored(near.where("term IS NOT NULL").groupBy("entity", "term").agg(texts.alias("both"), contexts.alias("contexts")), "contexts")
     limit = F.log(F.lit(chance / max(pairs.count(), 1)))
     entities = near.groupBy("entity").agg(texts.alias("of_entity"), contexts.alias("of_contexts"))
     # drops most pairs with one context, as chance may explain even a term of no other text
     pairs = pairs.join(entities, "entity").where(_log_chance(F.col("both"), n) <= limit)
-    least = near.groupBy("term").agg(F.count_distinct("_h").alias("least"))
+    least = near.where("term IS NOT NULL").groupBy("term").agg(F.count_distinct("_h").alias("least"))
     may = pairs.join(least, "term").where((_disclosure(F.col("both"), F.col("least"), F.col("of_entity"), n) >= generalise_at) & (_log_chance(F.col("least"), n) <= limit))
     kept, _ = stored(may.drop("least"), "pairs")
     wanted, _ = stored(kept.select("term").distinct(), "terms")

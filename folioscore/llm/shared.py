@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that one call of a batch function gets at most (a single longer text goes alone).
 SLICE_BYTES = 8_000_000
@@ -72,7 +72,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBa
 
     ship_package(df.sparkSession)
     typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return df.mapInArrow(functools.partial(_run, fn=fn, schema=to_arrow_schema(typed)), typed)
+    # mapInArrow can't take names with a backtick or a dot: they get others on the way
+    odd = [c for c in df.columns if "`" in c or "." in c]
+    if not odd:
+        return df.mapInArrow(functools.partial(_run, fn=fn, schema=to_arrow_schema(typed)), typed)
+    name = dict(zip(odd, unused(df, *["_odd"] * len(odd)), strict=True))
+    inner = StructType([StructField(name.get(f.name, f.name), f.dataType, f.nullable) for f in typed])
+    out = df.toDF(*[name.get(c, c) for c in df.columns]).mapInArrow(functools.partial(_run, fn=fn, schema=to_arrow_schema(inner)), inner)
+    return out.toDF(*typed.names)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
