@@ -57,7 +57,7 @@ def numbered(pages: DataFrame) -> DataFrame:
 def fake_predictions(manifest: DataFrame, truth: DataFrame, fail_every: int = 0) -> DataFrame:
     """The ground truth as samples, every fail_every-th page (from 1, in order) crashed."""
     if fail_every < 0:
-        raise ValueError("fail_every must be non-negative")
+        raise ValueError("fail_every is below 0")
     rows = truth.join(manifest.select("document_id", "page_id", "doc_pos", "page_pos"), ["document_id", "page_id"])
     good = F.struct(
         F.col("document_id").alias("document_id"), F.col("page_id").alias("page_id"), F.lit("success").alias("status"), F.col("truth").alias("page"),
@@ -66,5 +66,5 @@ def fake_predictions(manifest: DataFrame, truth: DataFrame, fail_every: int = 0)
     if not fail_every:
         return rows.select("document_id", "page_id", good.alias("sample"))
     rows = numbered(rows)
-    bad = failed_samples(rows.where(F.col("rn") % fail_every == 0), "crashed", "fake_failure", "deterministic fake adapter failure")
+    bad = failed_samples(rows.where(F.col("rn") % fail_every == 0), "crashed", "fake_failure", "made to fail")
     return rows.where(F.col("rn") % fail_every != 0).select("document_id", "page_id", good.alias("sample")).unionByName(bad)

@@ -7,15 +7,19 @@ checked in one go; ``require`` turns the first of them into an error.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..ship import ship_package
 from . import schemas as S
+from . import shapes
 
 
 class ContractError(ValueError):
@@ -36,7 +40,8 @@ def read_artifact(spark: SparkSession, kind: str, path: str, strict: bool = True
     schema = S.schema_of(kind)
     typed = raw.select("path", "value", F.from_json("value", schema).alias("a"))
     if strict:
-        require(key_violations(raw, kind).unionByName(artifact_violations(typed.select("a.*"), kind)))
+        require(shape_violations(raw, kind))
+        require(artifact_violations(typed.select("a.*"), kind))
     return typed.select("a.*")
 
 
@@ -230,8 +235,10 @@ def key_containment(manifest: DataFrame, rows: DataFrame, keys: list[str], rule:
 def bundle_violations(manifest: DataFrame, truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """V10 to V12, over the three typed artifacts."""
     def unequal(other: DataFrame, name: str, column: str) -> DataFrame:
-        pair = manifest.select(F.col(column).alias("a")).join(other.select(F.col(column).alias("b")))  # one row each
-        return _violations(pair.where(~F.col("a").eqNullSafe(F.col("b"))), "V10", name, F.lit(column), f"{column} differs from the manifest's")
+        known = manifest.select(F.to_json(column).alias("known")).distinct()
+        heads = other.select(F.to_json(column).alias("head")).distinct()
+        strange = heads.join(known, F.col("head").eqNullSafe(F.col("known")), "left_anti")
+        return _violations(strange, "V10", name, F.lit(column), f"{column} differs from the manifest's")
 
     pages = manifest_pages(manifest)
     sides = (("ground-truth", truth), ("prediction", predictions))
@@ -243,36 +250,26 @@ def bundle_violations(manifest: DataFrame, truth: DataFrame, predictions: DataFr
     return _union(parts)
 
 
-def _known_keys(kind: T.DataType, place: str = "$") -> dict[str, list[str]]:
-    """JSON path to the keys that an object there may have."""
-    if isinstance(kind, T.StructType):
-        out = {place: [f.name for f in kind]}
-        for f in kind:
-            out |= _known_keys(f.dataType, f"{place}.{f.name}")
-        return out
-    if isinstance(kind, T.ArrayType):
-        return _known_keys(kind.elementType, place + "[*]")
-    if isinstance(kind, T.MapType):
-        return _known_keys(kind.valueType, place + ".*") if isinstance(kind.valueType, T.StructType) else {}
-    return {}
+def _walk(batches: Iterable[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    names = ("path", "rule", "place", "message")
+    for batch in batches:
+        found = ((path, *fault) for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for fault in shapes.text_faults(text, kind))
+        while piece := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*piece, strict=True)], names=list(names))
 
 
-def key_violations(raw: DataFrame, kind: str) -> DataFrame:
-    """Closed schemas: files that are no JSON object, and keys that the schema doesn't have.
+def faults_of(raw: DataFrame, kind: str) -> DataFrame:
+    """(path, rule, place, message) of all faults of shape: no JSON object, unknown or missing keys, types, closed lists, bounds.
 
-    Spark's JSON reader drops unknown keys silently. A file that survives typing unchanged has none: its keys are
-    counted before and after.
+    raw: path and value, a file's text each. Files are walked on the executors.
     """
-    ddl = S.ARTIFACTS[kind]
-    known = sorted({k for keys in _known_keys(T.StructType.fromDDL(ddl)).values() for k in keys})
-    no_object = raw.where(F.json_object_keys("value").isNull() | ~F.ltrim("value").startswith("{"))
-    # every quoted name before a colon; open maps (details, runtime, hardware, metrics) are cut out first
-    closed = F.regexp_replace("value", r'"(details|runtime|hardware|metrics)"\s*:\s*\{[^{}]*(\{[^{}]*\}[^{}]*)*\}', '"$1": null')
-    # all strings from the left, each with the colon behind it if it is a name; values may hold colons and quotes
-    strings = F.regexp_extract_all(closed, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'), F.lit(0))
-    names = F.transform(F.filter(strings, lambda x: F.endswith(x, F.lit(":"))), lambda x: F.regexp_extract(x, r'^"(.*)"\s*:$', 1))
-    unknown = raw.select("path", F.explode(F.array_except(F.array_distinct(names), F.array(*map(F.lit, known)))).alias("k"))
-    return _violations(no_object, "object", kind, F.col("path"), "not a JSON object").unionByName(_violations(unknown, "closed", kind, F.col("k"), "unknown key"))
+    ship_package(raw.sparkSession)
+    return raw.select("path", "value").mapInArrow(functools.partial(_walk, kind=kind), "path string, rule string, place string, message string")
+
+
+def shape_violations(raw: DataFrame, kind: str) -> DataFrame:
+    found = faults_of(raw, kind)
+    return found.select("rule", F.lit(kind).alias("artifact"), F.col("place").alias("key"), F.concat("message", F.lit(" in "), "path").alias("message"))
 
 
 def require(violations: DataFrame) -> None:

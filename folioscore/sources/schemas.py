@@ -22,6 +22,12 @@ LANGUAGES = ("ar", "fr", "en", "latin", "mixed", "unknown")
 SCRIPTS = ("arabic", "latin", "mixed", "common", "unknown")
 DIRECTIONS = ("rtl", "ltr", "mixed", "unknown")
 FAILURES = ("missing", "crashed", "timeout", "invalid", "ground_truth_missing")
+SEVERITIES = ("info", "warning", "error")
+PROVENANCES = ("human_annotation", "synthetic_generator", "system_prediction", "native_pdf", "ocr", "vlm", "manual_correction", "derived")
+SOURCE_TYPES = ("synthetic", "redistributable", "reference-only", "private-evaluation")
+LICENSES = ("verified", "unverified", "unknown", "not_applicable")
+REDISTRIBUTIONS = ("redistributable", "reference-only", "private-evaluation", "synthetic")
+UNITS = ("page", "digit_page", "block", "equation", "table", "milliseconds", "megabytes", "field", "financial_value", "confidence_block", "diagram")
 BLOCK_TYPES = ("title", "instruction", "exercise", "subquestion", "paragraph", "list", "table", "equation", "figure", "diagram", "caption", "header", "footer", "page_number", "answer_space", "stamp", "signature", "unknown")
 COORDINATES = {"unit": "pixel", "origin": "top_left", "x_axis": "right", "y_axis": "down"}
 
@@ -69,6 +75,63 @@ ARTIFACTS: dict[str, str] = {
 }
 
 
+# What a JSON artifact must hold, object by object. A name is required; with "?" it may be left out or null, with "~" left out,
+# with "!" null. A value is a kind of text or number, a tuple of allowed values, another object's name, [x] for a list of x
+# ([x, 1]: of one at least), or {"*": x} for any names.
+_PLACE = {"bbox": "bbox", "confidence": "confidence", "provenance": "provenance", "alternatives": ["alternative"], "warnings": ["warning"]}
+_WORDS = {"raw_text": "string", "normalized_text": "string", "search_text?": "string", "language": LANGUAGES, "script": SCRIPTS, "direction": DIRECTIONS}
+_SOURCE = {"canonical_source_url?": "string", "source_organization?": "string", "retrieval_date?": "string"}
+_PIXELS = {"width": "positive", "height": "positive"}
+_KEY = {"document_id": "identifier", "page_id": "identifier"}
+_TOP = {"schema_version": "version", "dataset_revision": "dataset_revision"}
+_TOPS = _TOP | {"coordinate_system": {k: (v,) for k, v in COORDINATES.items()}}
+_MAKER = {"system": "system", "run": "run"}
+SHAPES: dict[str, dict] = {
+    "checksum": {"algorithm": ("sha256",), "value": "sha256", "size_bytes?": "count"},
+    "dataset_revision": {"dataset_id": "identifier", "revision": "revision", "manifest_checksum?": "checksum"},
+    "bbox": {"x": "amount", "y": "amount", "width": "extent", "height": "extent"},
+    "confidence": {"score": "share", "calibrated": "boolean", "method?": "text"},
+    "warning": {"code": "identifier", "message": "text", "severity": SEVERITIES, "stage?": "text"},
+    "error": {"code": "identifier", "message": "text", "stage?": "text", "retryable": "boolean"},
+    "provenance": {"kind": PROVENANCES, "source": "text", "version?": "text", "model?": "text", "stage?": "text", "details": "open"},
+    "event": {
+        "event_id": "identifier", "stage": "text", "status": EVENT_STATUSES, "trigger": "text", "adapter_name": "text", "adapter_version": "text", "model_name?": "string", "model_revision?": "string",
+        "confidence_before?": "share", "confidence_after?": "share", "duration_ms?": "amount", "details": "open",
+    },
+    "alternative": {"raw_text": "string", "normalized_text": "string", "confidence": "confidence", "provenance": "provenance", "reason?": "text"},
+    "cell": {"cell_id": "identifier", "row_index": "count", "column_index": "count", "row_span": "positive", "column_span": "positive", "bbox": "bbox", "raw_text": "string", "normalized_text": "string"},
+    "table": {"rows": "positive", "columns": "positive", "cells": ["cell", 1]},
+    "span": {"span_id": "identifier"} | _WORDS | _PLACE,
+    "line": {"line_id": "identifier"} | _WORDS | _PLACE | {"reading_order_index": "count", "spans": ["span", 1]},
+    "block": {"block_id": "identifier", "block_type": BLOCK_TYPES, "reading_order_index": "count", "lines": ["line"], "equation_text?": "string", "table?": "table"} | _PLACE,
+    "page": {"page_id": "identifier", "page_index": "count", "checksum": "checksum", "blocks": ["block"], "reading_order": ["identifier"], "provenance": "provenance", "warnings": ["warning"], "events~": ["event"]} | _PIXELS,
+    "source": {"kind": SOURCE_TYPES, "title": "text", "license_status": LICENSES, "redistribution": REDISTRIBUTIONS, "notes?": "string"} | _SOURCE,
+    "reference": {"reference_id": "identifier", "title": "text", "license_status": LICENSES[:3], "redistribution": REDISTRIBUTIONS[:3], "notes": "text"} | _SOURCE,
+    "manifest_page": {"page_id": "identifier", "page_index": "count", "checksum": "checksum", "source_kind": SOURCE_KINDS, "tags": ["identifier"]} | _PIXELS,
+    "manifest_document": {"document_id": "identifier", "split": SPLITS, "category": "identifier", "checksum": "checksum", "source": "source", "pages": ["manifest_page", 1]},
+    "truth_document": {"document_id": "identifier", "pages": ["page", 1], "extractions~": ["extraction"]},
+    "validation": {"rule": "identifier", "status": VALIDATION_STATUSES, "message": "text", "confidence": "share"},
+    "field": {"field_id": "identifier", "field_name": "name", "value": "string", "normalized_value": "string", "value_type": VALUE_TYPES, "confidence": "confidence", "page_id?": "identifier", "bbox?": "bbox", "provenance": "provenance", "warnings": ["warning"]},
+    "extraction": {"document_id": "identifier", "schema_name": "identifier", "schema_version": "version", "fields": ["field"], "validations": ["validation"]},
+    "sample": _KEY | {"status": STATUSES, "page!": "page", "error!": "error", "runtime_ms?": "amount", "peak_memory_mb?": "amount"},
+    "system": {
+        "name": "text", "version": "text", "adapter_name": "text", "adapter_version": "text", "model_name?": "string", "model_version?": "string", "execution_provider": "text",
+        "command?": "string", "git_commit?": "string", "runtime": "open", "hardware": "open",
+    },
+    "run": {"run_id": "identifier", "started_at?": "moment", "finished_at?": "moment", "duration_ms?": "amount", "command?": "string", "dependency_lock_hash?": "string"},
+    "asset": _KEY | {"media_type": MEDIA_TYPES, "relative_path": "path", "checksum": "checksum"} | _PIXELS,
+    "summary": {"total_pages": "count", "scored_pages": "count"} | {f"{x}_pages": "count" for x in FAILURES},
+    "metric": {"micro": "amount", "macro": "amount", "sample_count": "count", "unit": UNITS, "higher_is_better": "boolean"},
+    "failure": _KEY | {"status": FAILURES, "message": "text"},
+    "category": {"category": "identifier", "summary": "summary", "metrics": {"*": "metric"}},
+    "manifest": _TOPS | {"documents": ["manifest_document"], "reference_sources": ["reference"], "notes": ["string"]},
+    "ground-truth": _TOPS | {"annotation_provenance": "provenance", "documents": ["truth_document"]},
+    "prediction": _TOPS | _MAKER | {"samples": ["sample"], "document_extractions~": ["extraction"]},
+    "assets": _TOP | {"assets": ["asset"]},
+    "report": _TOPS | _MAKER | {"generated_at": "moment", "summary": "summary", "metrics": {"*": "metric"}, "category_breakdown": ["category"], "failures": ["failure"], "notes": ["string"]},
+}
+
+
 def schema_of(kind: str) -> T.StructType:
     if kind == "common":
         return T.StructType.fromDDL(f"page {PAGE}, extraction {EXTRACTION}, sample {SAMPLE}, system {SYSTEM}, run {RUN}")

@@ -135,6 +135,23 @@ def test_command_line_round_trip(bundle):
         ("ground-truth.json", "ground-truth", lambda v: v["documents"][0]["pages"][0]["reading_order"].append("nobody"), "V2"),
         ("predictions.json", "prediction", lambda v: v["samples"][0].update(status="crashed"), "V8"),
         ("predictions.json", "prediction", lambda v: v["samples"].append(v["samples"][0]), "V9"),
+        ("predictions.json", "prediction", lambda v: v.pop("samples"), r"required: \$.samples"),
+        ("predictions.json", "prediction", lambda v: (v.pop("system"), v.pop("run")), r"required: \$.(run|system)"),
+        ("predictions.json", "prediction", lambda v: v["system"].update(name=None), r"type: \$.system.name"),
+        ("predictions.json", "prediction", lambda v: next(x for x in v["samples"] if x["error"])["error"].pop("code"), r"required: \$.samples\[2\].error.code"),
+        ("predictions.json", "prediction", lambda v: v["samples"][0].update(runtime_ms="fast"), r"type: \$.samples\[0\].runtime_ms"),
+        ("predictions.json", "prediction", lambda v: v["samples"][0].update(split="dev"), r"closed: \$.samples\[0\].split"),
+        ("predictions.json", "prediction", lambda v: v["samples"][0].update(document_id="../../x"), r"value: \$.samples\[0\].document_id"),
+        ("predictions.json", "prediction", lambda v: v["samples"][0].pop("error"), r"required: \$.samples\[0\].error"),
+        ("predictions.json", "prediction", lambda v: v["run"].update(started_at="yesterday"), r"value: \$.run.started_at"),
+        ("predictions.json", "prediction", lambda v: v["samples"][0]["page"]["blocks"][0]["lines"][0].update(language="xx"), r"value: .*lines\[0\].language"),
+        ("predictions.json", "prediction", lambda v: v["samples"][0]["page"]["blocks"][0]["lines"][0].update(spans=[]), r"value: .*spans"),
+        ("ground-truth.json", "ground-truth", lambda v: v["annotation_provenance"]["details"].update(a=[1]), r"value: \$.annotation_provenance.details"),
+        ("ground-truth.json", "ground-truth", lambda v: v["documents"][0]["pages"][0].update(width=True), r"type: .*width"),
+        ("ground-truth.json", "ground-truth", lambda v: v["documents"][0].update(pages=[]), r"value: .*pages"),
+        ("manifest.json", "manifest", lambda v: v.update(notes="none"), r"type: \$.notes"),
+        ("report.json", "report", lambda v: v["metrics"]["cer"].update(unit="pages"), r"value: \$.metrics.cer.unit"),
+        ("report.json", "report", lambda v: v["failures"][0].update(status="lost"), r"value: \$.failures\[0\].status"),
     ],
 )
 def test_broken_contracts(spark, bundle, name, kind, change, rule):
@@ -142,6 +159,22 @@ def test_broken_contracts(spark, bundle, name, kind, change, rule):
         C.read_artifact(spark, kind, changed(bundle, name, change))
 
 
+def test_shapes_and_typed_schemas_have_the_same_names(spark):
+    def compare(shape, kind, place):
+        shape = S.SHAPES[shape] if isinstance(shape, str) and shape in S.SHAPES else shape
+        if isinstance(shape, list):
+            compare(shape[0], kind.elementType, place)
+        elif isinstance(shape, dict) and "*" in shape:
+            compare(shape["*"], kind.valueType, place)
+        elif isinstance(shape, dict):
+            assert {n.rstrip("?~!") for n in shape} == set(kind.names), place
+            for n, inner in shape.items():
+                compare(inner, kind[n.rstrip("?~!")].dataType, f"{place}.{n}")
+
+    for kind in S.ARTIFACTS:
+        compare(kind, S.schema_of(kind), kind)
+
+
 def test_bundle_rules(spark, bundle):
     m, t = (C.read_artifact(spark, k, str(bundle / f"{k}.json")) for k in ("manifest", "ground-truth"))
     p = C.read_artifact(spark, "prediction", changed(bundle, "predictions.json", lambda v: (v["dataset_revision"].update(revision="9"), v["samples"][0].update(page_id="other"))), strict=False)
@@ -193,6 +226,13 @@ def test_runner(spark, bundle, tmp_path):
     C.read_artifact(spark, "prediction", str(tmp_path / "out.json"))
     with pytest.raises(ValueError):
         runner.Limits(timeout_seconds=0)
+    with pytest.raises(ValueError):
+        runner.run_system(spark, ["true", ""], bundle, tmp_path / "x.json", "sys")
+    broken = "import json, sys; v = json.load(open(sys.argv[1] + '/predictions.json')); del v['run']; json.dump(v, open(sys.argv[2], 'w'))"
+    assert run("-c", broken, "{bundle}", "{predictions}").status == "invalid"
+    copy = [sys.executable, "-c", copied, "{bundle}", "{predictions}"]
+    both = runner.run_systems(spark, {"one": copy, "two": [sys.executable, "-c", "raise SystemExit(3)"]}, bundle, tmp_path / "many")
+    assert {n: r.status for n, r in both.items()} == {"one": "success", "two": "crashed"} and all(r.predictions_path.is_file() for r in both.values())
 
 
 def test_http(spark, bundle):
