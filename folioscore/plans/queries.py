@@ -94,7 +94,7 @@ def status_counts_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PAGES} SELECT category, grouping(category)::INT AS is_total, 'runtime_ms' AS metric, round(sum(o_totalprice / 1000) / greatest(count(*), 1), 6) AS micro, round(avg(o_totalprice / 1000), 6) AS macro, count(*) AS sample_count
 FROM outcomes WHERE outcome NOT IN ('missing', 'ground_truth_missing') GROUP BY GROUPING SETS ((category), ())""")
 def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sc.aggregate(sc.performance_observations(sc.classify(*_order_pages(spark, sf_dir)))))
+    return _rounded(sc.aggregate(sc.performance_observations(sc.outcomes(sc.classify(*_order_pages(spark, sf_dir))))))
 
 
 def _rounded(aggregated: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """A report from the three small tables of a scoring run: as an object, as JSON and as Markdown.
 
-What reaches the driver is bounded by metrics x categories, and the failure list; ``write_tables`` keeps everything
-distributed for runs whose failures are too many for one document.
+What reaches the driver is bounded by metrics x categories. Failures, which are not bounded, stream into a report's file a
+partition at a time; ``score_tables`` goes from page tables to report tables, and collects none.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _counts(row: Any) -> dict[str, int]:
     return {"total_pages": row.total_pages} | {f"{c}_pages": row[f"{c}_pages"] for c in COUNTERS}
 
 
-def build_report(scored: Scored, head: dict) -> dict:
+def build_report(scored: Scored, head: dict, with_failures: bool = True) -> dict:
     """The report object; head: dataset_revision, coordinate_system, system, run."""
     order = {m.name: i for i, m in enumerate(METRICS)}
     metrics: dict = {}
@@ -45,7 +45,7 @@ def build_report(scored: Scored, head: dict) -> dict:
         "summary": total,
         "metrics": metrics.get((1, None), empty),
         "category_breakdown": [{"category": c, "summary": n, "metrics": metrics.get((t, c), empty)} for (t, c), n in sorted(counts.items(), key=lambda x: x[0][1] or "")],
-        "failures": [r.asDict() for r in scored.failures.collect()],
+        "failures": [r.asDict() for r in scored.failures.toLocalIterator()] if with_failures else [],
         "notes": NOTES,
     }
 
@@ -54,7 +54,7 @@ def score_artifacts(manifest: DataFrame, truth: DataFrame, predictions: DataFram
     """Score typed artifacts (see contracts.read_artifact)."""
     if check:
         C.require(C.bundle_violations(manifest, truth, predictions))
-    return Scored(C.manifest_pages(manifest), C.truth_pages(truth), C.samples(predictions), C.truth_extractions(truth), C.extractions(predictions))
+    return Scored(C.manifest_pages(manifest), C.truth_pages(truth), C.samples(predictions), C.truth_extractions(truth), C.extractions(predictions), store=True)
 
 
 def score_files(spark: SparkSession, manifest: str, truth: str, predictions: str, output: str | None = None) -> dict:
@@ -63,11 +63,49 @@ def score_files(spark: SparkSession, manifest: str, truth: str, predictions: str
     # the heads, as JSON, keep the open maps as they were given
     head = json.loads(m.selectExpr("to_json(struct(dataset_revision, coordinate_system))").first()[0]) | json.loads(p.selectExpr("to_json(struct(system, run))").first()[0])
     report = build_report(scored, head)
+    scored.close()
     if output:
         write_json(report, output)
     return report
 
 
+#: The page tables of a scoring run: Parquet, in as many files as there are pages for. The last two may be absent.
+PAGE_TABLES = ("manifest", "truth", "samples", "truth_extractions", "extractions")
+
+
+def save_tables(manifest: DataFrame, truth: DataFrame, predictions: DataFrame, folder: str) -> None:
+    """Artifacts, of which there may be many, as page tables for score_tables."""
+    rows = (C.manifest_pages(manifest), C.truth_pages(truth), C.samples(predictions), C.truth_extractions(truth), C.extractions(predictions))
+    for name, table in zip(PAGE_TABLES, rows, strict=True):
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def score_tables(spark: SparkSession, folder: str, output: str, head: dict, extractions: bool = True) -> dict:
+    """Page tables to report tables in ``output``, all distributed; the returned report has no failures."""
+    names = PAGE_TABLES if extractions else PAGE_TABLES[:3]
+    scored = Scored(*(spark.read.parquet(f"{folder}/{name}") for name in names), store=True)
+    write_tables(scored, output)
+    report = build_report(scored, head, with_failures=False)
+    scored.close()
+    return report
+
+
+def write_report(report: dict, failures: DataFrame, path: str | Path) -> Path:
+    """write_json of a report whose failures stream from their table, a partition at a time."""
+    before, after = json.dumps(report | {"failures": []}, ensure_ascii=False, indent=2, sort_keys=True).split('"failures": []', 1)
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with target.open("w", encoding="utf-8", newline="\n") as out:
+        out.write(before + '"failures": [')
+        end = "]"
+        for i, row in enumerate(failures.toLocalIterator()):
+            item = json.dumps(row.asDict(), ensure_ascii=False, indent=2, sort_keys=True).replace("\n", "\n    ")
+            out.write((",\n    " if i else "\n    ") + item)
+            end = "\n  ]"
+        out.write(end + after + "\n")
+    return target
+
+
 def write_json(value: dict, path: str | Path) -> Path:
     """UTF-8, sorted keys, two spaces, a final line end; folders are made."""
     target = Path(path)
@@ -88,15 +126,28 @@ def _table(metrics: dict) -> list[str]:
     return ["| Metric | Micro | Macro | Samples |", "| --- | ---: | ---: | ---: |", *rows]
 
 
+#: Fixed values, the output's format: what the head says, and the line of a category and of a failure.
+HEAD_LINES = (
+    ("Dataset", "`{dataset_revision[dataset_id]}@{dataset_revision[revision]}`"),
+    ("System", "`{system[name]}@{system[version]}`"),
+    ("Total pages", "**{summary[total_pages]}**"),
+    ("Scored pages", "**{summary[scored_pages]}**"),
+    ("Missing/crashed/timeout", "**{summary[missing_pages]}/{summary[crashed_pages]}/{summary[timeout_pages]}**"),
+)
+CATEGORY_LINE = "Pages: {scored_pages}/{total_pages} scored; missing {missing_pages}, crashed {crashed_pages}, timeout {timeout_pages}."
+FAILURE_LINE = "- `{status}` `{document_id}/{page_id}`: {message}"
+
+
 def render_markdown(report: dict) -> str:
     """A compact view of a report, numbers with four decimals."""
-    n, data, system = report["summary"], report["dataset_revision"], report["system"]
-    out = ["# Scoring report", "", f"- Dataset: `{data['dataset_id']}@{data['revision']}`", f"- System: `{system['name']}@{system['version']}`", f"- Total pages: **{n['total_pages']}**", f"- Scored pages: **{n['scored_pages']}**", f"- Missing/crashed/timeout: **{n['missing_pages']}/{n['crashed_pages']}/{n['timeout_pages']}**", "", "## Metrics", "", *_table(report["metrics"]), "", "## Category breakdown", ""]
-    for c in report["category_breakdown"]:
-        k = c["summary"]
-        out += [f"### `{c['category']}`", "", f"Pages: {k['scored_pages']}/{k['total_pages']} scored; missing {k['missing_pages']}, crashed {k['crashed_pages']}, timeout {k['timeout_pages']}.", "", *_table(c["metrics"]), ""]
-    out += ["## Failures", "", *([f"- `{f['status']}` `{f['document_id']}/{f['page_id']}`: {f['message']}" for f in report["failures"]] or ["None."])]
-    return "\n".join(out) + "\n"
+    categories = [line for c in report["category_breakdown"] for line in (f"### `{c['category']}`", "", CATEGORY_LINE.format(**c["summary"]), "", *_table(c["metrics"]), "")]
+    sections = {
+        "# Scoring report": [*(f"- {label}: {value.format(**report)}" for label, value in HEAD_LINES), ""],
+        "## Metrics": [*_table(report["metrics"]), ""],
+        "## Category breakdown": categories,
+        "## Failures": [FAILURE_LINE.format(**f) for f in report["failures"]] or ["None."],
+    }
+    return "\n".join(line for title, lines in sections.items() for line in (title, "", *lines)) + "\n"
 
 
 def write_markdown(report: dict, path: str | Path) -> Path:

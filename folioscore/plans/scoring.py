@@ -17,6 +17,7 @@ from ..functions import calibration as cal
 from ..functions import fields as fld
 from ..functions import geometry as geo
 from ..functions import text as txt
+from ..session import discard, written
 from ..sources.schemas import METRICS
 
 KEYS = ["document_id", "page_id"]
@@ -59,6 +60,14 @@ def classify(manifest: DataFrame, truth: DataFrame, samples: DataFrame) -> DataF
     return rows.withColumn("outcome", outcome).withColumn("message", fixed)
 
 
+def outcomes(classified: DataFrame) -> DataFrame:
+    """The classified pages without their contents: what counters, failures and measurements read.
+
+    The joins below then move keys, checksums and numbers only, as Parquet scans read no other field.
+    """
+    return classified.select(*KEYS, "category", "doc_pos", "page_pos", "outcome", "message", F.col("sample.runtime_ms").alias("runtime_ms"), F.col("sample.peak_memory_mb").alias("peak_memory_mb"))
+
+
 def failures(classified: DataFrame) -> DataFrame:
     """document_id, page_id, status, message of the pages not scored, in manifest order."""
     rows = classified.where("outcome <> 'scored'").orderBy("doc_pos", "page_pos")
@@ -187,10 +196,10 @@ def page_observations(scored: DataFrame) -> DataFrame:
     return pages.select(*KEYS, "category", F.explode(F.array_compact(found)).alias("o")).select(*KEYS, "category", "o.*")
 
 
-def performance_observations(classified: DataFrame) -> DataFrame:
-    """Runtime and memory of every sample that was given, scored or not."""
-    measured = classified.where("outcome NOT IN ('missing', 'ground_truth_missing')")
-    found = F.array(*[_observed(m, F.col(f"sample.{m}"), F.col(f"sample.{m}"), F.lit(1), F.lit(1), F.col(f"sample.{m}").isNotNull()) for m in ("runtime_ms", "peak_memory_mb")])
+def performance_observations(pages: DataFrame) -> DataFrame:
+    """Runtime and memory of every sample that was given, scored or not, from ``outcomes``."""
+    measured = pages.where("outcome NOT IN ('missing', 'ground_truth_missing')")
+    found = F.array(*[_observed(m, F.col(m), F.col(m), F.lit(1), F.lit(1), F.col(m).isNotNull()) for m in ("runtime_ms", "peak_memory_mb")])
     return measured.select(*KEYS, "category", F.explode(F.array_compact(found)).alias("o")).select(*KEYS, "category", "o.*")
 
 
@@ -240,15 +249,25 @@ def metric_table(aggregated: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 class Scored:
-    """The three tables of a report."""
+    """The tables of a report: observations, summary, metrics, failures.
 
-    def __init__(self, manifest: DataFrame, truth: DataFrame, samples: DataFrame, truth_extractions: DataFrame | None = None, extractions: DataFrame | None = None):
-        self.classified = classify(manifest, truth, samples)
-        observed = page_observations(self.classified.where("outcome = 'scored'")).unionByName(performance_observations(self.classified))
+    store: write the outcomes to the shared folder once, so that only the page metrics read pages again; ``close``
+    deletes them when the tables have been used.
+    """
+
+    def __init__(self, manifest: DataFrame, truth: DataFrame, samples: DataFrame, truth_extractions: DataFrame | None = None, extractions: DataFrame | None = None, store: bool = False):
+        classified = classify(manifest, truth, samples)
+        self.pages, self._path = written(outcomes(classified), "outcomes") if store else (outcomes(classified), None)
+        observed = page_observations(classified.where("outcome = 'scored'")).unionByName(performance_observations(self.pages))
         if truth_extractions is not None and extractions is not None:
             categories = manifest.groupBy("document_id").agg(F.min("category").alias("category"))
             observed = observed.unionByName(extraction_observations(truth_extractions, extractions, categories))
         self.observations = observed
-        self.summary = summaries(self.classified)
-        self.failures = failures(self.classified)
+        self.summary = summaries(self.pages)
+        self.failures = failures(self.pages)
         self.metrics = metric_table(aggregate(observed), self.summary)
+
+    def close(self) -> None:
+        if self._path:
+            discard(self.pages.sparkSession, self._path)
+            self._path = None

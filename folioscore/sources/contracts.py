@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ship import ship_package
+from ..session import ship_package
 from . import schemas as S
 from . import shapes
 

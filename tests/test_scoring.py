@@ -181,6 +181,21 @@ def test_bundle_rules(spark, bundle):
     assert {r.rule for r in C.bundle_violations(m, t, p).collect()} == {"V10", "V11"}
 
 
+def test_page_tables_give_the_same_report(spark, bundle, tmp_path):
+    m, t, p = (C.read_artifact(spark, k, str(bundle / f"{f}.json")) for k, f in (("manifest", "manifest"), ("ground-truth", "ground-truth"), ("prediction", "predictions")))
+    R.save_tables(m, t, p, str(tmp_path / "in"))
+    report = json.loads((bundle / "report.json").read_text(encoding="utf-8"))
+    got = R.score_tables(spark, str(tmp_path / "in"), str(tmp_path / "out"), {k: report[k] for k in HEAD})
+    same = lambda r: {k: v for k, v in r.items() if k not in ("generated_at", "failures")}
+    assert same(got) == same(report) and got["failures"] == []
+    listed = spark.read.parquet(str(tmp_path / "out/failures")).orderBy("document_id")
+    full = got | {"failures": [r.asDict() for r in listed.collect()]}
+    assert len(full["failures"]) == 2
+    streamed, whole = R.write_report(got, listed, tmp_path / "a.json"), R.write_json(full, tmp_path / "b.json")
+    assert streamed.read_text(encoding="utf-8") == whole.read_text(encoding="utf-8")
+    assert R.write_report(got, listed.limit(0), tmp_path / "a.json").read_text() == R.write_json(got, tmp_path / "b.json").read_text()
+
+
 def test_json_arrays_are_rejected(spark, tmp_path):
     (tmp_path / "a.json").write_text("[1]")
     with pytest.raises(C.ContractError, match="object"):
