@@ -189,11 +189,19 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", txt.normalize(apart).alias("normalized"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits, regexp_matches(text, '[0-9]') AS has_digit, 1.0::DOUBLE AS exact, CASE WHEN regexp_matches(text, '1') THEN 0.0 ELSE 1.0 END::DOUBLE AS changed FROM documents")
+@query("""WITH d AS (SELECT doc_id, text, lead(text) OVER (ORDER BY doc_id) AS following, translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS arabic FROM documents),
+c AS (SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits, translate(regexp_replace(arabic, '[^٠-٩]', '', 'g'), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS other, regexp_replace(following, '[^0-9]', '', 'g') AS after,
+  regexp_replace(replace(text, 'a', '3'), '[^0-9]', '', 'g') AS altered FROM d)
+SELECT doc_id, digits, digits <> '' AS has_digit, (digits = other)::INT::DOUBLE AS exact, (digits = altered)::INT::DOUBLE AS changed, (digits = after)::INT::DOUBLE AS following FROM c""")
 def digit_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text against itself in other digits, against one with more digits, and against the next text."""
     text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the next text by a join on its number, not by a window over all rows in one task
+    numbered = adapters.numbered(docs.withColumns({"doc_pos": F.col("doc_id"), "page_pos": F.lit(0)}))
+    rows = numbered.join(numbered.select((F.col("rn") - 1).alias("rn"), F.col("text").alias("after")), "rn", "left")
     arabic = F.translate(text, "0123456789", "٠١٢٣٤٥٦٧٨٩")
-    return table(spark, sf_dir, "documents").select("doc_id", txt.digits(text).alias("digits"), txt.has_digit(text).alias("has_digit"), txt.digit_exact(text, arabic).alias("exact"), txt.digit_exact(text, F.replace(arabic, F.lit("١"), F.lit("2"))).alias("changed"))
+    return rows.select("doc_id", txt.digits(text).alias("digits"), txt.has_digit(text).alias("has_digit"), txt.digit_exact(text, arabic).alias("exact"), txt.digit_exact(text, F.replace(text, F.lit("a"), F.lit("3"))).alias("changed"), txt.digit_exact(text, F.col("after")).alias("following"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '[\\x{600}-\\x{6ff}]') AS plain, contains(text, ' ') AS marked FROM documents")
@@ -479,10 +487,16 @@ def _turn_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return manifest, truth, rows.select("document_id", "page_id", sample.alias("sample"))
 
 
+#: SQL: the metric table of ``long`` (category, metric, value, num, den, n) for the rows of ``groups``.
+_METRIC_TABLE = f""",
+got AS (SELECT category, grouping(category)::INT AS is_total, metric, sum(num) / greatest(sum(den), 1) AS micro, avg(value) AS macro, sum(n)::BIGINT AS n FROM long GROUP BY GROUPING SETS ((metric, category), (metric))),
+spec(metric, unit, higher_is_better, optional) AS (VALUES {", ".join(f"('{m.name}', '{m.unit}', {str(m.higher_is_better).lower()}, {str(m.optional).lower()})" for m in sc.METRICS)})
+SELECT g.category, g.is_total, s.metric, s.unit, s.higher_is_better, round(coalesce(x.micro, 0.0), 6) AS micro, round(coalesce(x.macro, 0.0), 6) AS macro, coalesce(x.n, 0)::BIGINT AS sample_count
+FROM groups g CROSS JOIN spec s LEFT JOIN got x ON x.is_total = g.is_total AND x.category IS NOT DISTINCT FROM g.category AND x.metric = s.metric WHERE x.metric IS NOT NULL OR NOT s.optional
+"""
+
+
 def _report_sql() -> str:
-    zero = [m for m in sc.METRICS if not m.optional]
-    spec = ", ".join(f"('{m.name}', '{m.unit}', {str(m.higher_is_better).lower()}, {str(m.optional).lower()})" for m in sc.METRICS)
-    assert zero
     return f"""
 WITH p AS (SELECT role AS category, text AS r, replace(text, 'the ', 'teh  ') AS h FROM conversations),
 w AS (SELECT *, {_SPLIT.format("r")} AS rw, {_SPLIT.format("h")} AS hw FROM p),
@@ -495,16 +509,119 @@ long AS (
     ('block_type_accuracy', 1.0, 1.0, 1, 1), ('layout_bbox_iou', 1.0, 1.0, 1, 1), ('layout_match_f1', 1.0, 2.0, 2, 1), ('hallucinated_block_rate', 0.0, 0.0, 1, 1),
     ('confidence_brier', (0.9 - ok) ** 2, (0.9 - ok) ** 2, 1, 1), ('confidence_ece', abs(ok - 0.9), abs(ok - 0.9), 1, 1), ('runtime_ms', length(r), length(r), 1, 1)) m(metric, value, num, den, n) WHERE m.n IS NOT NULL
 ),
-got AS (SELECT category, grouping(category)::INT AS is_total, metric, sum(num) / greatest(sum(den), 1) AS micro, avg(value) AS macro, sum(n)::BIGINT AS n FROM long GROUP BY GROUPING SETS ((metric, category), (metric))),
-spec(metric, unit, higher_is_better, optional) AS (VALUES {spec}),
-groups AS (SELECT role AS category, grouping(role)::INT AS is_total FROM conversations GROUP BY ROLLUP (role))
-SELECT g.category, g.is_total, s.metric, s.unit, s.higher_is_better, round(coalesce(x.micro, 0.0), 6) AS micro, round(coalesce(x.macro, 0.0), 6) AS macro, coalesce(x.n, 0)::BIGINT AS sample_count
-FROM groups g CROSS JOIN spec s LEFT JOIN got x ON x.is_total = g.is_total AND x.category IS NOT DISTINCT FROM g.category AND x.metric = s.metric WHERE x.metric IS NOT NULL OR NOT s.optional
-"""
+groups AS (SELECT role AS category, grouping(role)::INT AS is_total FROM conversations GROUP BY ROLLUP (role)){_METRIC_TABLE}"""
 
 
 @query(_report_sql())
 def smoke_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pages, classification, all page metrics, and the zero-filled metric table."""
-    scored = sc.Scored(*_turn_pages(spark, sf_dir))
+    return _metric_rows(sc.Scored(*_turn_pages(spark, sf_dir)))
+
+
+def _metric_rows(scored: sc.Scored) -> DataFrame:
     return scored.metrics.select("category", F.col("is_total").cast("int").alias("is_total"), "metric", "unit", "higher_is_better", F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"), "sample_count")
+
+
+# -- the whole report on pages of many blocks and all outcomes -----------------------------------------------------------
+
+
+def _mixed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as pages, their lineitems as equations, diagrams, tables and paragraphs; some samples fail or are invalid."""
+    manifest, _, samples = _order_pages(spark, sf_dir)
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
+    line, p = F.col("l_linenumber"), F.col("pos").cast("string")
+    kind = F.when(F.col("l_tax") >= 0.06, "table").when(F.col("l_returnflag") == "A", "equation").when(F.col("l_returnflag") == "N", "diagram").otherwise("paragraph")
+    read = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("x"), "l_partkey")).otherwise(F.concat(F.lit("y"), "l_suppkey"))
+
+    def block(id_: Column, own: Column, text: Column, x: Column, index: Column, score: Column, n_rows: Column, column: Column) -> Column:
+        cell = F.struct(F.lit(0).alias("row_index"), column.cast("int").alias("column_index"), F.lit(1).alias("row_span"), F.lit(1).alias("column_span"))
+        box = F.struct(x.cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("l_quantity") + 8).cast("double").alias("width"), F.lit(16.0).alias("height"))
+        return F.struct(
+            id_.alias("block_id"), own.alias("block_type"), box.alias("bbox"), index.alias("reading_order_index"), F.struct(score.alias("score")).alias("confidence"), F.when(own == "equation", text).alias("equation_text"),
+            F.array(F.struct(text.alias("normalized_text"), F.lit(0).alias("reading_order_index"))).alias("lines"),
+            F.when(own == "table", F.struct(n_rows.cast("int").alias("rows"), F.lit(2).alias("columns"), F.array(cell).alias("cells"))).alias("table"),
+        )
+
+    r = block(F.concat(F.lit("b"), p), kind, F.concat(F.lit("x"), "l_partkey"), line * 8, line, F.lit(1.0), line, F.col("l_suppkey") % 2)
+    h = block(F.concat(F.lit("h"), p), F.when(F.col("l_tax") < 0.02, "figure").otherwise(kind), read, line * 8 + F.round(F.col("l_discount") * 100), 8 - line, 1 - F.col("l_discount"), line + (F.col("l_discount") > 0.05).cast("int"), F.col("l_partkey") % 2)
+    pages = rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("pos", r.alias("b")))).alias("r"), F.array_sort(F.collect_list(F.when(F.col("l_discount") > 0.02, F.struct("pos", h.alias("b"))))).alias("h"))
+    pages = pages.select("page_id", F.transform("r", lambda x: x.b).alias("r"), F.transform("h", lambda x: x.b).alias("h"))
+    truth = manifest.select("document_id", "page_id").join(pages, "page_id").select("document_id", "page_id", F.struct(F.col("r").alias("blocks")).alias("truth"))
+    both = samples.join(pages.select("page_id", "h"), "page_id", "left")
+    page = F.col("sample.page")
+    full = F.when(page.isNotNull(), F.struct(page.page_id.alias("page_id"), page.page_index.alias("page_index"), page.checksum.alias("checksum"), F.coalesce("h", F.array()).alias("blocks")))
+    sample = F.struct(F.col("sample.status").alias("status"), full.alias("page"), F.col("sample.error").alias("error"), F.col("sample.runtime_ms").alias("runtime_ms"), (F.col("sample.runtime_ms") * 10).alias("peak_memory_mb"))
+    return manifest, truth, both.select("document_id", "page_id", sample.alias("sample"))
+
+
+_MIXED = f"""
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos FROM lineitem
+),
+blocks AS (
+  SELECT l_orderkey, pos, l_linenumber AS idx, 'b' || pos AS id, CASE WHEN l_tax >= 0.06 THEN 'table' WHEN l_returnflag = 'A' THEN 'equation' WHEN l_returnflag = 'N' THEN 'diagram' ELSE 'paragraph' END AS kind, 'x' || l_partkey AS text,
+    l_linenumber * 8.0 AS x, 0.0 AS y, l_quantity + 8 AS w, 16.0 AS h, l_discount > 0.02 AS found, 'h' || pos AS hid, CASE WHEN l_tax < 0.02 THEN 'figure' ELSE kind END AS hkind,
+    CASE WHEN l_suppkey % 2 = 0 THEN text ELSE 'y' || l_suppkey END AS htext, l_linenumber * 8.0 + round(l_discount * 100) AS hx, (8 - l_linenumber) AS hidx, 1 - l_discount AS score,
+    l_linenumber AS n, l_suppkey % 2 AS c, l_linenumber + (l_discount > 0.05)::INT AS hn, l_partkey % 2 AS hc
+  FROM numbered
+),
+page_blocks AS (
+  SELECT l_orderkey, list({{'id': id, 'kind': kind, 'text': text, 'idx': idx, 'x': x, 'y': y, 'w': w, 'h': h, 's': 1.0::DOUBLE, 'n': n, 'c': c}} ORDER BY pos) AS r,
+    coalesce(list({{'id': hid, 'kind': hkind, 'text': htext, 'idx': hidx, 'x': hx, 'y': y, 'w': w, 'h': h, 's': score, 'n': hn, 'c': hc}} ORDER BY pos) FILTER (found), []) AS q FROM blocks GROUP BY l_orderkey
+),
+cut AS (
+  SELECT o.category, o.o_orderkey, r, q, {_ORDERED.format("r")} AS ro, {_ORDERED.format("q")} AS qo, list_filter(r, lambda b: b.kind = 'equation') AS re, list_filter(q, lambda b: b.kind = 'equation') AS qe,
+    list_filter(r, lambda b: b.kind = 'table') AS rt, list_filter(q, lambda b: b.kind = 'table') AS qt, list_filter(r, lambda b: b.kind IN ('diagram', 'figure')) AS rd, list_filter(q, lambda b: b.kind IN ('diagram', 'figure')) AS qd
+  FROM page_blocks JOIN outcomes o ON o.o_orderkey = l_orderkey WHERE o.outcome = 'scored'
+),
+met AS (SELECT *, {_greedy("r", "q")} AS m, {_greedy("ro", "qo")} AS mo, coalesce({_greedy("re", "qe")}, []) AS me, coalesce({_greedy("rt", "qt")}, []) AS mt, coalesce({_greedy("rd", "qd")}, []) AS md FROM cut),
+seen AS (
+  SELECT *, array_to_string(list_transform(ro, lambda b: b.text), chr(10)) AS rx, array_to_string(list_transform(qo, lambda b: b.text), chr(10)) AS qx, list_transform(ro, lambda b: b.text) AS rw, list_transform(qo, lambda b: b.text) AS qw,
+    list_transform(ro, lambda b: b.id) AS ids, list_transform(range(len(qo)), lambda j: coalesce(list_filter(list_transform(range(len(ro)), lambda i: CASE WHEN mo[i + 1].h = j THEN ro[i + 1].id END), lambda x: x IS NOT NULL)[1], 'unmatched:' || j)) AS got_ids,
+    len(list_filter(m, lambda x: x.h IS NOT NULL)) AS n_met, list_transform(range(len(q)), lambda j: coalesce(list_max(list_transform(range(len(r)), lambda i: CASE WHEN m[i + 1].h = j AND m[i + 1].iou >= 0.5 AND r[i + 1].kind = q[j + 1].kind AND r[i + 1].text = q[j + 1].text THEN 1 ELSE 0 END)), 0)) AS good
+  FROM met
+),
+measured AS (
+  SELECT *, levenshtein(rx, qx) AS dc, coalesce({_distance("rw", "qw")}, greatest(len(rw), len(qw))) AS dw, coalesce({_distance("ids", "got_ids")}, greatest(len(ids), len(got_ids))) AS d_o, greatest(len(r), len(q)) AS nb, len(r) + len(q) AS nn,
+    list_sum(list_transform(range(len(re)), lambda i: CASE WHEN me[i + 1].h IS NULL THEN 0.0 ELSE 1 - levenshtein(re[i + 1].text, qe[me[i + 1].h + 1].text) / greatest(length(re[i + 1].text), length(qe[me[i + 1].h + 1].text), 1) END)) AS es,
+    list_sum(list_transform(range(len(rt)), lambda i: CASE WHEN mt[i + 1].h IS NULL THEN 0.0 ELSE 0.5 * (rt[i + 1].n = qt[mt[i + 1].h + 1].n)::INT + 0.5 * (rt[i + 1].c = qt[mt[i + 1].h + 1].c)::INT END)) AS ts
+  FROM seen
+),
+judged AS (SELECT o_orderkey, category, len(q) AS nh, unnest(good) AS o, unnest(list_transform(q, lambda b: b.s)) AS c FROM seen),
+bins AS (SELECT o_orderkey, category, any_value(nh) AS nh, abs(sum(o - c)) AS gap FROM (SELECT *, len(list_filter(range(10), lambda i: c >= i / 10)) AS b FROM judged) GROUP BY o_orderkey, category, b),
+sure AS (
+  SELECT category, 'confidence_brier' AS metric, avg((c - o) ** 2) AS value, any_value(nh) AS n FROM judged GROUP BY o_orderkey, category
+  UNION ALL SELECT category, 'confidence_ece', sum(gap) / any_value(nh), any_value(nh) FROM bins GROUP BY o_orderkey, category
+  UNION ALL SELECT e.category, 'error_detection_auroc', avg(CASE WHEN 1 - e.c > 1 - k.c THEN 1.0 WHEN 1 - e.c = 1 - k.c THEN 0.5 ELSE 0.0 END), any_value(e.nh) FROM judged e JOIN judged k ON e.o_orderkey = k.o_orderkey AND e.o = 0 AND k.o = 1 GROUP BY e.o_orderkey, e.category
+),
+long AS (
+  SELECT category, x.* FROM measured, LATERAL (VALUES
+    ('cer', dc / greatest(length(rx), 1), dc, greatest(length(rx), 1), 1), ('wer', dw / greatest(len(rw), 1), dw, greatest(len(rw), 1), 1),
+    ('normalized_edit_similarity', 1 - dc / greatest(length(rx), length(qx), 1), greatest(length(rx), length(qx), 1) - dc, greatest(length(rx), length(qx), 1), 1),
+    ('reading_order_sequence_score', 1 - d_o / greatest(nb, 1), greatest(nb, 1) - d_o, greatest(nb, 1), 1),
+    ('digit_exact_accuracy', (regexp_replace(rx, '[^0-9]', '', 'g') = regexp_replace(qx, '[^0-9]', '', 'g'))::INT, (regexp_replace(rx, '[^0-9]', '', 'g') = regexp_replace(qx, '[^0-9]', '', 'g'))::INT, 1, 1),
+    ('block_type_accuracy', len(list_filter(range(len(r)), lambda i: m[i + 1].h IS NOT NULL AND r[i + 1].kind = q[m[i + 1].h + 1].kind)) / nb, len(list_filter(range(len(r)), lambda i: m[i + 1].h IS NOT NULL AND r[i + 1].kind = q[m[i + 1].h + 1].kind)), nb, nb),
+    ('layout_bbox_iou', list_sum(list_transform(m, lambda z: z.iou)) / nb, list_sum(list_transform(m, lambda z: z.iou)), nb, nb), ('layout_match_f1', 2 * n_met / nn, 2 * n_met, nn, nb),
+    ('equation_text_similarity', es / len(re), es, len(re), CASE WHEN len(re) > 0 THEN len(re) END), ('table_structure_similarity', ts / len(rt), ts, len(rt), CASE WHEN len(rt) > 0 THEN len(rt) END),
+    ('hallucinated_block_rate', (len(q) - n_met) / greatest(len(q), 1), len(q) - n_met, greatest(len(q), 1), len(q)),
+    ('diagram_detection_f1', 2 * len(list_filter(md, lambda z: z.h IS NOT NULL)) / greatest(len(rd) + len(qd), 1), 2 * len(list_filter(md, lambda z: z.h IS NOT NULL)), len(rd) + len(qd), CASE WHEN len(rd) + len(qd) > 0 THEN len(rd) END)
+  ) x(metric, value, num, den, n) WHERE x.n IS NOT NULL
+  UNION ALL SELECT category, metric, value, value * n, n, n FROM sure
+  UNION ALL SELECT category, 'runtime_ms', o_totalprice / 1000, o_totalprice / 1000, 1, 1 FROM outcomes WHERE outcome NOT IN ('missing', 'ground_truth_missing')
+  UNION ALL SELECT category, 'peak_memory_mb', o_totalprice / 1000 * 10, o_totalprice / 1000 * 10, 1, 1 FROM outcomes WHERE outcome NOT IN ('missing', 'ground_truth_missing')
+),
+groups AS (SELECT category, grouping(category)::INT AS is_total FROM outcomes GROUP BY ROLLUP (category))"""
+
+
+@query(f"WITH {_PAGES}, {_MIXED}{_METRIC_TABLE}")
+def mixed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All outcomes, and pages whose blocks move, change type and text, disappear, and are more or less sure."""
+    return _metric_rows(sc.Scored(*_mixed_pages(spark, sf_dir)))
+
+
+@query(f"WITH {_PAGES}, {_MIXED} SELECT o_orderkey, round(ts / len(rt), 9) AS score FROM measured WHERE len(rt) > 0")
+def table_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sc.classify(*_mixed_pages(spark, sf_dir)).where("outcome = 'scored'").select("page_id", F.col("truth.blocks").alias("r"), F.col("sample.page.blocks").alias("h"))
+    score = geo.table_page_score(F.filter("r", lambda b: (b.block_type == "table") & b.table.isNotNull()), geo.of_types(F.col("h"), "table"))
+    return rows.select(F.col("page_id").alias("o_orderkey"), F.round(score, 9).alias("score")).where("score IS NOT NULL")
