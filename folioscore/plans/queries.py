@@ -625,3 +625,6 @@ def table_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sc.classify(*_mixed_pages(spark, sf_dir)).where("outcome = 'scored'").select("page_id", F.col("truth.blocks").alias("r"), F.col("sample.page.blocks").alias("h"))
     score = geo.table_page_score(F.filter("r", lambda b: (b.block_type == "table") & b.table.isNotNull()), geo.of_types(F.col("h"), "table"))
     return rows.select(F.col("page_id").alias("o_orderkey"), F.round(score, 9).alias("score")).where("score IS NOT NULL")
+
+
+from . import artifact_queries as artifact_queries  # noqa: E402  registers its own
