@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .plans import report as R
-from .sources import adapters, generate, runner
+from .sources import adapters, generate, raster, runner
 from .sources import contracts as C
 from .sources import schemas as S
 
@@ -58,6 +58,9 @@ def main(argv: list[str] | None = None) -> int:
     command("synthetic", folder, (("--seed",), {"type": int, "default": 17}), (("--documents",), {"type": int, "default": 4}), (("--pages",), {"type": int, "default": 1}), (("--records",), {"action": "store_true"}))
     command("scenarios", folder, (("--seed",), {"type": int, "default": 17}), (("--repeats",), {"type": int, "default": 1}))
     command("invoices", folder, (("--seed",), {"type": int, "default": 23}), (("--repeats",), {"type": int, "default": 1}))
+    font = (("--font",), {"default": None, "help": "a font file; without one letters are boxes"})
+    command("scenario-images", folder, font, (("--seed",), {"type": int, "default": 17}), (("--repeats",), {"type": int, "default": 1}))
+    command("invoice-images", folder, font, (("--seed",), {"type": int, "default": 23}), (("--repeats",), {"type": int, "default": 1}))
     command("smoke", folder, (("--seed",), {"type": int, "default": 17}), (("--fail-every",), {"type": int, "default": 0}))
     command("score", (("--manifest",), {"required": True}), (("--ground-truth",), {"required": True}), (("--predictions",), {"required": True}), (("--output",), {"type": Path, "required": True}))
     command("validate", (("path",), {}), (("--kind",), {"required": True, "choices": KINDS}))
@@ -74,6 +77,10 @@ def main(argv: list[str] | None = None) -> int:
         _show(write_corpus(generate.scenario_corpus(spark, a.repeats, a.seed), a.output_dir, "synthetic-scenarios", True))
     elif a.command == "invoices":
         _show(write_corpus(generate.invoice_corpus(spark, a.repeats, a.seed), a.output_dir, "synthetic-invoices"))
+    elif a.command == "scenario-images":
+        _show(raster.write_bundle(generate.scenario_corpus(spark, a.repeats, a.seed), a.output_dir, "synthetic-scenario-images", "0.1.0", a.font, a.seed))
+    elif a.command == "invoice-images":
+        _show(raster.write_bundle(generate.invoice_corpus(spark, a.repeats, a.seed), a.output_dir, "synthetic-invoice-images", "0.1.0", a.font, a.seed))
     elif a.command == "smoke":
         corpus = generate.text_corpus(spark, seed=a.seed)
         paths = write_corpus(corpus, a.output_dir, "synthetic-text")

@@ -1,16 +1,20 @@
 """Reports end to end: identity, failures, damage, determinism, contracts, runner, HTTP, command line, streaming."""
 
+import hashlib
 import io
 import json
+import struct
 import sys
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioscore import api, cli
 from folioscore.plans import report as R
 from folioscore.plans import scoring as sc
-from folioscore.sources import adapters, generate, runner
+from folioscore.sources import adapters, generate, raster, runner
 from folioscore.sources import contracts as C
 from folioscore.sources import schemas as S
 
@@ -217,6 +221,44 @@ def test_assets_update_the_corpus(spark, tmp_path):
     assert row.source_kind == "image" and "image" in row.tags and row.checksum == page.checksum and page.height == 20 and row.checksum.size_bytes == 20
 
 
+def test_image_bundles(spark, tmp_path):
+    cli.session = lambda: spark
+    assert cli.main(["scenario-images", "--output-dir", str(tmp_path / "a")]) == 0
+    made = {k: C.read_artifact(spark, k, str(tmp_path / f"a/{k}.json")) for k in ("manifest", "ground-truth", "assets")}
+    records = json.loads((tmp_path / "a/records.json").read_text())
+    assert {r["scan_quality"] for r in records} == set(generate.QUALITIES) and len(records) == 8
+    for r in records:
+        content = (tmp_path / "a" / r["image_path"]).read_bytes()
+        assert hashlib.sha256(content).hexdigest() == r["image_sha256"] and len(content) == r["image_size_bytes"]
+        assert struct.unpack(">II", content[16:24]) == (1200, 1600)
+    pages = C.manifest_pages(made["manifest"]).collect()
+    assert all(p.source_kind == "image" and "raster-png" in p.tags for p in pages)
+    assert {p.page_id: p.checksum.value for p in pages} == {r["page_id"]: r["image_sha256"] for r in records}
+    assert {r.truth.page_id: r.truth.checksum.value for r in C.truth_pages(made["ground-truth"]).collect()} == {r["page_id"]: r["image_sha256"] for r in records}
+    again = raster.images(generate.scenario_corpus(spark)).select("page_id", F.sha2("content", 256).alias("s")).collect()
+    assert {r.page_id: r.s for r in again} == {r["page_id"]: r["image_sha256"] for r in records}
+
+
+def test_scan_qualities():
+    page = np.full((200, 60), 255, np.float32)
+    page[10:190, 10:40] = 25
+    seen = {q: raster.degraded(page, q, 1) for q in generate.QUALITIES}
+    assert (seen["clean"] == page).all() and all(not np.array_equal(seen[q], page) for q in generate.QUALITIES if q != "clean")
+    assert np.array_equal(seen["photographed"], raster.degraded(page, "photographed", 1)) and not np.array_equal(seen["photographed"], raster.degraded(page, "photographed", 2))
+    rows = zlib.decompress(raster.png(page)[41:-16])
+    assert len(rows) == 200 * 61 and rows[12 * 61 + 1 + 15] == 25 and rows[1] == 255
+    with pytest.raises(ValueError):
+        raster.degraded(page, "torn", 1)
+
+
+def test_letters_fit_their_box():
+    lines = raster.fitted("one two three four five six seven " * 9, 200, 150, 28, raster.Boxes())
+    assert sum(m.shape[0] for m in lines) <= 150 and all(m.shape[1] <= 200 for m in lines) and len(lines) > 3
+    assert raster.block_text({"equation_text": "", "lines": [{"raw_text": "a"}, {"raw_text": "b"}]}) == "a\nb" and raster.has_arabic("x ب")
+    with pytest.raises((RuntimeError, FileNotFoundError)):
+        raster.glyphs("/no/such/font.ttf")
+
+
 def test_generators_are_deterministic(spark):
     a, b = (generate.artifacts(generate.text_corpus(spark, 2, 2, seed=3), "x") for _ in range(2))
     assert a == b and generate.artifacts(generate.text_corpus(spark, 2, 2, seed=4), "x") != a
