@@ -1,4 +1,5 @@
-"""Registered queries over artifacts as JSON texts: every order is a small artifact of each kind, sound or broken in one way.
+"""Registered queries over artifacts as JSON texts (every order is a small artifact of each kind, sound or broken in one way), over
+generated corpora, and over a stream.
 
 The SQL knows only which orders are broken how, and which violation that must give; the queries find it from the texts.
 """
@@ -8,14 +9,17 @@ from __future__ import annotations
 import copy
 import functools
 import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..sources import contracts, generate
 from ..sources import schemas as S
+from ..streaming import incremental
 from .queries import query, table
 
 #: Where a text names its order.
@@ -194,3 +198,17 @@ def invoice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of the invoice corpus, once for each nation."""
     corpus = generate.invoice_corpus(spark, table(spark, sf_dir, "nation").count())
     return corpus.extractions.select("document_id", F.explode("fields").alias("f")).select("document_id", "f.field_name", "f.value", F.col("f.value_type").alias("field_type"))
+
+
+@query("SELECT event_type AS status, count(*) AS count FROM events GROUP BY event_type")
+def streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples that arrive twice each, through a stream that counts the first arrival; its result is a table in the shared folder."""
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    arrived = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("page_id"), F.struct(F.col("event_type").alias("status")).alias("sample"), F.col("ts").cast("timestamp").alias("arrived"))
+    for _ in range(2):
+        arrived.write.mode("append").parquet(f"{folder}/arrived")
+    source = spark.readStream.schema(arrived.schema).parquet(f"{folder}/arrived")
+    counts = incremental.running_status(incremental.first_samples(source))
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")).start()
+    run.awaitTermination()
+    return spark.read.schema("status string, count long").parquet(f"{folder}/counts")
