@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, map_batches, stored, unused
+from .shared import documents, map_batches, mark, stored, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
@@ -230,7 +230,8 @@ def disclosures(found: DataFrame, docs: DataFrame, chance: float = CHANCE, gener
 
 def term_spans(found: DataFrame, docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(doc_id, _h, terms): the spans of each document's disclosing terms, and how much they disclose."""
-    told, _ = stored(disclosures(found, docs, chance, generalise_at), "disclosures")
+    point = mark()
+    told, _ = stored(disclosures(found, docs, chance, generalise_at), "disclosures", point)
     hits = _contexts_of(found).join(told, ["entity", "term"]).groupBy("doc_id", "_h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     return hits.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure")).alias("terms"))
 

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 import atexit
 import functools
-import os
-import re
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,29 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .. import session
+from ..session import shared_dir as shared_dir
+from ..session import ship_package
+
 #: Text bytes that one call of a batch function gets at most (a single longer text goes alone).
 SLICE_BYTES = 8_000_000
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, so that they import it whatever their path is."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    top = os.path.dirname(root)
-    path = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(root)}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, top))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice stay under SLICE_BYTES."""
@@ -93,44 +72,25 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-_own_checkpoint_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode where that is unset."""
-    global _own_checkpoint_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # executors don't share this machine's folders
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_checkpoint_dir is None:
-        _own_checkpoint_dir = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    return _own_checkpoint_dir
-
-
 def stored(df: DataFrame, tag: str, since: int | None = None) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it again: its lineage ends, any executor can read it.
+    """A table in the shared folder (see session.written), deleted at the process's end if not before.
 
     since: a mark; the tables written since then, which only df reads, are deleted afterwards.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    table, path = session.written(df, tag)
     if since is not None:
-        discard_since(spark, since)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
+        discard_since(df.sparkSession, since)
+    _written.append((df.sparkSession, path))
+    return table, path
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that stored() has written and no plan reads any more."""
-    jvm = spark.sparkContext._jvm
     _written[:] = [w for w in _written if w[1] not in paths]
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    session.discard(spark, *paths)
 
 
 def mark() -> int:
