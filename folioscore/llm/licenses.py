@@ -37,7 +37,7 @@ from .shared import documents, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The phrases of the base rule and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-MAX_TEMPLATE_WORDS = 100_000
+MAX_TEMPLATE_WORDS = 10_000
 #: A block's words for each word of the template.
 REACH = 1.5
 CHUNK = 512
