@@ -18,6 +18,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 #: Sequences of more items are interned in Python: the expression's look-ups grow with length x distinct items.
 MAX_INTERNED = 4_096
+#: Distances up to these are looked for in a band of so many cells on either side of the table's diagonal.
+BANDS = (16, 64, 256, 1_024)
 
 
 def _nfc(values: list) -> list:
@@ -86,6 +88,13 @@ def digit_exact(reference: Column, hypothesis: Column) -> Column:
     return (digits(reference) == digits(hypothesis)).cast("double")
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two long texts: like texts, as most are, take length x band, not length x length."""
+    # beyond its band levenshtein is -1, and get null: each band is tried once, and only after those before it
+    near = [F.get(F.sequence(F.lit(0), F.lit(band)), F.levenshtein(a, b, band)) for band in BANDS]
+    return F.when(a == b, 0).otherwise(F.coalesce(*near, F.levenshtein(a, b)))
+
+
 @F.arrow_udf(IntegerType())
 def _long_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance of long sequences (null where the expression does it)."""
@@ -117,20 +126,20 @@ def sequence_distance(a: Column, b: Column) -> Column:
         code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 255), 4, "0")), "UTF-16BE")
         return F.array_join(F.transform(items, code), "")
 
-    # a let: the lambda function gets the arrays as its argument and computes them once
-    distance = F.get(F.transform(F.array(both), lambda s: F.levenshtein(coded(s.known, s.a), coded(s.known, s.b))), 0)
-    exact = F.when(short, distance)
+    # lets: the lambda functions get the arrays and the coded texts as arguments and compute them once
+    texts = F.transform(F.array(both), lambda s: F.struct(coded(s.known, s.a).alias("a"), coded(s.known, s.b).alias("b")))
+    exact = F.when(short, F.get(F.transform(texts, lambda s: distance(s.a, s.b)), 0))
     return F.coalesce(exact, _long_distance(F.when(~short, a), F.when(~short, b)))
 
 
-def similarity(distance: Column, a: Column, b: Column) -> Column:
-    """1 - distance / max(length, length, 1)."""
-    return 1 - distance / F.greatest(a, b, F.lit(1))
+def similarity(edits: Column, a: Column, b: Column) -> Column:
+    """1 - edits / max(length, length, 1)."""
+    return 1 - edits / F.greatest(a, b, F.lit(1))
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Of normalised texts; above 1 where the hypothesis is much longer."""
-    return F.levenshtein(reference, hypothesis) / F.greatest(F.char_length(reference), F.lit(1))
+    return distance(reference, hypothesis) / F.greatest(F.char_length(reference), F.lit(1))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -139,7 +148,7 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def edit_similarity(reference: Column, hypothesis: Column) -> Column:
-    return similarity(F.levenshtein(reference, hypothesis), F.char_length(reference), F.char_length(hypothesis))
+    return similarity(distance(reference, hypothesis), F.char_length(reference), F.char_length(hypothesis))
 
 
 def order_score(reference: Column, hypothesis: Column) -> Column:

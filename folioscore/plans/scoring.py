@@ -131,7 +131,7 @@ def page_observations(scored: DataFrame) -> DataFrame:
     r, h, rt, ht = map(F.col, ("r_blocks", "h_blocks", "r_text", "h_text"))
     pages = pages.select(
         "*",
-        F.levenshtein(rt, ht).alias("d_chars"),
+        txt.distance(rt, ht).alias("d_chars"),
         txt.words(rt).alias("r_words"),
         txt.words(ht).alias("h_words"),
         geo.comparable_orders(r, h).alias("orders"),

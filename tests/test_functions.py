@@ -61,6 +61,24 @@ def test_text_fuzz(spark):
         assert digits == "".join(str(unicodedata.decimal(c)) for c in r if c.isdecimal())
 
 
+@pytest.mark.parametrize("bands", [(1, 3, 7), txt.BANDS])
+def test_banded_distance_is_the_distance(spark, monkeypatch, bands):
+    monkeypatch.setattr(txt, "BANDS", bands)
+    rnd = random.Random(11)
+    rows = [("", ""), ("", "ab"), ("ab", ""), (None, "a"), ("a", None), ("a" * 300, "b" * 300), ("ab" * 150, "ba" * 150)]
+    for n in [rnd.randrange(30) for _ in range(150)] + [400] * 12:
+        text = [rnd.choice("abcé\U0001d538") for _ in range(n)]
+        other = text[rnd.randrange(3) :]
+        for _ in range(rnd.choice([0, 1, 3, n // 8, n])):  # edits at both sides of the bands' limits
+            at = rnd.randrange(len(other) + 1)
+            other[at : at + rnd.randrange(2)] = [rnd.choice("abcé")] * rnd.randrange(3)
+        rows.append(("".join(text), "".join(other)))
+    rows += [(b, a) for a, b in rows]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", txt.distance(F.col("a"), F.col("b"))).collect()
+    for a, b, d in got:
+        assert d == (None if a is None or b is None else plain_distance(a, b))
+
+
 def test_long_sequences_go_through_python(spark, monkeypatch):
     monkeypatch.setattr(txt, "MAX_INTERNED", 3)
     rows = [(list("abcdef"), list("abxdefg")), (list("ab"), list("ba")), ([], list("abcd"))]
