@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, merkle, packing, pii, quality, sharding, simhash, toxicity, url_filter
+from . import bpe, embeddings, licenses, merkle, packing, pii, quality, ranked, runs, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_merkle": merkle.op9_merkle,
         "op10_licenses": licenses.op10_licenses,
+        "op11_runs": runs.op11_runs,
+        "op12_embeddings": embeddings.op12_embeddings,
+        "op13_ranked": ranked.op13_ranked,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op10_licenses": licenses.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op10_licenses": licenses.SQL, "op12_embeddings": embeddings.SQL, "op13_ranked": ranked.SQL}
