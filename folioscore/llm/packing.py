@@ -6,9 +6,9 @@ over patterns (multisets of lengths that fit) is solved by column generation: an
 program prices new patterns until the Farley bound says that the program is within ``tolerance`` of its
 optimum. Patterns are rounded down; what is left over is packed by first fit decreasing, still on
 the histogram. Each length's pieces are ranked (gapless, by sub-groups), and rank intervals of each length
-belong to the copies of a pattern: so a piece finds its sequence by a join with that small table.
+belong to the copies of a pattern: so a piece finds its sequence by binary search.
 
-The table of intervals is bounded by the capacity, not by the data, and so may be broadcast.
+The intervals are bounded by the capacity, not by the data, and so travel with the tasks.
 
 Edge cases: a null or empty text is one piece, the closing id. Very long texts become many full pieces.
 Repeated rows are packed each; equal lengths are told apart by their rank. An empty table packs into nothing.
@@ -18,6 +18,7 @@ Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import functools
+import warnings
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import Vocabulary
 from .shared import bucket_count, documents, gapless_ranks, map_batches, stored
@@ -92,15 +94,15 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tupl
     return float(best[capacity]), counts
 
 
-def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible basis: fractional first fit decreasing.
+def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """A feasible basis, how often each pattern is used, and the order in which the lengths are exhausted: fractional first fit decreasing.
 
-    Each pattern is used until one of its lengths is exhausted. Ordered by that length the patterns form a
+    Each pattern is used until one of its lengths is exhausted. In that order the patterns form a lower
     triangular matrix, so they are a basis; lengths exhausted at the same time get an unused pattern of their own.
     """
     n = len(lengths)
     basis, use = np.zeros((n, n), np.int64), np.zeros(n)
-    left, open_ = demand.copy(), np.ones(n, bool)
+    left, open_, exhausted = demand.copy(), np.ones(n, bool), []
     order = np.argsort(-lengths)
     while open_.any():
         room, column = capacity, np.zeros(n, np.int64)
@@ -113,6 +115,7 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
         copies = times.min()
         done = at[times <= copies * (1 + 1e-12)]
         left -= copies * column
+        exhausted += done.tolist()
         for k, i in enumerate(done.tolist()):
             basis[:, i] = column if k == 0 else 0
             if k:
@@ -120,18 +123,33 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
             use[i] = copies if k == 0 else 0.0
         open_[done] = False
         left[done] = 0.0
-    return basis, use
+    return basis, use, exhausted
+
+
+def triangular_inverse(basis: np.ndarray, order: list[int]) -> np.ndarray:
+    """The inverse of a matrix that is lower triangular in this order of its rows and columns: its rows have few entries.
+
+    Without the linear algebra library: its threads may hang in a driver that has started other processes.
+    """
+    out = np.zeros(basis.shape)
+    for i in order:
+        out[i, i] = 1.0
+        for j in np.flatnonzero(basis[i]).tolist():
+            if j != i:
+                out[i] -= basis[i, j] * out[j]
+        out[i] /= basis[i, i]
+    return out
 
 
 def solve_cutting(lengths: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 0.002, rounds: int = 300) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each: the linear relaxation by column generation (revised simplex).
 
-    It ends within ``tolerance`` of the larger of the Farley bound and the material bound, or after ``rounds``;
-    either way every length's demand is met exactly.
+    It ends within ``tolerance`` of the larger of the Farley bound and the material bound, or after ``rounds``, with a
+    warning that tells how far it got; either way every length's demand is met exactly.
     """
-    basis, use = first_basis(lengths, demand, capacity)
-    inverse = np.linalg.inv(basis.astype(np.float64))
-    bound = float(lengths @ demand) / capacity
+    basis, use, order = first_basis(lengths, demand, capacity)
+    inverse = triangular_inverse(basis, order)
+    bound = float((lengths * demand).sum()) / capacity
     for _ in range(rounds):
         total = use.sum()
         if total <= bound * (1 + tolerance):
@@ -140,7 +158,8 @@ def solve_cutting(lengths: np.ndarray, demand: np.ndarray, capacity: int, tolera
         bound = max(bound, total / max(value, 1.0))
         if value <= 1 + 1e-9:
             break
-        step = inverse @ column
+        own = np.flatnonzero(column)
+        step = (inverse[:, own] * column[own]).sum(axis=1)
         ratio = np.full(len(lengths), np.inf)
         positive = step > 1e-9
         ratio[positive] = use[positive] / step[positive]
@@ -152,6 +171,8 @@ def solve_cutting(lengths: np.ndarray, demand: np.ndarray, capacity: int, tolera
         use = np.maximum(use - theta * step, 0)
         use[leave] = theta
         basis[:, leave] = column
+    else:
+        warnings.warn(f"packing: {use.sum():.1f} sequences after {rounds} rounds, no less than {bound:.1f} are needed", stacklevel=2)
     return [(basis[:, j], float(use[j])) for j in range(len(lengths)) if use[j] > 1e-9]
 
 
@@ -206,23 +227,25 @@ def plan_intervals(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     return out
 
 
+def _place(batch: pa.RecordBatch, intervals: list[Interval]) -> dict:
+    """sequence_id and offset of ranked pieces: the interval of a rank is found by binary search."""
+    length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
+    table = np.array(sorted((i.length, i.first, i.each, i.sequence, i.offset) for i in intervals), np.int64).reshape(-1, 5)
+    bits = 62 - int(table[-1, 0]).bit_length()  # lengths above, ranks below
+    at = np.searchsorted((table[:, 0] << bits) + table[:, 1], (length << bits) + rank, side="right") - 1
+    _, first, each, sequence, offset = table[at].T
+    turn, place = np.divmod(rank - first, each)
+    return {n: batch.column(n) for n in batch.schema.names if n != "_rank"} | {"sequence_id": pa.array(sequence + turn), "offset": pa.array(offset + place * length)}
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset. ``pieces`` is read twice: store it first if it is costly."""
-    spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     intervals = plan_intervals(histogram, capacity)
-    table = spark.createDataFrame(
-        pa.table({"length": [i.length for i in intervals]} | {f"_{n}": [getattr(i, n) for i in intervals] for n in ("first", "last", "each", "sequence", "offset")}, schema=pa.schema([(n, pa.int64()) for n in ("length", "_first", "_last", "_each", "_sequence", "_offset")]))
-    )
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32", "doc_tokens")]
-    ranked = gapless_ranks(pieces, ["length"], order, F.xxhash64("doc_id", "start", "ids_crc32"), "_rank", bucket_count(spark) // 2)
-    at = F.col("_rank") - F.col("_first")
-    placed = ranked.join(F.broadcast(table), "length").where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last")))
-    return placed.select(
-        *pieces.columns,
-        (F.col("_sequence") + F.expr("(_rank - _first) div _each")).alias("sequence_id"),
-        (F.col("_offset") + F.pmod(at, F.col("_each")) * F.col("length")).alias("offset"),
-    )
+    ranked = gapless_ranks(pieces, ["length"], order, F.xxhash64("doc_id", "start", "ids_crc32"), "_rank", bucket_count(pieces.sparkSession) // 2)
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return map_batches(ranked.select(*pieces.columns, "_rank"), functools.partial(_place, intervals=intervals), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
