@@ -16,7 +16,7 @@ entities are few).
 
 One pass finds spans and contexts of every document; both are stored as flat rows without the texts. Pair counts are
 pre-aggregated, document frequencies are counted for the terms that are left, over all documents. No count is sampled and
-no join side is broadcast by hand: the tables are stored, and Spark knows their sizes.
+the tables are stored, so Spark knows their sizes; broadcast by hand are only terms that have been counted before.
 
 Edge cases: null and empty texts have no spans (the digest is that of the empty string). Equal starts are
 ordered by kind as listed, terms last. Repeated rows get equal rows; equal doc_ids with other texts are kept apart
@@ -47,6 +47,8 @@ NEAR = 8
 CHANCE = 0.05
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
+#: Letters of the terms that may be broadcast to be counted in the corpus.
+WANTED_CHARS = 4_000_000
 #: Rows that a Python worker holds before it gives them out.
 PIECE = 4_096
 
@@ -95,7 +97,7 @@ def base_spans(text: str) -> list[Span]:
     """All base spans by start, then kind."""
     out = emails(text) if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -201,6 +203,22 @@ def _log_chance(of_term, n):
     return F.when(share > p, -(b * F.log(share / p) + others)).otherwise(0.0)
 
 
+def corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, of_term): the texts with each wanted term, copies counting once.
+
+    Where the wanted terms are few (WANTED_CHARS of them, counted first), they are broadcast, and only they move, with the hashes
+    of their texts. Beyond that, texts are made distinct and all their terms counted.
+    """
+    chars = wanted.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    if chars <= WANTED_CHARS:
+        tokens = docs.select(F.xxhash64("text").alias("_h"), F.explode(corpus_terms(F.col("text"))).alias("term"))
+        return tokens.join(F.broadcast(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    # distinct by the text itself, so map-side partials drop the copies of hot groups
+    tokens = docs.select("text").distinct().select(F.explode(corpus_terms(F.col("text"))).alias("term"))
+    # counted before the join: it then meets a row for each word, not one for each word of each document
+    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(wanted, "term", "left_semi")
+
+
 def disclosures(found: DataFrame, docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(entity, term, disclosure) of the pairs beyond chance that disclose at least generalise_at.
 
@@ -219,10 +237,7 @@ def disclosures(found: DataFrame, docs: DataFrame, chance: float = CHANCE, gener
     may = pairs.join(least, "term").where((_disclosure(F.col("both"), F.col("least"), F.col("of_entity"), n) >= generalise_at) & (_log_chance(F.col("least"), n) <= limit))
     kept, _ = stored(may.drop("least"), "pairs")
     wanted, _ = stored(kept.select("term").distinct(), "terms")
-    # copies count once; distinct by the text itself, so map-side partials drop the copies of hot groups
-    tokens = docs.select("text").distinct().select(F.explode(corpus_terms(F.col("text"))).alias("term"))
-    # counted before the join: it then meets a row for each word, not one for each word of each document
-    of_term = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(wanted, "term", "left_semi")
+    of_term = corpus_counts(docs, wanted)
     told = kept.join(of_term, "term", "left").withColumn("disclosure", _disclosure(F.col("both"), F.coalesce("of_term", F.lit(0)), F.col("of_entity"), n))
     sure = _log_chance(F.greatest(F.coalesce("of_term", F.lit(0)), F.col("both")), n) <= limit
     return told.where((F.col("disclosure") >= generalise_at) & sure).select("entity", "term", "disclosure")

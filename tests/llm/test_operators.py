@@ -569,3 +569,31 @@ def test_queries_equal_their_sql(spark, query, sql, table):
     df = query(spark, "/root/testdata/sf0.001")
     columns = sorted(df.columns)
     assert Counter(map(tuple, df.select(columns).collect())) == Counter(con.sql(sql).select(*columns).fetchall())
+
+
+def test_bases_are_inverted_and_slow_plans_warn():
+    rnd = random.Random(3)
+    histogram = Counter(min(1024, 1 + int(rnd.expovariate(1 / 300))) for _ in range(900))
+    histogram.pop(1024, None)
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[int(k)] for k in lengths], np.float64)
+    basis, use, order = packing.first_basis(lengths, demand, 1024)
+    assert np.allclose((basis[:, :, None] * packing.triangular_inverse(basis, order)[None]).sum(axis=1), np.eye(len(lengths))) and sorted(order) == list(range(len(lengths)))
+    assert np.allclose((basis * use).sum(axis=1), demand)
+    with pytest.warns(UserWarning, match="rounds"):
+        packing.solve_cutting(np.array([3, 5, 7, 11]), np.array([40.0, 30.0, 20.0, 9.0]), 16, tolerance=0.0, rounds=1)
+
+
+def test_long_digit_runs_are_no_addresses():
+    for text in ("0" * 5_000 + ".1.1.1", "1" * 10_000 + ".1.1.1", "1.1.1." + "9" * 10_000, "+" * 10_000, "@" * 10_000, "." * 10_000, "1." * 10_000, "+1" * 10_000, "4 " * 10_000):
+        spans = pii.base_spans(text)
+        assert all(s < e for s, _, e in spans)
+    assert pii.base_spans("0" * 5_000 + ".1.1.1") == [(0, 1, 5_006)] and pii.base_spans("256.1.1.1") == []
+
+
+def test_corpus_counts_both_ways(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Anna met Ben", "Anna met Ben", "anna went", "nobody", None, ""])], "doc_id long, text string")
+    wanted = spark.createDataFrame([("anna",), ("ben",), ("carl",)], "term string")
+    for chars in (4_000_000, 0):
+        monkeypatch.setattr(pii, "WANTED_CHARS", chars)
+        assert {tuple(r) for r in pii.corpus_counts(docs, wanted).collect()} == {("anna", 2), ("ben", 1)}
