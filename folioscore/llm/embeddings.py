@@ -248,7 +248,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, tile: int =
     grouped = keyed.where("k IS NOT NULL").groupBy("k").agg(F.first("v").alias("v"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     distinct, _ = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct")
     axes = principal_axes(distinct)
-    parts = tiles(distinct, axes, threshold, tile).groupBy("d", "cell", "a", "b")
+    parts = tiles(distinct, axes, threshold, tile).repartition("d", "cell", "a", "b").groupBy("d", "cell", "a", "b")  # a cell's tiles go to different tasks
     compared, _ = stored(parts.applyInArrow(compare, "a long, b long, links long"), "links")
     counts = compared.where("links IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     roots = components(compared.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("id"), "root")
