@@ -8,12 +8,15 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from ..session import ship_package
+
 #: White space between words as Python's str.split() sees it; plain \s knows only six of these.
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 #: Sequences of more items are interned in Python: the expression's look-ups grow with length x distinct items.
@@ -41,13 +44,20 @@ def _nfc_nested(texts: pa.Array) -> pa.Array:
 _nfc_nested = _nfc_nested.asNondeterministic()
 
 
+def _python(column: Column) -> Column:
+    """A column that runs this module's Python: the active session's workers get the package."""
+    if spark := SparkSession.getActiveSession():
+        ship_package(spark)
+    return column
+
+
 def _line_ends(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
 def normalize(text: Column) -> Column:
     """NFC with all line ends as \\n; case, marks, digits and direction marks stay."""
-    return _line_ends(_nfc_text(text))
+    return _line_ends(_python(_nfc_text(text)))
 
 
 def nfc_nested(texts: Column) -> Column:
@@ -55,7 +65,7 @@ def nfc_nested(texts: Column) -> Column:
 
     Texts joined by line ends may be composed one by one: nothing composes across a line end.
     """
-    return _nfc_nested(texts)
+    return _python(_nfc_nested(texts))
 
 
 def line_ends(text: Column) -> Column:
@@ -95,25 +105,66 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).otherwise(F.coalesce(*near, F.levenshtein(a, b)))
 
 
+def edits(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences, a column at a time as bits of whole numbers (Hyyrö 2003).
+
+    A column of the table is two numbers with a bit for each item of a (the steps up and down it), so an item of b costs
+    a dozen operations on numbers of len(a) bits, whatever the distance.
+    """
+    low, high = 0, min(len(a), len(b))
+    while low < high and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < high - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[low : len(a) - end], b[low : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    wanted = Counter(x for x in b if x in places)
+    masks: dict = {}  # of items that are met often: a bounded number, as the others are built when met
+
+    def mask(x: object) -> int:
+        if (known := masks.get(x)) is not None:
+            return known
+        at = places.get(x, ())
+        if len(at) < 16:
+            made = sum(1 << i for i in at)
+        else:
+            bits = bytearray(len(a) // 8 + 1)
+            for i in at:
+                bits[i >> 3] |= 1 << (i & 7)
+            made = int.from_bytes(bits, "little")
+        if at and (len(at) + wanted[x] > 64):
+            masks[x] = made
+        return made
+
+    every = (1 << len(a)) - 1
+    top = 1 << (len(a) - 1)
+    up, down, distance = every, 0, len(a)
+    for x in b:
+        same = mask(x)
+        vertical = same | down
+        diagonal = (((same & up) + up) ^ up) | same
+        plus = down | (every & ~(diagonal | up))
+        minus = up & diagonal
+        if plus & top:
+            distance += 1
+        elif minus & top:
+            distance -= 1
+        plus = (plus << 1 | 1) & every
+        up = (minus << 1 & every) | (every & ~(vertical | plus))
+        down = plus & vertical
+    return distance
+
+
 @F.arrow_udf(IntegerType())
 def _long_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance of long sequences (null where the expression does it)."""
-    import numpy as np
-
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        number: dict = {}
-        p, q = (np.array([number.setdefault(t, len(number)) for t in s], np.int64) for s in (x, y))
-        step = np.arange(len(q) + 1)
-        row = step.copy()
-        for t in p:  # a row at a time: deletions and replacements first, then insertions as a running minimum
-            best = np.minimum(row[1:] + 1, row[:-1] + (q != t))
-            row = np.minimum.accumulate(np.concatenate([[row[0] + 1], best]) - step) + step
-        out.append(int(row[-1]))
-    return pa.array(out, pa.int32())
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else edits(x, y) for x, y in pairs], pa.int32())
 
 
 def sequence_distance(a: Column, b: Column) -> Column:
@@ -129,7 +180,7 @@ def sequence_distance(a: Column, b: Column) -> Column:
     # lets: the lambda functions get the arrays and the coded texts as arguments and compute them once
     texts = F.transform(F.array(both), lambda s: F.struct(coded(s.known, s.a).alias("a"), coded(s.known, s.b).alias("b")))
     exact = F.when(short, F.get(F.transform(texts, lambda s: distance(s.a, s.b)), 0))
-    return F.coalesce(exact, _long_distance(F.when(~short, a), F.when(~short, b)))
+    return F.coalesce(exact, _python(_long_distance(F.when(~short, a), F.when(~short, b))))
 
 
 def similarity(edits: Column, a: Column, b: Column) -> Column:

@@ -628,3 +628,4 @@ def table_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import artifact_queries as artifact_queries  # noqa: E402  registers its own
+from . import wide_queries as wide_queries  # noqa: E402

@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import contracts as C
+from ..sources import streamed
 from ..sources.schemas import METRICS, SCHEMA_VERSION
 from .scoring import COUNTERS, Scored
 
@@ -80,6 +81,16 @@ def save_tables(manifest: DataFrame, truth: DataFrame, predictions: DataFrame, f
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def stream_tables(spark: SparkSession, manifest: str, truth: str, predictions: str, folder: str) -> None:
+    """Artifacts at paths, files of any size, as page tables for score_tables: an element at a time (see sources.streamed)."""
+    m, t, p = (streamed.Artifact(spark, kind, path) for kind, path in (("manifest", manifest), ("ground-truth", truth), ("prediction", predictions)))
+    rows = (streamed.manifest_pages(m), streamed.truth_pages(t), streamed.samples(p), streamed.truth_extractions(t), streamed.extractions(p))
+    for name, table in zip(PAGE_TABLES, rows, strict=True):
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    for artifact in (m, t, p):
+        artifact.close()
+
+
 def score_tables(spark: SparkSession, folder: str, output: str, head: dict, extractions: bool = True) -> dict:
     """Page tables to report tables in ``output``, all distributed; the returned report has no failures."""
     names = PAGE_TABLES if extractions else PAGE_TABLES[:3]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -127,10 +127,37 @@ def reading_order_ok(page: Column) -> Column:
     return (F.size(F.array_distinct(page.reading_order)) == F.size(page.reading_order)) & (F.size(F.array_except(page.reading_order, known)) == 0)
 
 
-def page_violations(pages: DataFrame, artifact: str) -> DataFrame:
-    """pages: document_id, page (a struct)."""
-    key = F.concat_ws("/", "document_id", "page.page_id")
-    p = F.col("page")
+# A fault is (rule, key, message, once). Keys are lists of ids. Where ``once`` is true, the row only says that the key was given,
+# and it is a fault if another row says so as well.
+
+_FAULT = "array<struct<rule: string, key: array<string>, message: string, once: boolean>>"
+
+
+def _fault(rule: str, key: Column, message: str | Column, once: bool = False) -> Column:
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.struct(F.lit(rule).alias("rule"), key.cast("array<string>").alias("key"), text.alias("message"), F.lit(once).alias("once"))
+
+
+def _values(key: Column, checks: dict[str, Column]) -> Column:
+    """A fault for each condition that doesn't hold (null counts as failed)."""
+    return F.array(*[F.when(~F.coalesce(ok, F.lit(False)), _fault("value", key, name)) for name, ok in checks.items()])
+
+
+def _rule(rule: str, key: Column, ok: Column, message: str) -> Column:
+    return F.array(F.when(~F.coalesce(ok, F.lit(False)), _fault(rule, key, message)))
+
+
+def _given(rule: str, key: Column, message: str) -> Column:
+    return F.array(_fault(rule, key, message, True))
+
+
+def _faults(*parts: Column, when: Column | None = None) -> Column:
+    found = F.array_compact(F.concat(*[part.cast(_FAULT) for part in parts]))
+    return found if when is None else F.when(when, found).otherwise(F.array().cast(_FAULT))
+
+
+def _page_faults(document: Column, p: Column) -> Column:
+    key = F.array(document, p.page_id)
     blocks = F.coalesce(p.blocks, F.array())
     checks = {
         "page_id is no identifier": identifier(p.page_id), "page_index below 0": p.page_index >= 0, "checksum": sound_checksum(p.checksum), "size": (p.width > 0) & (p.height > 0),
@@ -138,92 +165,113 @@ def page_violations(pages: DataFrame, artifact: str) -> DataFrame:
         "confidence": F.forall(blocks, lambda b: b.confidence.score.between(0, 1)), "reading_order_index": F.forall(blocks, lambda b: b.reading_order_index >= 0),
         "line without spans": F.forall(blocks, lambda b: F.forall(F.coalesce(b.lines, F.array()), lambda x: F.size(x.spans) > 0)),
     }
-    return _union([
-        bad_values(pages, artifact, key, checks),
-        _violations(pages.where(~F.forall(blocks, lambda b: b.table.isNull() | table_grid_ok(b.table))), "V1", artifact, key, "table cells repeat an id or leave the grid"),
-        _violations(pages.where(~F.coalesce(reading_order_ok(p), F.lit(False))), "V2", artifact, key, "reading_order repeats or names unknown ids"),
-    ])
+    grids = F.coalesce(F.forall(blocks, lambda b: b.table.isNull() | table_grid_ok(b.table)), F.lit(True))
+    return _faults(_values(key, checks), _rule("V1", key, grids, "table cells repeat an id or leave the grid"), _rule("V2", key, reading_order_ok(p), "reading_order repeats or names unknown ids"), when=p.isNotNull())
 
 
-def extraction_violations(rows: DataFrame, artifact: str) -> DataFrame:
-    fields = F.coalesce(F.col("fields"), F.array())
+def _extraction_faults(x: Column) -> Column:
+    fields = F.coalesce(x.fields, F.array())
     checks = {
-        "document_id is no identifier": identifier(F.col("document_id")), "value_type": F.forall(fields, lambda f: f.value_type.isin(*S.VALUE_TYPES)),
+        "document_id is no identifier": identifier(x.document_id), "value_type": F.forall(fields, lambda f: f.value_type.isin(*S.VALUE_TYPES)),
         "field confidence": F.forall(fields, lambda f: f.confidence.score.between(0, 1)), "field box": F.forall(fields, lambda f: f.bbox.isNull() | F.coalesce(sound_box(f.bbox), F.lit(False))),
-        "validation status": F.forall(F.coalesce("validations", F.array()), lambda v: v.status.isin(*S.VALIDATION_STATUSES)),
+        "validation status": F.forall(F.coalesce(x.validations, F.array()), lambda v: v.status.isin(*S.VALIDATION_STATUSES)),
     }
-    return bad_values(rows, artifact, F.concat_ws("/", "document_id", "schema_name"), checks)
+    return _faults(_values(F.array(x.document_id, x.schema_name), checks), when=x.isNotNull())
 
 
-def sample_violations(rows: DataFrame) -> DataFrame:
-    """V8 and V9 of (document_id, page_id, sample)."""
-    s = F.col("sample")
+def _sample_faults(s: Column) -> Column:
+    """V8 and V9."""
+    key = F.array(s.document_id, s.page_id)
     fits = F.when(s.status == "success", s.page.isNotNull() & s.error.isNull()).otherwise(s.error.isNotNull())
-    key = F.concat_ws("/", "document_id", "page_id")
     measured = {"status": s.status.isin(*S.STATUSES), "runtime_ms below 0": s.runtime_ms.isNull() | (s.runtime_ms >= 0), "peak_memory_mb below 0": s.peak_memory_mb.isNull() | (s.peak_memory_mb >= 0)}
-    return _union([
-        _violations(rows.where(~F.coalesce(fits, F.lit(False))), "V8", "prediction", key, "status and payload disagree"),
-        repeated(rows, ["document_id", "page_id"], "V9", "prediction", "sample given twice"),
-        bad_values(rows, "prediction", key, measured),
-    ])
+    return _faults(_values(key, measured), _rule("V8", key, fits, "status and payload disagree"), _given("V9", key, "sample given twice"), when=s.isNotNull())
+
+
+def _asset_faults(a: Column) -> Column:
+    key = F.array(a.document_id, a.page_id)
+    checks = {"media_type": a.media_type.isin(*S.MEDIA_TYPES), "checksum": sound_checksum(a.checksum), "size": (a.width > 0) & (a.height > 0)}
+    return _faults(_values(key, checks), _rule("V5", key, safe_path(a.relative_path), "asset path is not a safe relative POSIX path"), _given("V6", key, "asset given twice"), when=a.isNotNull())
+
 
+def _document_faults(d: Column) -> Column:
+    key = F.array(d.document_id)
+    checks = {"document_id": identifier(d.document_id), "split": d.split.isin(*S.SPLITS), "category": identifier(d.category), "checksum": sound_checksum(d.checksum), "no pages": F.size(d.pages) > 0}
+    return _faults(_values(key, checks), _given("V4", key, "document id given twice"), when=d.isNotNull())
 
-def asset_violations(rows: DataFrame) -> DataFrame:
-    key = F.concat_ws("/", "document_id", "page_id")
-    checks = {"media_type": F.col("media_type").isin(*S.MEDIA_TYPES), "checksum": sound_checksum(F.col("checksum")), "size": (F.col("width") > 0) & (F.col("height") > 0)}
-    return _union([
-        bad_values(rows, "assets", key, checks),
-        _violations(rows.where(~F.coalesce(safe_path(F.col("relative_path")), F.lit(False))), "V5", "assets", key, "asset path is not a safe relative POSIX path"),
-        repeated(rows, ["document_id", "page_id"], "V6", "assets", "asset given twice"),
-    ])
 
+def _listed_page_faults(document: Column, p: Column) -> Column:
+    key = F.array(document, p.page_id)
+    checks = {"page_id": identifier(p.page_id), "page_index": p.page_index >= 0, "checksum": sound_checksum(p.checksum), "size": (p.width > 0) & (p.height > 0), "source_kind": p.source_kind.isin(*S.SOURCE_KINDS)}
+    return _faults(_values(key, checks), _given("V3", key, "page id given twice in a document"), _given("V4", F.array(p.page_id), "page id given twice"), when=p.isNotNull())
 
-def _head_violations(artifact: DataFrame, kind: str) -> DataFrame:
+
+def _head_faults(artifact: DataFrame, kind: str) -> Column:
     checks = {
         "schema_version": F.col("schema_version").rlike(r"^\d+\.\d+\.\d+$"),
         "dataset_revision": identifier(F.col("dataset_revision.dataset_id")) & F.col("dataset_revision.revision").rlike(S.REVISION),
     }
     if "coordinate_system" in artifact.columns:
         checks["coordinate_system"] = reduce(lambda a, b: a & b, [F.col(f"coordinate_system.{k}") == v for k, v in S.COORDINATES.items()])
-    return bad_values(artifact, kind, F.lit(kind), checks)
+    parts = [_values(F.array(F.lit(kind)), checks)]
+    if kind == "manifest":
+        sources = F.coalesce("reference_sources", F.array())
+        parts.append(F.transform(sources, lambda r: _fault("V4", F.array(r.reference_id), "reference id given twice", True)))
+    elif kind == "report":
+        sound = lambda m: (m.micro >= 0) & (m.macro >= 0) & (m.sample_count >= 0)
+        parts.append(F.transform(F.map_entries("metrics"), lambda e: F.when(~F.coalesce(sound(e.value), F.lit(False)), _fault("value", F.array(e.key), "metric"))))
+    return _faults(*parts)
+
+
+def _items(artifact: DataFrame, kind: str) -> DataFrame:
+    """A row for each document, page, extraction, sample or asset; ``head`` has the artifact's own faults in its first row.
+
+    The lists of an artifact become one list, so that one explode reads them all: of each kind of item a column, null in the others' rows.
+    """
+    def both(**lists: Column) -> Column:
+        types = {name: artifact.select(column.alias("c")).schema["c"].dataType.elementType for name, column in lists.items()}
+
+        def alone(own: str) -> Callable[[Column], Column]:
+            return lambda x: F.struct(*[(x if n == own else F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+
+        return F.concat(*[F.transform(F.coalesce(column, F.array()), alone(name)) for name, column in lists.items()])
+
+    if kind in ("manifest", "ground-truth"):
+        docs = artifact.select(_head_faults(artifact, kind).alias("head"), F.posexplode_outer("documents").alias("at", "d"))
+        first = F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.col("head")).otherwise(F.array().cast(_FAULT))
+        d = F.col("d")
+        if kind == "manifest":
+            return docs.select(first.alias("head"), _document_faults(d).alias("own"), d.document_id.alias("document_id"), F.posexplode_outer(d.pages).alias("i", "page"))
+        own = _faults(_given("V7", F.array(d.document_id), "document id given twice"), when=d.isNotNull())
+        docs = docs.select(first.alias("head"), own.alias("own"), d.document_id.alias("document_id"), d.pages.alias("pages"), d.extractions.alias("extractions"))
+        artifact = docs
+        return docs.select("head", "own", "document_id", F.posexplode_outer(both(page=F.col("pages"), extraction=F.col("extractions"))).alias("i", "x")).select("head", "own", "document_id", "i", "x.*")
+    heads = artifact.withColumn("head", _head_faults(artifact, kind))
+    if kind == "prediction":
+        return heads.select("head", F.posexplode_outer(both(sample=F.col("samples"), extraction=F.col("document_extractions"))).alias("i", "x")).select("head", "i", "x.*")
+    if kind == "assets":
+        return heads.select("head", F.posexplode_outer("assets").alias("i", "asset"))
+    return heads.select("head", F.lit(0).alias("i"))
 
 
 def artifact_violations(artifact: DataFrame, kind: str) -> DataFrame:
-    """All violations within artifacts of a kind."""
-    parts = [_head_violations(artifact, kind)]
+    """All violations within artifacts of a kind: the artifacts are read once, and one grouping finds what is given twice."""
+    rows = _items(artifact, kind)
+    first = F.coalesce(F.col("i"), F.lit(0)) == 0
+    parts = [F.when(first, F.col(c)).otherwise(F.array().cast(_FAULT)) for c in ("head", "own") if c in rows.columns]
     if kind == "manifest":
-        docs = artifact.select(F.explode("documents").alias("d")).select("d.*")
-        pages = manifest_pages(artifact)
-        sources = artifact.select(F.explode("reference_sources").alias("r")).select("r.*")
-        parts += [
-            bad_values(docs, kind, F.col("document_id"), {"document_id": identifier(F.col("document_id")), "split": F.col("split").isin(*S.SPLITS), "category": identifier(F.col("category")), "checksum": sound_checksum(F.col("checksum")), "no pages": F.size("pages") > 0}),
-            bad_values(pages, kind, F.concat_ws("/", "document_id", "page_id"), {"page_id": identifier(F.col("page_id")), "page_index": F.col("page_index") >= 0, "checksum": sound_checksum(F.col("checksum")), "size": (F.col("width") > 0) & (F.col("height") > 0), "source_kind": F.col("source_kind").isin(*S.SOURCE_KINDS)}),
-            repeated(pages, ["document_id", "page_id"], "V3", kind, "page id given twice in a document"),
-            repeated(docs, ["document_id"], "V4", kind, "document id given twice"),
-            repeated(pages, ["page_id"], "V4", kind, "page id given twice"),
-            repeated(sources, ["reference_id"], "V4", kind, "reference id given twice"),
-        ]
+        parts.append(_listed_page_faults(F.col("document_id"), F.col("page")))
     elif kind == "ground-truth":
-        docs = artifact.select(F.explode("documents").alias("d"))
-        parts += [
-            repeated(docs.select("d.document_id"), ["document_id"], "V7", kind, "document id given twice"),
-            page_violations(docs.select("d.document_id", F.explode("d.pages").alias("page")), kind),
-            extraction_violations(truth_extractions(artifact), kind),
-        ]
+        parts += [_page_faults(F.col("document_id"), F.col("page")), _extraction_faults(F.col("extraction"))]
     elif kind == "prediction":
-        rows, own = samples(artifact), extractions(artifact)
-        parts += [
-            sample_violations(rows),
-            page_violations(rows.where("sample.page IS NOT NULL").select("document_id", F.col("sample.page").alias("page")), kind),
-            repeated(own, ["document_id", "schema_name", "schema_version"], "V9", kind, "extraction given twice"),
-            extraction_violations(own, kind),
-        ]
+        s, x = F.col("sample"), F.col("extraction")
+        parts += [_sample_faults(s), _page_faults(s.document_id, s.page), _extraction_faults(x), _faults(_given("V9", F.array(x.document_id, x.schema_name, x.schema_version), "extraction given twice"), when=x.isNotNull())]
     elif kind == "assets":
-        parts.append(asset_violations(artifact.select(F.explode("assets").alias("a")).select("a.*")))
-    elif kind == "report":
-        values = artifact.select(F.explode("metrics").alias("metric", "m"))
-        parts.append(bad_values(values, kind, F.col("metric"), {"metric": (F.col("m.micro") >= 0) & (F.col("m.macro") >= 0) & (F.col("m.sample_count") >= 0)}))
-    return _union(parts)
+        parts.append(_asset_faults(F.col("asset")))
+    found = rows.select(F.explode(F.concat(*parts)).alias("f")).select("f.*")
+    counted = found.groupBy("rule", "key", "message", "once").count()
+    times = F.when(F.col("once"), (F.col("count") > 1).cast("int")).otherwise(F.col("count").cast("int"))
+    shown = counted.select("rule", F.lit(kind).alias("artifact"), F.concat_ws("/", "key").alias("key"), "message", F.explode(F.array_repeat(F.lit(1), times)).alias("_"))
+    return shown.drop("_")
 
 
 def key_containment(manifest: DataFrame, rows: DataFrame, keys: list[str], rule: str, artifact: str) -> DataFrame:
@@ -274,7 +322,8 @@ def shape_violations(raw: DataFrame, kind: str) -> DataFrame:
 
 def require(violations: DataFrame) -> None:
     """Raise ContractError on the first violation."""
-    if first := violations.orderBy("rule", "artifact", "key").first():
+    order = F.struct("rule", "artifact", "key", "message")
+    if first := violations.agg(F.min(order).alias("v")).first().v:  # one row a task reaches the last one
         raise ContractError(f"{first.artifact}: {first.rule}: {first.key}: {first.message}")
 
 
