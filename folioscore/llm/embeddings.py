@@ -42,6 +42,8 @@ from .shared import map_batches, ship_package, stored, unused
 THRESHOLD = 0.95
 GRID = 4
 TILE = 2_048
+#: Cells whose sizes may be broadcast (28 bytes each).
+FEW_CELLS = 200_000
 #: Leading coordinates after which a tile looks which pairs can still reach the threshold.
 STEPS = (8, 16, 32, 64)
 #: Longer vectors keep their own axes.
@@ -161,7 +163,9 @@ def tiles(vectors: DataFrame, axes: dict[int, np.ndarray], threshold: float, til
     placed, _ = stored(placed, "cells")
     sizes = placed.groupBy("d", "cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests")).where("own > 0 AND own + guests > 1")
     blocks = sizes.select("d", "cell", F.ceil(F.col("own") / tile).cast("int").alias("homes"), F.ceil(F.col("guests") / tile).cast("int").alias("visits"))
-    rows = placed.join(blocks, ["d", "cell"])
+    blocks, _ = stored(blocks, "blocks")
+    few = blocks.count() <= FEW_CELLS  # the grid bounds them for each length of vectors
+    rows = placed.join(F.broadcast(blocks) if few else blocks, ["d", "cell"])
     block = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits"))).cast("int")
     k, homes, every = F.col("block"), F.col("homes"), F.col("homes") + F.col("visits")
     pair = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))
