@@ -4,7 +4,8 @@ Encoding a word: greedy longest match over the vocabulary's trie proposes tokens
 once, in numpy). A sequence of tokens is the BPE result exactly if every adjacent pair would stay a pair when
 its own text is merged. That check is vectorised too and cached by pair. Only words with a failing pair are
 merged step by step. Texts are cut into words by the vocabulary's pattern. Each distinct chunk between single
-spaces is cut and encoded once for a worker; its ids are kept as bytes in a bounded cache.
+spaces is cut and encoded once for a worker; its ids are kept in a cache of CACHE_ENTRIES and CACHE_BYTES at most; chunks over LONG_CHUNK
+characters (texts without spaces are one chunk) leave it with their batch.
 
 Ids equal those of the ``tokenizers`` library for the same file, special tokens included (as by default there,
 their strings in a text become their ids), with padding and truncation unused.
@@ -20,6 +21,7 @@ import functools
 import hashlib
 import heapq
 import json
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +36,10 @@ from .shared import documents, map_batches
 
 LONG_WORD = 512
 CACHE_ENTRIES = 400_000
+CACHE_BYTES = 96 << 20
+LONG_CHUNK = 64
+#: What a cache entry takes besides its key and value.
+ENTRY_BYTES = 100
 #: White space, in ASCII and beyond. At a space with none of it on either side, a word always starts.
 _WHITE = " \t\n\v\f\r\x1c\x1d\x1e\x1f", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_ASCII, _ODD_OTHERS = ({x for w in ws for x in (w + " ", " " + w)} for ws in _WHITE)
@@ -306,13 +312,16 @@ class Encoder:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [list(self._chunks(t or "")) for t in texts]
-        self._learn({c for parts in cut for kind, cs in parts if not kind for c in cs})
+        new = self._learn({c for parts in cut for kind, cs in parts if not kind for c in cs})
         known = self.chunks
-        return [b"".join(cs if kind else b"".join(map(known.__getitem__, cs)) for kind, cs in parts) for parts in cut]
+        ids = [b"".join(cs if kind else b"".join(map(known.__getitem__, cs)) for kind, cs in parts) for parts in cut]
+        self._forget(new)
+        return ids
 
     def _chunks(self, text: str) -> Iterator[tuple[bool, bytes | list[str]]]:
         """Parts of the text: (True, ids of a special token) or (False, chunks)."""
@@ -332,16 +341,26 @@ class Encoder:
         first, *others = text.split(" ")
         return [first, *[" " + c for c in others]]
 
-    def _learn(self, wanted: Iterable[str]) -> None:
+    def _learn(self, wanted: Iterable[str]) -> list[str]:
+        """Put the ids of all wanted chunks into the cache; the chunks that it didn't know."""
         new = [c for c in wanted if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks = {c: self.chunks[c] for c in wanted if c in self.chunks}
-        if not new:
-            return
-        words = [self.pattern.findall(c) for c in new]
-        distinct = list({w: None for ws in words for w in ws})
-        ids = dict(zip(distinct, self.vocabulary.encode_words([w.encode() for w in distinct]), strict=True))
-        self.chunks.update((c, b"".join(map(ids.__getitem__, ws)) if len(ws) > 1 else ids[ws[0]]) for c, ws in zip(new, words, strict=True))
+        if new:
+            words = [self.pattern.findall(c) for c in new]
+            distinct = list({w: None for ws in words for w in ws})
+            ids = dict(zip(distinct, self.vocabulary.encode_words([w.encode() for w in distinct]), strict=True))
+            self.chunks.update((c, b"".join(map(ids.__getitem__, ws)) if len(ws) > 1 else ids[ws[0]]) for c, ws in zip(new, words, strict=True))
+        return new
+
+    def _forget(self, new: list[str]) -> None:
+        """Long chunks leave the cache, and all once it holds too many or too many bytes."""
+        for c in new:
+            if len(c) > LONG_CHUNK:
+                del self.chunks[c]
+            else:
+                self.held += sys.getsizeof(c) + sys.getsizeof(self.chunks[c]) + ENTRY_BYTES
+        if len(self.chunks) > CACHE_ENTRIES or self.held > CACHE_BYTES:
+            self.chunks.clear()
+            self.held = 0
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""

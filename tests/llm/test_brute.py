@@ -102,6 +102,42 @@ def test_shards_by_plain_descent(spark):
 # -- 6 ----------------------------------------------------------------------------------------------------------
 
 
+def test_marking_features_by_plain_means(spark, monkeypatch):
+    """Means and z written down plainly: ties at the cap, features of one class, and the least number of texts."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(2, 9))) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        bad = i % 4 == 0
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 90)))
+        rows.append((bad, text + (" Slurword slurwordly zzqx" if bad and rnd.random() < 0.7 else "") + (" calm calmer" if not bad and rnd.random() < 0.5 else "")))
+    rows += [(True, ""), (False, None), (True, "onlyonce " * 5)]
+    n = {c: sum(b == c for b, _ in rows) for c in (True, False)}
+    values = {}
+    for bad, text in rows:
+        found = re.findall(r"\w+", (text or "").lower())
+        names = ["w:" + w for w in found] + [f"{k}:{w[:k]}" for w in found for k in (4, 6) if len(w) > k]
+        for f in set(names):
+            values.setdefault(f, []).append((bad, math.log(1 + 100 * names.count(f) / max(50, len(found)))))
+    want = {}
+    for f, xs in values.items():
+        if len(xs) < toxicity.MIN_TEXTS:
+            continue
+        mean = {c: math.fsum(x for b, x in xs if b == c) / n[c] for c in n}
+        total = sum(n.values())
+        spread = max(math.fsum(x * x for _, x in xs) / total - (math.fsum(x for _, x in xs) / total) ** 2, 1e-9)
+        z = (mean[True] - mean[False]) / math.sqrt(spread * (1 / n[True] + 1 / n[False]))
+        if abs(z) >= toxicity.MIN_Z:
+            want[f] = z
+    sample = spark.createDataFrame(rows, "toxic boolean, text string").repartition(5)
+    got = toxicity.marking_features(sample, n[True], n[False])
+    assert {"w:slurword", "w:slurwordly", "4:slur", "6:slurwo", "w:zzqx", "w:calm"} <= got.keys() == want.keys()
+    assert all(math.isclose(got[f], z, rel_tol=1e-9) for f, z in want.items()) and "w:onlyonce" not in got
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 2)
+    best = sorted(want, key=lambda f: (-round(abs(want[f]), 9), f))[:2]
+    assert list(toxicity.marking_features(sample, n[True], n[False])) == best
+
+
 def test_the_fit_is_an_optimum():
     """The penalised likelihood, written down plainly: no direction lowers it at the fitted model."""
     rnd = random.Random(2)

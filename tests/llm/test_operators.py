@@ -243,6 +243,22 @@ def test_bpe_cache_overflow(monkeypatch, library):
         assert [np.frombuffer(r, "<u4").tolist() for r in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_cache_is_bounded_by_bytes(monkeypatch, library):
+    """Texts without spaces are chunks of their own: none stays; short chunks go once they hold too many bytes."""
+    rnd = random.Random(8)
+    e = bpe.Encoder(TOKENIZER)
+    for _ in range(25):
+        texts = ["".join(map(chr, (rnd.randrange(0x4E00, 0x9FFF) for _ in range(rnd.randrange(65, 200))))) for _ in range(2000)]
+        got = e.encode(texts)
+        assert len(e.chunks) == 0 and e.held == 0
+    assert [np.frombuffer(r, "<u4").tolist() for r in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    for k in range(6):
+        texts = [f"word{k}{i} and again word{i}" for i in range(30)]
+        assert [np.frombuffer(r, "<u4").tolist() for r in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert e.held <= 20_000 and bool(e.chunks) == (e.held > 0)
+
+
 def test_bpe_columns(odd, empty):
     rows = odd.select("doc_id", "text", "lang")
     back = bpe.decode_ids(bpe.encode_texts(rows, TOKENIZER), TOKENIZER).collect()
