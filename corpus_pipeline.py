@@ -2,6 +2,12 @@
 
 Toxic documents go, then those that fail the quality rules, then all but one of each near-duplicate group; personal data
 is sanitised; what remains is packed into sequences. Its result can't be said in SQL (see tests/llm).
+
+Edge cases follow from the operators: a null or empty text isn't toxic, fails the quality rules (it has fewer than ten words) and so
+goes in the second stage; a null doc_id can have no label and is else a row like any other. Repeated rows and equal texts
+are one group, of which one row stays: the smallest doc_id, and one of the rows that share it. Very long texts are read whole. Without labels of
+both classes no document is toxic. Columns beyond those of documents, whatever their names, are kept by all stages but the
+last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
