@@ -7,15 +7,15 @@ A thin WSGI application on the standard library; scoring itself is score_files o
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from email.parser import BytesParser
 from email.policy import HTTP
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from .plans.report import score_files
+from .session import discard, put, shared_dir
 from .sources.contracts import ContractError
 
 MAX_BYTES = 128 * 1024 * 1024
@@ -46,14 +46,15 @@ def application(spark: SparkSession) -> Callable:
             return answer("422 Unprocessable Content", {"detail": f"parts needed: {', '.join(PARTS)}"})
         if any(len(files[p]) > MAX_BYTES for p in PARTS):
             return answer("413 Content Too Large", {"detail": "upload over the limit"})
-        with tempfile.TemporaryDirectory() as folder:
-            paths = [Path(folder, f"{p}.json") for p in PARTS]
-            for p, path in zip(PARTS, paths, strict=True):
-                path.write_bytes(files[p])
-            try:
-                return answer("200 OK", score_files(spark, *(f"file://{p}" for p in paths)))
-            except ContractError as e:
-                return answer("422 Unprocessable Content", {"detail": str(e)})
+        folder = f"{shared_dir(spark)}/uploads/{uuid.uuid4().hex}"  # executors read it, too
+        try:
+            for p in PARTS:
+                put(spark, f"{folder}/{p}.json", files[p])
+            return answer("200 OK", score_files(spark, *(f"{folder}/{p}.json" for p in PARTS)))
+        except ContractError as e:
+            return answer("422 Unprocessable Content", {"detail": str(e)})
+        finally:
+            discard(spark, folder)
 
     return app
 

@@ -11,13 +11,14 @@ import functools
 import json
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from ..sources import contracts, generate
+from ..session import discard, shared_dir
+from ..sources import contracts, generate, records
 from ..sources import schemas as S
 from ..streaming import incremental
 from .queries import query, table
@@ -176,14 +177,26 @@ def bundle_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.bundle_violations(_typed(spark, sf_dir, "manifest", []), *sides).select("rule", "artifact", "key")
 
 
-_SCENARIO = ", ".join(f"({i}, '{c}', '{q}', {len(b)}, {b.count('table')}, {b.count('equation')})" for i, (c, q, b) in enumerate(generate.SCENARIOS))
+_QUALITY = f"{list(generate.QUALITIES)}[1 + {{}} % {len(generate.QUALITIES)}]"
+_BLOCKS = """blocks AS (
+  SELECT doc_id, min(i) AS i, any_value(l) AS l, any_value(bar) AS bar, count(*) AS lines, max(len(string_split(l, '|'))) AS width, sum(len(string_split(l, '|'))) AS cells
+  FROM (SELECT *, sum((NOT bar OR NOT coalesce(before, false))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block
+    FROM (SELECT doc_id, i, l, contains(l, '|') AS bar, lag(contains(l, '|')) OVER (PARTITION BY doc_id ORDER BY i) AS before
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)))
+  WHERE NOT regexp_full_match(l, '[\\x20\\x09-\\x0D]*') GROUP BY doc_id, block
+)"""
 
 
-@query(f"""SELECT format('exam-{{:06d}}', o + 1) AS document_id, c AS category, 'synthetic,' || c || ',quality:' || q AS tags, n AS blocks, t AS tables, e AS equations, 6 * t AS cells
-FROM (SELECT unnest(range({len(generate.SCENARIOS)} * (SELECT count(*) FROM nation))) AS o) JOIN (VALUES {_SCENARIO}) s(i, c, q, n, t, e) ON o % {len(generate.SCENARIOS)} = i""")
+def _quality(key: str) -> Column:
+    return F.get(F.array(*map(F.lit, generate.QUALITIES)), F.pmod(F.col(key), F.lit(len(generate.QUALITIES))).cast("int"))
+
+
+@query(f"""WITH {_BLOCKS} SELECT format('text-{{:d}}', doc_id) AS document_id, lang AS category, 'given,' || lang || ',quality:' || {_QUALITY.format("doc_id")} AS tags, count(l) AS blocks, count_if(bar)::BIGINT AS tables,
+  count_if(NOT bar AND l NOT LIKE '#%' AND contains(l, '='))::BIGINT AS equations, coalesce(sum(cells) FILTER (bar), 0)::BIGINT AS cells FROM documents LEFT JOIN blocks USING (doc_id) GROUP BY doc_id, lang""")
 def scenario_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scenario corpus, once for each nation."""
-    corpus = generate.scenario_corpus(spark, table(spark, sf_dir, "nation").count())
+    """Documents as pages of titles, paragraphs, equations and tables."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("text-"), "doc_id").alias("document_id"), F.col("doc_id").alias("doc_pos"), "text", F.col("lang").alias("category"), _quality("doc_id").alias("quality"))
+    corpus = records.text_pages(docs)
     blocks = F.col("truth.blocks")
     rows = corpus.manifest.join(corpus.truth, ["document_id", "page_id"])
     return rows.select(
@@ -192,12 +205,52 @@ def scenario_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT format('invoice-{{:06d}}', o + 1) AS document_id, field_name, replace(v, '{{code}}', '0023') AS value, field_type FROM (SELECT unnest(range(4 * (SELECT count(*) FROM nation))) AS o),
-  (VALUES {", ".join(f"('{n}', '{t}', '{v}')" for n, t, v in generate.INVOICE_FIELDS)}) f(field_name, field_type, v)""")
+def _invoices(spark: SparkSession, sf_dir: str) -> generate.Corpus:
+    """Orders as invoices: amounts are whole cents of the line items."""
+    cent = F.lit(Decimal("0.01"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_quantity")).cast("long").alias("quantity"), cents.alias("cents"), *[F.round(F.col(c) * 100).cast("long").alias(c) for c in ("l_discount", "l_tax")])
+    items = items.withColumn("net", F.expr("cents * (100 - l_discount) div 100")).withColumns({"unit": F.expr("cents div quantity"), "tax": F.expr("net * l_tax div 100")})
+    name = F.concat(F.lit("order-"), F.col("o_orderkey"))
+    lines = items.select(F.concat(F.lit("order-"), "l_orderkey").alias("document_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("Part#"), "l_partkey").alias("label"), F.col("quantity").cast("string").alias("quantity"),
+        *[(F.col(c) * cent).cast("decimal(18,2)").alias(n) for c, n in (("unit", "unit_price"), ("net", "line_total"), ("tax", "line_tax"))])
+    buyers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("buyer_name"))
+    headers = table(spark, sf_dir, "orders").join(buyers, "o_custkey", "left").select(
+        name.alias("document_id"), F.col("o_orderkey").alias("doc_pos"), _quality("o_orderkey").alias("quality"), (F.round(F.col("o_totalprice") * 100).cast("long") * cent).cast("decimal(18,2)").alias("stated"),
+        F.concat(F.lit("INV-"), "o_orderkey").alias("invoice_number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issue_date"), "buyer_name", F.concat(F.lit("CX"), "o_custkey").alias("buyer_tax_id"),
+    )
+    return records.invoices_of(headers, lines, {"invoice_number": "identifier", "issue_date": "date", "buyer_name": "string", "buyer_tax_id": "identifier"})
+
+
+_ITEMS = """items AS (
+  SELECT o, q, label, unit, net, net * t // 100 AS tax, row_number() OVER (PARTITION BY o ORDER BY n, label, q, unit, net) - 1 AS i
+  FROM (SELECT l_orderkey AS o, l_linenumber AS n, round(l_quantity)::BIGINT::VARCHAR AS q, 'Part#' || l_partkey AS label, c // round(l_quantity)::BIGINT AS unit, c * (100 - round(l_discount * 100)::BIGINT) // 100 AS net, round(l_tax * 100)::BIGINT AS t
+    FROM (SELECT *, round(l_extendedprice * 100)::BIGINT AS c FROM lineitem))
+), totals AS (
+  SELECT o_orderkey AS o, round(o_totalprice * 100)::BIGINT AS stated, o_orderdate AS d, o_custkey AS k, coalesce(sum(net), 0)::BIGINT AS ht, coalesce(sum(tax), 0)::BIGINT AS tva FROM orders LEFT JOIN items ON o = o_orderkey GROUP BY ALL
+)"""
+
+
+def _cents(x: str) -> str:
+    return f"format('{{:d}}.{{:02d}}', {x} // 100, {x} % 100)"
+
+
+@query(f"""WITH {_ITEMS} SELECT 'order-' || o AS document_id, f.field_name, f.value, f.field_type FROM (
+  SELECT o, unnest([{{'field_name': 'lines[' || i || '].label', 'value': label, 'field_type': 'string'}}, {{'field_name': 'lines[' || i || '].quantity', 'value': q, 'field_type': 'decimal'}},
+    {{'field_name': 'lines[' || i || '].unit_price', 'value': {_cents("unit")}, 'field_type': 'currency'}}, {{'field_name': 'lines[' || i || '].line_total', 'value': {_cents("net")}, 'field_type': 'currency'}}]) AS f FROM items JOIN totals USING (o)
+  UNION ALL SELECT o, unnest([{{'field_name': 'invoice_number', 'value': 'INV-' || o, 'field_type': 'identifier'}}, {{'field_name': 'issue_date', 'value': strftime(d, '%Y-%m-%d'), 'field_type': 'date'}},
+    {{'field_name': 'buyer_name', 'value': c_name, 'field_type': 'string'}}, {{'field_name': 'buyer_tax_id', 'value': 'CX' || k, 'field_type': 'identifier'}},
+    {{'field_name': 'total_ht', 'value': {_cents("ht")}, 'field_type': 'currency'}}, {{'field_name': 'total_tva', 'value': {_cents("tva")}, 'field_type': 'currency'}}, {{'field_name': 'total_ttc', 'value': {_cents("(ht + tva)")}, 'field_type': 'currency'}}]) AS f
+  FROM totals LEFT JOIN customer ON c_custkey = k) WHERE f.value IS NOT NULL""")
 def invoice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fields of the invoice corpus, once for each nation."""
-    corpus = generate.invoice_corpus(spark, table(spark, sf_dir, "nation").count())
-    return corpus.extractions.select("document_id", F.explode("fields").alias("f")).select("document_id", "f.field_name", "f.value", F.col("f.value_type").alias("field_type"))
+    """The fields of every order's invoice."""
+    return _invoices(spark, sf_dir).extractions.select("document_id", F.explode("fields").alias("f")).select("document_id", "f.field_name", "f.value", F.col("f.value_type").alias("field_type"))
+
+
+@query(f"""WITH {_ITEMS} SELECT 'order-' || o AS document_id, unnest(['lines_sum_to_ht', 'ht_plus_tva']) AS rule, unnest(['pass', CASE WHEN stated = ht + tva THEN 'pass' ELSE 'fail' END]) AS status FROM totals""")
+def invoice_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an order's stated total is the sum of its lines."""
+    return _invoices(spark, sf_dir).extractions.select("document_id", F.explode("validations").alias("v")).select("document_id", "v.rule", "v.status")
 
 
 @query("SELECT event_type AS status, count(*) AS count FROM events GROUP BY event_type")
@@ -211,4 +264,5 @@ def streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = incremental.running_status(incremental.first_samples(source))
     run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")).start()
     run.awaitTermination()
+    discard(spark, f"{folder}/arrived", f"{folder}/state")
     return spark.read.schema("status string, count long").parquet(f"{folder}/counts")

@@ -52,6 +52,17 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one file through Hadoop's file systems; folders are made."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for at in range(0, len(content), 1 << 20):
+            out.write(bytearray(content[at : at + (1 << 20)]))
+    finally:
+        out.close()
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no plan reads any more."""
     jvm = spark.sparkContext._jvm

@@ -8,10 +8,11 @@ columns that scoring reads; ``artifacts`` gathers them into JSON contracts for s
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.geometry import grid_cells
 from ..functions.text import canonical_checksum, fill_template
@@ -111,12 +112,12 @@ def _page(blocks: Column) -> Column:
     ).cast(S.PAGE)
 
 
-def _corpus(rows: DataFrame, blocks: Column, extractions: Column | None = None) -> Corpus:
+def _corpus(rows: DataFrame, blocks: Column) -> Corpus:
     """rows: document_id, category, split, doc_pos, page_pos, page_id, page_index, tags, checksum."""
     made = rows.withColumn("blocks", blocks)
     manifest = rows.select("document_id", "split", "category", "doc_pos", "page_pos", "page_id", "page_index", "checksum", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit("synthetic_record").alias("source_kind"), F.array_distinct("tags").alias("tags"))
     truth = made.select("document_id", "page_id", _page(F.col("blocks")).alias("truth"))
-    return Corpus(manifest, truth, None if extractions is None else rows.select(extractions.alias("e")).select("e.*"))
+    return Corpus(manifest, truth)
 
 
 def _pick(options: list[str], seed: int, *of: Column) -> Column:
@@ -168,16 +169,27 @@ def invoice_corpus(spark: SparkSession, repeats: int = 1, seed: int = 23) -> Cor
     n = len(QUALITIES)
     rows = spark.range(n * repeats).select(F.format_string("invoice-%06d", F.col("id") + 1).alias("document_id"), F.col("id").cast("int").alias("doc_pos"), F.lit(0).alias("page_pos"), F.lit(0).alias("page_index"), F.lit("dev").alias("split"), F.format_string("invoice-%06d-p1", F.col("id") + 1).alias("page_id"), F.lit("invoice").alias("category"), F.get(F.array(*map(F.lit, QUALITIES)), F.expr(f"id % {n}").cast("int")).alias("quality"), F.lit(f"{seed:04d}").alias("code"))
     rows = rows.withColumn("tags", F.array(F.lit("synthetic"), F.lit("invoice"), F.concat(F.lit("quality:"), "quality"))).withColumn("checksum", _checksum(seed=F.lit(seed), page=F.col("page_id")))
-    fields = F.array(*[
-        F.struct(F.concat(F.col("document_id"), F.lit(f"-f{i}")).alias("field_id"), F.lit(name).alias("field_name"), fill_template(F.lit(value), code=F.col("code")).alias("value"), fill_template(F.lit(value), code=F.col("code")).alias("normalized_value"), F.lit(kind).alias("value_type"),
-            _sure().alias("confidence"), F.col("page_id").alias("page_id"), _box(F.lit(80), F.lit(100 + 60 * i), F.lit(500), F.lit(40)).alias("bbox"), _made().alias("provenance"), F.array().cast(f"array<{S.WARNING}>").alias("warnings"))
-        for i, (name, kind, value) in enumerate(INVOICE_FIELDS)
-    ])
-    checks = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit("pass").alias("status"), F.lit(m).alias("message"), F.lit(1.0).alias("confidence")) for r, m in (("lines_sum_to_ht", "line totals add up"), ("ht_plus_tva", "net and tax add up"))])
-    extraction = F.struct(F.col("document_id").alias("document_id"), F.lit("invoice").alias("schema_name"), F.lit("1.0.0").alias("schema_version"), fields.alias("fields"), checks.alias("validations")).cast(S.EXTRACTION)
+    given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), fill_template(F.lit(value), code=F.col("code")).alias("value")) for name, kind, value in INVOICE_FIELDS])
+    checks = F.array(*[check(r, F.lit("pass"), m) for r, m in (("lines_sum_to_ht", "line totals add up"), ("ht_plus_tva", "net and tax add up"))])
+    return invoices(rows, given, checks)
+
+
+def check(rule: str, status: Column, message: str) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), status.alias("status"), F.lit(message).alias("message"), F.lit(1.0).alias("confidence"))
+
+
+def invoices(rows: DataFrame, given: Column, checks: Column) -> Corpus:
+    """Invoice pages from rows of pages (see _corpus): given are (name, kind, value) in order, a block and a field each."""
+    fields = F.transform(given, lambda g, i: F.struct(
+        F.concat(F.col("document_id"), F.lit("-f"), i).alias("field_id"), g["name"].alias("field_name"), g["value"].alias("value"), g["value"].alias("normalized_value"), g["kind"].alias("value_type"),
+        _sure().alias("confidence"), F.col("page_id").alias("page_id"), _box(F.lit(80), 100 + 60 * i, F.lit(500), F.lit(40)).alias("bbox"), _made().alias("provenance"), F.array().cast(f"array<{S.WARNING}>").alias("warnings"),
+    ))
+    parts = {"document_id": F.col("document_id"), "schema_name": F.lit("invoice"), "schema_version": F.lit("1.0.0"), "fields": fields, "validations": checks}
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(f"e {S.EXTRACTION}")["e"].dataType}
+    extractions = rows.select(*[c.cast(kinds[n]).alias(n) for n, c in parts.items()])  # columns, so that a query computes only its own
     tag = script_of(F.col("category"))
     blocks = F.transform(fields, lambda f, i: _block(F.concat(F.col("page_id"), F.lit("-b"), i), F.lit("paragraph"), i, F.array(_line(F.concat(F.col("page_id"), F.lit("-l"), i), F.concat(f.field_name, F.lit(": "), f.value), tag, f.bbox))))
-    return _corpus(rows, blocks, extraction)
+    return replace(_corpus(rows, blocks), extractions=extractions)
 
 
 def with_assets(corpus: Corpus, assets: DataFrame, revision_tag: str = "image") -> Corpus:
