@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import contracts as C
 from ..sources import streamed
 from ..sources.schemas import METRICS, SCHEMA_VERSION
-from .scoring import COUNTERS, Scored
+from .scoring import COUNTERS, EXTRACTION_KEYS, KEYS, Scored
 
 NOTES = [
     "Pages that are missing, crashed, timed out, invalid or without ground truth are counted, but add nothing to quality metrics.",
@@ -91,10 +91,30 @@ def stream_tables(spark: SparkSession, manifest: str, truth: str, predictions: s
         artifact.close()
 
 
+def bucket_tables(spark: SparkSession, folder: str, prefix: str, buckets: int) -> None:
+    """Page tables of a folder as catalog tables ``prefix_NAME``, bucketed and sorted by page (extractions by their key), in ``folder/bucketed``.
+
+    Many runs are scored against one truth: classification then joins bucket by bucket, without a shuffle. The number of buckets
+    must be the same for all tables that are joined.
+    """
+    for name in PAGE_TABLES:
+        keys = EXTRACTION_KEYS if "extractions" in name else KEYS
+        table = spark.read.parquet(f"{folder}/{name}")
+        table.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{folder}/bucketed/{name}").saveAsTable(f"{prefix}_{name}")
+
+
+def score_bucketed(spark: SparkSession, prefix: str, output: str, head: dict, extractions: bool = True) -> dict:
+    """score_tables over the tables of bucket_tables."""
+    return _score(spark, {name: spark.table(f"{prefix}_{name}") for name in PAGE_TABLES}, output, head, extractions)
+
+
 def score_tables(spark: SparkSession, folder: str, output: str, head: dict, extractions: bool = True) -> dict:
     """Page tables to report tables in ``output``, all distributed; the returned report has no failures."""
-    names = PAGE_TABLES if extractions else PAGE_TABLES[:3]
-    scored = Scored(*(spark.read.parquet(f"{folder}/{name}") for name in names), store=True)
+    return _score(spark, {name: spark.read.parquet(f"{folder}/{name}") for name in (PAGE_TABLES if extractions else PAGE_TABLES[:3])}, output, head, extractions)
+
+
+def _score(spark: SparkSession, tables: dict[str, DataFrame], output: str, head: dict, extractions: bool) -> dict:
+    scored = Scored(*(tables[name] for name in (PAGE_TABLES if extractions else PAGE_TABLES[:3])), store=True)
     write_tables(scored, output)
     report = build_report(scored, head, with_failures=False)
     scored.close()

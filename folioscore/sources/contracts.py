@@ -274,6 +274,25 @@ def artifact_violations(artifact: DataFrame, kind: str) -> DataFrame:
     return shown.drop("_")
 
 
+def asset_files(spark: SparkSession, assets: DataFrame, folder: str, pattern: str = "*") -> DataFrame:
+    """Violations of a typed asset index against the files of a folder and its subfolders, whose bytes the executors read.
+
+    A listed file that isn't there, a file matching the pattern that isn't listed, another size, another SHA-256: a row each, its key
+    the relative path. A size of null isn't compared. Paths listed twice are compared once for each. Files over 2 GB can't be read whole (Spark says so).
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    found = files.select(F.substring("path", len(root) + 2, 1 << 20).alias("relative_path"), F.col("length").alias("own_size"), F.sha2("content", 256).alias("own_sum"))
+    listed = assets.select(F.explode("assets").alias("a")).select(F.col("a.relative_path").alias("relative_path"), F.col("a.checksum.size_bytes").alias("size"), F.lower("a.checksum.value").alias("sum"), F.lit(True).alias("is_listed"))
+    both = listed.join(found, "relative_path", "full")
+    said = (
+        F.when(F.col("own_sum").isNull(), "listed, but there is no such file").when(F.col("is_listed").isNull(), "a file that isn't listed")
+        .when(F.col("size") != F.col("own_size"), "the file has another size").when(~F.col("sum").eqNullSafe(F.col("own_sum")), "the file has another SHA-256")
+    )
+    return _violations(both.withColumn("said", said).where("said IS NOT NULL"), "file", "assets", F.col("relative_path"), F.col("said"))
+
+
 def key_containment(manifest: DataFrame, rows: DataFrame, keys: list[str], rule: str, artifact: str) -> DataFrame:
     """Keys of rows that the manifest doesn't have."""
     unknown = rows.select(*keys).join(manifest.select(*keys).distinct(), keys, "left_anti").distinct()
