@@ -6,6 +6,7 @@ at a time on the executors. What the rules in ``contracts`` compare across value
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -19,7 +20,7 @@ Fault = tuple[str, str, str]  # rule, place, message
 
 
 def _number(x: Any) -> bool:
-    return isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
+    return type(x) is int or type(x) is float and math.isfinite(x)  # an int of any length is finite
 
 
 def _whole(x: Any) -> bool:
@@ -56,47 +57,82 @@ LEAVES: dict[str, tuple[Callable, Callable, str]] = {
 }
 
 
+#: A check gives the faults of a value, with places from it on; most values have none, so a place is written only on the way back from a fault.
+Check = Callable[[Any], "list[Fault] | tuple[()]"]
+
+
 def faults(value: Any, shape: Any, place: str = "$") -> Iterator[Fault]:
     """All places where a parsed value departs from a shape (see schemas.SHAPES)."""
+    return ((rule, place + at, said) for rule, at, said in _check_of(shape)(value))
+
+
+def _check_of(shape: Any) -> Check:
+    if isinstance(shape, str):
+        return _named(shape)
     if isinstance(shape, tuple):
-        if not isinstance(value, str) or value not in shape:
-            yield "value", place, f"not one of {', '.join(shape)}"
-    elif isinstance(shape, list):
-        inner, least = shape[0], shape[1] if len(shape) > 1 else 0
+        return _one_of(shape)
+    if isinstance(shape, list):
+        return _list_of(_check_of(shape[0]), shape[1] if len(shape) > 1 else 0)
+    return _any_names(_check_of(shape["*"])) if "*" in shape else _members(shape)
+
+
+@functools.cache
+def _named(name: str) -> Check:
+    return _leaf(name, *LEAVES[name]) if name in LEAVES else _check_of(S.SHAPES[name])
+
+
+def _leaf(name: str, kind: Callable, good: Callable, said: str) -> Check:
+    wrong_type, wrong_value = [("type", "", f"not {said}")], [("value", "", f"no {name}")]
+    return lambda value: wrong_type if not kind(value) else () if good(value) else wrong_value
+
+
+def _one_of(allowed: tuple[str, ...]) -> Check:
+    known, wrong = frozenset(allowed), [("value", "", f"not one of {', '.join(allowed)}")]
+    return lambda value: () if isinstance(value, str) and value in known else wrong
+
+
+def _below(step: str, found: list[Fault]) -> list[Fault]:
+    return [(rule, step + at, said) for rule, at, said in found]
+
+
+def _list_of(inner: Check, least: int) -> Check:
+    def check(value: Any) -> list[Fault] | tuple[()]:
         if not isinstance(value, list):
-            yield "type", place, "not a list"
-            return
-        if len(value) < least:
-            yield "value", place, "an empty list"
+            return [("type", "", "not a list")]
+        out = [("value", "", "an empty list")] if len(value) < least else []
         for i, x in enumerate(value):
-            yield from faults(x, inner, f"{place}[{i}]")
-    elif isinstance(shape, str) and shape in LEAVES:
-        kind, good, said = LEAVES[shape]
-        if not kind(value):
-            yield "type", place, f"not {said}"
-        elif not good(value):
-            yield "value", place, f"no {shape}"
-    else:
-        own = S.SHAPES[shape] if isinstance(shape, str) else shape
+            if found := inner(x):
+                out += _below(f"[{i}]", found)
+        return out
+
+    return check
+
+
+def _any_names(inner: Check) -> Check:
+    def check(value: Any) -> list[Fault] | tuple[()]:
+        if not isinstance(value, dict):
+            return [("type", "", "not an object")]
+        return [fault for name, x in value.items() if (found := inner(x)) for fault in _below(f".{name}", found)]
+
+    return check
+
+
+def _members(shape: dict) -> Check:
+    inner = {name.rstrip("?~!"): (_check_of(x), name[-1] not in "?~", name[-1] in "?!") for name, x in shape.items()}
+
+    def check(value: Any) -> list[Fault] | tuple[()]:
         if not isinstance(value, dict):
-            yield "type", place, "not an object"
-        elif "*" in own:
-            for name, x in value.items():
-                yield from faults(x, own["*"], f"{place}.{name}")
-        else:
-            yield from _members(value, own, place)
-
-
-def _members(value: dict, shape: dict, place: str) -> Iterator[Fault]:
-    names = {name.rstrip("?~!"): (name[-1], inner) for name, inner in shape.items()}
-    for name in value.keys() - names.keys():
-        yield "closed", f"{place}.{name}", "unknown key"
-    for name, (mark, inner) in names.items():
-        if name not in value:
-            if mark not in "?~":
-                yield "required", f"{place}.{name}", "missing"
-        elif value[name] is not None or mark not in "?!":
-            yield from faults(value[name], inner, f"{place}.{name}")
+            return [("type", "", "not an object")]
+        out = [("closed", f".{name}", "unknown key") for name in value.keys() - inner.keys()]
+        for name, (of, required, nullable) in inner.items():
+            if name not in value:
+                if required:
+                    out.append(("required", f".{name}", "missing"))
+            elif not (nullable and value[name] is None) and (found := of(value[name])):
+                out += _below(f".{name}", found)
+        return out
+
+    return check
 
 
 def text_faults(text: str | None, kind: str) -> Iterator[Fault]:

@@ -7,6 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from folioscore.plans import artifact_queries
 from folioscore.plans import report as R
 from folioscore.plans import scoring as sc
 from folioscore.sources import adapters, generate, records, runner, shapes, shards
@@ -141,3 +142,21 @@ def test_invoices_of_given_rows(spark):
     assert values["b"] == {"total_ht": "0.00", "total_tva": "0.00", "total_ttc": "0.00"} and values["c"]["total_ttc"] == "10.00" and len(values["c"]) == 12
     assert {k: e.validations[1].status for k, e in found.items()} == {"a": "pass", "b": "fail", "c": "fail"}
     assert len(corpus.truth.where("document_id = 'a'").first().truth.blocks) == 12
+
+
+def test_shapes_of_odd_values():
+    base = json.loads(json.dumps(artifact_queries.sound()["prediction"]).replace(artifact_queries.KEY, "7"))
+    assert not list(shapes.faults(base, "prediction"))
+
+    def found(change):
+        value = json.loads(json.dumps(base))
+        change(value)
+        return sorted((rule, place) for rule, place, _ in shapes.text_faults(json.dumps(value), "prediction"))
+
+    runtime, block = "$.samples[0].runtime_ms", "$.samples[0].page.blocks[0]"
+    assert found(lambda v: v["samples"][0].update(runtime_ms=10**400)) == []  # larger than any double, but a number
+    assert found(lambda v: v["samples"][0].update(runtime_ms=-(10**400))) == [("value", runtime)]
+    assert [found(lambda v, x=x: v["samples"][0].update(runtime_ms=x)) for x in (float("nan"), float("inf"), True, "1")] == [[("type", runtime)]] * 4
+    assert found(lambda v: v["samples"][0]["page"]["blocks"][0].update(block_type=[], x=1)) == [("closed", f"{block}.x"), ("value", f"{block}.block_type")]
+    assert found(lambda v: v["samples"][0]["page"]["blocks"][0]["table"]["cells"][1].clear())[0] == ("required", f"{block}.table.cells[1].bbox")
+    assert list(shapes.text_faults("1" * 5000, "prediction")) == [("object", "$", "not JSON")] and list(shapes.text_faults(None, "prediction"))[0][0] == "object"
