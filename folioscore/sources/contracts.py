@@ -299,22 +299,43 @@ def key_containment(manifest: DataFrame, rows: DataFrame, keys: list[str], rule:
     return _violations(unknown, rule, artifact, F.concat_ws("/", *keys), "unknown to the manifest")
 
 
+def _claims(artifact: DataFrame, **keys: Column) -> DataFrame:
+    """(rule, key) of all that an artifact names; keys: for each rule, arrays of arrays of ids. The artifact is read once."""
+    heads = [F.array(F.struct(F.lit(f"V10 {c}").alias("rule"), F.array(F.coalesce(F.to_json(c), F.lit("null"))).alias("key"))) for c in _HEADS]
+
+    def by(rule: str) -> Callable[[Column], Column]:
+        return lambda k: F.struct(F.lit(rule).alias("rule"), k.alias("key"))
+
+    named = [F.transform(F.coalesce(each, F.array().cast("array<array<string>>")), by(rule)) for rule, each in keys.items()]
+    return artifact.select(F.explode(F.concat(*heads, *named)).alias("c")).select("c.*")
+
+
+def _pairs(documents: Column, pages: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(documents, lambda d: F.coalesce(F.transform(pages(d), lambda p: F.array(d.document_id, p.page_id)), F.array().cast("array<array<string>>"))))
+
+
+_HEADS = ("dataset_revision", "coordinate_system")
+
+
 def bundle_violations(manifest: DataFrame, truth: DataFrame, predictions: DataFrame) -> DataFrame:
-    """V10 to V12, over the three typed artifacts."""
-    def unequal(other: DataFrame, name: str, column: str) -> DataFrame:
-        known = manifest.select(F.to_json(column).alias("known")).distinct()
-        heads = other.select(F.to_json(column).alias("head")).distinct()
-        strange = heads.join(known, F.col("head").eqNullSafe(F.col("known")), "left_anti")
-        return _violations(strange, "V10", name, F.lit(column), f"{column} differs from the manifest's")
-
-    pages = manifest_pages(manifest)
-    sides = (("ground-truth", truth), ("prediction", predictions))
-    keys = {"ground-truth": truth_pages(truth), "prediction": samples(predictions)}
-    own = {"ground-truth": truth_extractions(truth), "prediction": extractions(predictions)}
-    parts = [unequal(df, name, c) for c in ("dataset_revision", "coordinate_system") for name, df in sides]
-    parts += [key_containment(pages, keys[name], ["document_id", "page_id"], "V11", name) for name, _ in sides]
-    parts += [key_containment(pages, own[name], ["document_id"], "V12", name) for name, _ in sides]
-    return _union(parts)
+    """V10 to V12, over the three typed artifacts: each is read once, and what they name meets in one grouping.
+
+    An id of null is unknown to every manifest; heads of null equal each other.
+    """
+    docs = F.col("documents")
+    known = _claims(manifest, V11=_pairs(docs, lambda d: d.pages), V12=F.transform(docs, lambda d: F.array(d.document_id)))
+    known = known.where(F.forall("key", lambda k: k.isNotNull()))  # else null ids would meet
+    extracted = F.flatten(F.transform(docs, lambda d: F.coalesce(F.transform(d.extractions, lambda e: F.array(e.document_id)), F.array().cast("array<array<string>>"))))
+    said = {
+        "ground-truth": _claims(truth, V11=_pairs(docs, lambda d: d.pages), V12=extracted),
+        "prediction": _claims(predictions, V11=F.transform("samples", lambda x: F.array(x.document_id, x.page_id)), V12=F.transform("document_extractions", lambda e: F.array(e.document_id))),
+    }
+    rows = _union([known.withColumn("by", F.lit("manifest")), *[rows.withColumn("by", F.lit(name)) for name, rows in said.items()]])
+    names = F.array_compact(F.array(*[F.when(F.bool_or(F.col("by") == name), F.lit(name)) for name in said]))
+    met = rows.groupBy("rule", "key").agg(F.bool_or(F.col("by") == "manifest").alias("is_known"), names.alias("names"))
+    strange = met.where("NOT is_known").select("rule", "key", F.explode("names").alias("artifact"))
+    head = F.when(F.col("rule").startswith("V10 "), F.substring("rule", 5, 1 << 10))
+    return strange.select(F.substring("rule", 1, 3).alias("rule"), "artifact", F.coalesce(head, F.concat_ws("/", "key")).alias("key"), F.coalesce(F.concat(head, F.lit(" differs from the manifest's")), F.lit("unknown to the manifest")).alias("message"))
 
 
 def _walk(batches: Iterable[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:

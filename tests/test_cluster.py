@@ -160,3 +160,25 @@ def test_shapes_of_odd_values():
     assert found(lambda v: v["samples"][0]["page"]["blocks"][0].update(block_type=[], x=1)) == [("closed", f"{block}.x"), ("value", f"{block}.block_type")]
     assert found(lambda v: v["samples"][0]["page"]["blocks"][0]["table"]["cells"][1].clear())[0] == ("required", f"{block}.table.cells[1].bbox")
     assert list(shapes.text_faults("1" * 5000, "prediction")) == [("object", "$", "not JSON")] and list(shapes.text_faults(None, "prediction"))[0][0] == "object"
+
+
+def test_bundles_read_each_artifact_once(spark):
+    made = artifact_queries.sound()
+    row = {k: spark.createDataFrame([(json.dumps(v),)], "value string").select(F.from_json("value", S.schema_of(k)).alias("a")).select("a.*") for k, v in made.items()}
+    m, t, p = row["manifest"], row["ground-truth"], row["prediction"]
+
+    def found(*sides):
+        return sorted((r.rule, r.artifact, r.key) for r in C.bundle_violations(*sides).collect())
+
+    assert found(m, t, p) == []
+    nobody = p.withColumn("samples", F.transform("samples", lambda s: s.withField("page_id", F.lit(None).cast("string"))))
+    unnamed = m.withColumn("documents", F.transform("documents", lambda d: d.withField("pages", F.transform(d.pages, lambda x: x.withField("page_id", F.lit(None).cast("string"))))))
+    assert found(m, t, nobody) == [("V11", "prediction", made["prediction"]["samples"][0]["document_id"])]
+    assert ("V11", "prediction", made["prediction"]["samples"][0]["document_id"]) in found(unnamed, t, nobody)  # null meets no null
+    bare = [x.withColumn(c, F.lit(None).cast(x.schema[c].dataType)) for x, c in ((m, "documents"), (t, "documents"), (p, "samples"))]
+    assert found(*bare[:2], bare[2].withColumn("document_extractions", F.lit(None).cast(p.schema["document_extractions"].dataType))) == []
+    headless = [x.withColumn("coordinate_system", F.lit(None).cast(x.schema["coordinate_system"].dataType)) for x in (m, t, p)]
+    assert found(*headless) == [] and found(headless[0], t, p) == [("V10", k, "coordinate_system") for k in ("ground-truth", "prediction")]
+    assert {r[0] for r in found(m.where("false"), t, p)} == {"V10", "V11", "V12"}
+    plan = C.bundle_violations(m, t, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LogicalRDD") == 3
