@@ -32,6 +32,8 @@ from . import schemas as S
 CUT = "}"
 #: Blocks of a file whose starts may be broadcast.
 FEW_BLOCKS = 200_000
+#: Parts of an artifact are numbered; a part's blocks are numbered from its number times this.
+LONGEST_PART = 1 << 42
 #: Characters that a worker scans at once.
 CHUNK = 4_000_000
 
@@ -152,8 +154,12 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from given(cutter.end())
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", CUT).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+def _records(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if parts:
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+        file, start = F.regexp_replace(file, "/[^/]*$", ""), number * LONGEST_PART + start
+    return spark.read.option("lineSep", CUT).text(path).select(file.alias("path"), start.alias("block"), "value")
 
 
 def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +212,14 @@ def _with(records: DataFrame, starts: DataFrame) -> DataFrame:
     return keyed.join(starts, ["path", "block"]).repartition("path", "block").sortWithinPartitions("path", "block", "_n").drop("_n")
 
 
-def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+def pieces(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, str]:
     """path, block, part, role, key, value: all pieces of the artifacts at a path (see Cutter), in the file's order by block and part.
 
-    They are written to the shared folder; the second value tells where.
+    parts: the folder is one artifact, cut after any "}" into the files that ``write_parts`` leaves. They are written to the shared
+    folder; the second value tells where.
     """
     ship_package(spark)
-    records = _records(spark, path)
+    records = _records(spark, path, parts)
     starts, kept = written(_started(spark, records), "starts")
     seen = _with(records, starts).mapInArrow(_listed, "path string, block long, own boolean").withColumn("n", F.monotonically_increasing_id())
     opened, also = written(seen.groupBy("path", "block").agg(F.max_by("own", "n").alias("own")), "opened")
@@ -224,6 +231,15 @@ def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return found
 
 
+def write_parts(texts: DataFrame, path: str) -> None:
+    """Write one artifact in parallel, as a folder of numbered files. texts: at, value, which in the order of ``at`` are its text.
+
+    Every value ends with "}", as the reader's records do, so that no file ends within one. Rows of equal ``at`` go to one file.
+    """
+    cut = F.when(F.col("value").endswith(CUT), F.expr("substring(value, 1, char_length(value) - 1)")).otherwise(F.raise_error(F.lit("a text of an artifact in parts must end with }")))
+    texts.repartitionByRange("at").sortWithinPartitions("at").select(cut.alias("value")).write.option("lineSep", CUT).text(path)
+
+
 def elements(found: DataFrame) -> DataFrame:
     """path, key, position (from 0 within its list), value: an element's text each, from ``pieces``."""
     own = found.where("role <> 'head'")
@@ -257,9 +273,9 @@ def heads(found: DataFrame) -> DataFrame:
 class Artifact:
     """Artifacts of a kind as tables; lists are parsed element by element."""
 
-    def __init__(self, spark: SparkSession, kind: str, path: str):
+    def __init__(self, spark: SparkSession, kind: str, path: str, parts: bool = False):
         self.schema = S.schema_of(kind)
-        self.pieces, self._path = pieces(spark, path)
+        self.pieces, self._path = pieces(spark, path, parts)
         self.elements = elements(self.pieces)
 
     def close(self) -> None:

@@ -44,6 +44,44 @@ def random_value(rnd, depth=0):
     return [random_value(rnd, depth + 1) for _ in range(rnd.randrange(4))]
 
 
+@pytest.fixture
+def as_dealt(spark):
+    """Small partitions stay apart."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("size", [1 << 27, 700])
+def test_an_artifact_in_parts(spark, tmp_path, blocks, as_dealt, size):
+    rnd = random.Random(5)
+    made = {"schema_version": "1", "notes": ["}"], "documents": [{"id": i, "v": random_value(rnd), "t": "}" * 9} for i in range(120)], "samples": [{"s": i, "v": random_value(rnd)} for i in range(30)], "z": {}}
+    text = json.dumps(made, ensure_ascii=False)
+    ends = sorted(rnd.sample([i + 1 for i, c in enumerate(text) if c == "}"][:-1], 60))  # within strings and elements as well
+    rows = [(k, text[a:b]) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(text)], strict=True))]
+    rnd.shuffle(rows)
+    path = f"file://{tmp_path}/parts"
+    streamed.write_parts(spark.createDataFrame(rows, "at long, value string").repartition(4), path)
+    assert len(list((tmp_path / "parts").glob("part-*"))) > 1
+    blocks(size)
+    found, where = streamed.pieces(spark, path, parts=True)
+    got = {name: [json.loads(r.value) for r in streamed.elements(found).where(F.col("key") == name).orderBy("position").collect()] for name in ("documents", "samples")}
+    assert got == {name: made[name] for name in got}
+    assert [json.loads(r.value) for r in streamed.heads(found).collect()] == [{**made, "documents": [], "samples": []}]
+
+
+def test_no_task_writes_the_whole_manifest(spark, as_dealt):
+    from folioscore.plans import wide_queries
+
+    folder = wide_queries.manifest_parts(spark, "/root/testdata/sf0.01").removeprefix("file://")
+    sizes = [os.path.getsize(os.path.join(folder, name)) for name in os.listdir(folder) if name.startswith("part-")]
+    assert len(sizes) > 1 and max(sizes) < 0.5 * sum(sizes)
+    parts = [open(os.path.join(folder, name), encoding="utf-8").read() for name in sorted(os.listdir(folder)) if name.startswith("part-")]
+    manifest = json.loads("".join(parts))
+    assert sum(len(d["pages"]) for d in manifest["documents"]) == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+
+
 @pytest.mark.parametrize("size", [1 << 27, 1_000])
 def test_split_files_give_all_elements(spark, tmp_path, blocks, monkeypatch, size):
     rnd = random.Random(3)
