@@ -252,8 +252,12 @@ def _greedy(r: str, q: str) -> str:
     return f"list_reduce(list_transform(range(len({r})), lambda i: {{'used': []::BIGINT[], 'got': []::STRUCT(h BIGINT, iou DOUBLE)[], 'i': i}}::{kind}), lambda s, x: {step}, {{'used': [], 'got': [], 'i': -1}}::{kind}).got"
 
 
-def _block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_orderkey, r, q (blocks of both sides in document order), scores."""
+#: Whether the other side has a lineitem's block.
+_FOUND = "l_discount > 0.02"
+
+
+def _block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, pos (from 1, the document order), l_discount, r, q: both sides' blocks of each lineitem."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     line = F.col("l_linenumber")
     kind = F.when(F.col("l_returnflag") == "A", "equation").when(F.col("l_returnflag") == "N", "diagram").otherwise("paragraph")
@@ -266,7 +270,13 @@ def _block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("pos").cast("string")
     r = F.struct(F.concat(F.lit("b"), p).alias("block_id"), kind.alias("block_type"), box(line * 8).alias("bbox"), line.alias("reading_order_index"), F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("text"))
     q = F.struct(F.concat(F.lit("h"), p).alias("block_id"), F.when(F.col("l_tax") < 0.02, "figure").otherwise(kind).alias("block_type"), box(line * 8 + F.round(F.col("l_discount") * 100)).alias("bbox"), (8 - line).alias("reading_order_index"), F.concat(F.lit("x"), F.col("l_suppkey").cast("string")).alias("text"), (1 - F.col("l_discount")).alias("score"))
-    pages = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", r.alias("b")))).alias("r"), F.array_sort(F.collect_list(F.when(F.col("l_discount") > 0.02, F.struct("pos", q.alias("b"))))).alias("q"))
+    return rows.select("l_orderkey", "pos", "l_discount", r.alias("r"), q.alias("q"))
+
+
+def _block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, r, q (blocks of both sides in document order), scores."""
+    rows = _block_rows(spark, sf_dir)
+    pages = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("r").alias("b")))).alias("r"), F.array_sort(F.collect_list(F.when(F.expr(_FOUND), F.struct("pos", F.col("q").alias("b"))))).alias("q"))
     return pages.select("l_orderkey", F.transform("r", lambda x: x.b).alias("r"), F.transform("q", lambda x: x.b).alias("q")).withColumn("scores", F.transform("q", lambda b: b.score))
 
 

@@ -170,6 +170,18 @@ def test_matching_in_rows_equals_the_fold(spark):
     assert matching.match_boxes(r.limit(0), h, ["page"]).count() == 0
 
 
+def test_narrow_pages_meet_without_cells_and_wide_ones_by_cells(spark, monkeypatch):
+    rnd = random.Random(12)
+    pages = [(boxes(rnd, rnd.randrange(25), 60), boxes(rnd, rnd.randrange(25), 60)) for _ in range(20)] + [(boxes(rnd, 30, 60), []), ([], boxes(rnd, 30, 60))]
+    r, h = as_rows(spark, [p[0] for p in pages]), as_rows(spark, [p[1] for p in pages])
+    want = sorted(map(tuple, matching._in_rounds(r, h, ["page"], 0.1).collect()), key=lambda x: x[:2])
+    monkeypatch.setattr(matching, "FEW_PAIRS", 20)
+    assert sorted(map(tuple, matching.match_boxes(r, h, ["page"]).collect()), key=lambda x: x[:2]) == want
+    monkeypatch.setattr(matching, "FEW_PAIRS", 625)
+    monkeypatch.setattr(matching, "overlapping", None)
+    assert sorted(map(tuple, matching.match_boxes(r, h, ["page"]).collect()), key=lambda x: x[:2]) == want
+
+
 def test_a_page_of_100_000_boxes(spark):
     rnd = random.Random(9)
     n, side = 100_000, 10_000
