@@ -51,11 +51,13 @@ INVOICE_FIELDS = [
 
 @dataclass(frozen=True)
 class Corpus:
-    """manifest: as contracts.manifest_pages; truth: document_id, page_id, truth; extractions or None."""
+    """manifest: as contracts.manifest_pages; truth: document_id, page_id, truth; extractions or None; named: the extractions' fields
+    as rows (document_id, field_name, value, value_type) without their boxes, confidence and provenance, or None."""
 
     manifest: DataFrame
     truth: DataFrame
     extractions: DataFrame | None = None
+    named: DataFrame | None = None
 
 
 def script_of(category: Column) -> Column:
@@ -189,7 +191,9 @@ def invoices(rows: DataFrame, given: Column, checks: Column) -> Corpus:
     extractions = rows.select(*[c.cast(kinds[n]).alias(n) for n, c in parts.items()])  # columns, so that a query computes only its own
     tag = script_of(F.col("category"))
     blocks = F.transform(fields, lambda f, i: _block(F.concat(F.col("page_id"), F.lit("-b"), i), F.lit("paragraph"), i, F.array(_line(F.concat(F.col("page_id"), F.lit("-l"), i), F.concat(f.field_name, F.lit(": "), f.value), tag, f.bbox))))
-    return replace(_corpus(rows, blocks), extractions=extractions)
+    # an explode takes whole elements, so rows of names and values are not taken from the extractions
+    named = rows.select("document_id", F.explode(given).alias("g")).select("document_id", F.col("g")["name"].alias("field_name"), F.col("g")["value"].alias("value"), F.col("g")["kind"].alias("value_type"))
+    return replace(_corpus(rows, blocks), extractions=extractions, named=named)
 
 
 def with_assets(corpus: Corpus, assets: DataFrame, revision_tag: str = "image") -> Corpus:
@@ -201,7 +205,7 @@ def with_assets(corpus: Corpus, assets: DataFrame, revision_tag: str = "image")
     manifest = corpus.manifest.join(new, ["document_id", "page_id"]).withColumns({"checksum": F.col("_c"), "width": F.col("_w"), "height": F.col("_h"), "source_kind": F.lit("image"), "tags": F.array_distinct(F.array_append("tags", F.lit(revision_tag)))}).drop("_c", "_w", "_h")
     page = F.col("truth").withField("checksum", F.col("_c")).withField("width", F.col("_w")).withField("height", F.col("_h"))
     truth = corpus.truth.join(new, ["document_id", "page_id"]).select("document_id", "page_id", page.alias("truth"))
-    return Corpus(manifest, truth, corpus.extractions)
+    return Corpus(manifest, truth, corpus.extractions, corpus.named)
 
 
 def image_checksums(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:

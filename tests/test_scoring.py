@@ -322,3 +322,11 @@ def test_streamed_status(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.status: r["count"] for r in spark.table("status").collect()} == {"success": 1, "crashed": 1}
+
+
+def test_named_fields_are_those_of_the_extractions(spark):
+    corpus = generate.invoice_corpus(spark, 2)
+    want = corpus.extractions.select("document_id", F.explode("fields").alias("f")).select("document_id", "f.field_name", "f.value", "f.value_type")
+    assert corpus.named.columns == want.columns and sorted(corpus.named.collect()) == sorted(want.collect())
+    plan = corpus.named._jdf.queryExecution().optimizedPlan().toString()
+    assert "provenance" not in plan and "bbox" not in plan
