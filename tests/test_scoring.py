@@ -330,3 +330,14 @@ def test_named_fields_are_those_of_the_extractions(spark):
     assert corpus.named.columns == want.columns and sorted(corpus.named.collect()) == sorted(want.collect())
     plan = corpus.named._jdf.queryExecution().optimizedPlan().toString()
     assert "provenance" not in plan and "bbox" not in plan
+
+
+@pytest.mark.parametrize("kind", ["ground-truth", "prediction"])
+def test_rules_find_the_same_without_what_they_do_not_read(spark, kind):
+    from folioscore.plans import artifact_queries as made
+
+    texts = [r.value for r in made.texts(spark, "/root/testdata/sf0.001", kind, made.RULE_FAULTS[kind]).limit(60).collect()]
+    raw = spark.createDataFrame([(x,) for x in texts], "value string")
+    found = [C.artifact_violations(raw.select(F.from_json("value", schema).alias("a")).select("a.*"), kind) for schema in (S.schema_of(kind), C.rule_schema(kind))]
+    assert sorted(found[0].collect()) == sorted(found[1].collect()) and found[0].count() > 10
+    assert len(C.rule_schema(kind).json()) < 0.7 * len(S.schema_of(kind).json())
