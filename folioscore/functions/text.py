@@ -6,9 +6,11 @@ All are column expressions; only Unicode NFC has no built-in and goes through an
 from __future__ import annotations
 
 import functools
+import math
 import sys
 import unicodedata
 from collections import Counter
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -21,6 +23,10 @@ from ..session import ship_package
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 #: Sequences of more items are interned in Python: the expression's look-ups grow with length x distinct items.
 MAX_INTERNED = 4_096
+#: A character for each item: from U+0100 on, all below the surrogates.
+_ALPHABET = "".join(map(chr, range(256, 256 + 2 * MAX_INTERNED)))
+#: Texts of more bytes are compared in Python.
+SHORT = 64
 #: Distances up to these are looked for in a band of so many cells on either side of the table's diagonal.
 BANDS = (16, 64, 256, 1_024)
 
@@ -44,8 +50,8 @@ def _nfc_nested(texts: pa.Array) -> pa.Array:
 _nfc_nested = _nfc_nested.asNondeterministic()
 
 
-def _python(column: Column) -> Column:
-    """A column that runs this module's Python: the active session's workers get the package."""
+def on_workers(column: Column) -> Column:
+    """A column that runs this package's Python: the active session's workers get the package."""
     if spark := SparkSession.getActiveSession():
         ship_package(spark)
     return column
@@ -57,15 +63,19 @@ def _line_ends(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """NFC with all line ends as \\n; case, marks, digits and direction marks stay."""
-    return _line_ends(_python(_nfc_text(text)))
+    return _line_ends(on_workers(_nfc_text(text)))
 
 
 def nfc_nested(texts: Column) -> Column:
     """NFC over an array of arrays, in one call: select it as a column of its own before using it.
 
-    Texts joined by line ends may be composed one by one: nothing composes across a line end.
+    Texts joined by line ends may be composed one by one: nothing composes across a line end. Only rows with a character
+    from U+0300 on go to Python: texts without one are composed as they are.
     """
-    return _python(_nfc_nested(texts))
+    # the count of bytes tells ASCII without a regular expression
+    other = lambda x: (F.octet_length(x) > F.char_length(x)) & x.rlike(r"[^\x{0}-\x{2ff}]")
+    open_ = F.exists(texts, lambda t: F.coalesce(F.exists(t, other), F.lit(False)))
+    return F.coalesce(on_workers(_nfc_nested(F.when(open_, texts))), texts)
 
 
 def line_ends(text: Column) -> Column:
@@ -86,7 +96,8 @@ def _digit_table() -> tuple[str, str]:
 
 def digits(text: Column) -> Column:
     """The decimal digits of a text, as ASCII, in order."""
-    return F.regexp_replace(F.translate(text, *_digit_table()), "[^0-9]", "")
+    # other digits are looked up letter by letter, and only in texts that may have any
+    return F.regexp_replace(F.when(F.octet_length(text) > F.char_length(text), F.translate(text, *_digit_table())).otherwise(text), "[^0-9]+", "")
 
 
 def has_digit(text: Column) -> Column:
@@ -99,16 +110,48 @@ def digit_exact(reference: Column, hypothesis: Column) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two long texts: like texts, as most are, take length x band, not length x length."""
+    """Levenshtein distance of two texts: short ones here, others in Python. Not for use within a lambda function."""
+    # levenshtein walks one whole text for each character of the other, within a band as well
+    long = (a != b) & (F.greatest(F.octet_length(a), F.octet_length(b)) > SHORT)
+    return F.when(a == b, 0).otherwise(F.coalesce(on_workers(_text_distance(F.when(long, a), F.when(long, b))), F.when(~long, F.levenshtein(a, b))))
+
+
+def _banded(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two texts that are no arguments for Python: bands are tried first."""
     # beyond its band levenshtein is -1, and get null: each band is tried once, and only after those before it
     near = [F.get(F.sequence(F.lit(0), F.lit(band)), F.levenshtein(a, b, band)) for band in BANDS]
     return F.when(a == b, 0).otherwise(F.coalesce(*near, F.levenshtein(a, b)))
 
 
-def edits(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, a column at a time as bits of whole numbers (Hyyrö 2003).
-
-    A column of the table is two numbers with a bit for each item of a (the steps up and down it), so an item of b costs
+def near_edits(a: Sequence, b: Sequence, most: int) -> int | None:
+    """Levenshtein distance of two sequences if it is at most ``most``: how far each diagonal gets with so many edits (Ukkonen 1985)."""
+    n, m = len(a), len(b)
+    none = -2  # a diagonal not reached
+    far: dict[int, int] = {}
+    for e in range(most + 1):
+        now = {}
+        for k in range(-min(e, n), min(e, m) + 1):
+            # an item replaced, inserted or deleted; the diagonal k holds the places i of a, i + k of b
+            i = max(far.get(k, none) + 1, far.get(k - 1, none), far.get(k + 1, none) + 1) if e else 0
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            j = i + k
+            while i + 16 <= n and a[i : i + 16] == b[j : j + 16]:
+                i, j = i + 16, j + 16
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            if i == n and j == m:
+                return e
+            now[k] = i
+        far = now
+    return None
+
+
+def edits(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences: like ones by near_edits, others a column at a time as bits of whole numbers (Hyyrö 2003).
+
+    near_edits takes up to edits x edits steps, so it is given the root of the lengths. A column of the table is two numbers with a bit for each item of a (the steps up and down it), so an item of b costs
     a dozen operations on numbers of len(a) bits, whatever the distance.
     """
     low, high = 0, min(len(a), len(b))
@@ -120,6 +163,8 @@ def edits(a: list, b: list) -> int:
     a, b = a[low : len(a) - end], b[low : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
+    if (near := near_edits(a, b, math.isqrt(len(a) + len(b)))) is not None:
+        return near
     places: dict = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
@@ -160,6 +205,16 @@ def edits(a: list, b: list) -> int:
     return distance
 
 
+@F.arrow_udf(IntegerType())
+def _text_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Edit distance of long texts (null where the expression does it)."""
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else edits(x, y) for x, y in pairs], pa.int32())
+
+
+_text_distance = _text_distance.asNondeterministic()  # as _nfc_nested
+
+
 @F.arrow_udf(IntegerType())
 def _long_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance of long sequences (null where the expression does it)."""
@@ -173,14 +228,13 @@ def sequence_distance(a: Column, b: Column) -> Column:
     both = F.struct(F.array_distinct(F.concat(a, b)).alias("known"), a.alias("a"), b.alias("b"))
 
     def coded(known: Column, items: Column) -> Column:
-        # from U+0100 on; at most 2 x MAX_INTERNED characters, so below the surrogates
-        code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 255), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(items, code), "")
+        return F.array_join(F.transform(items, lambda t: F.substring(F.lit(_ALPHABET), F.array_position(known, t).cast("int"), 1)), "")
 
     # lets: the lambda functions get the arrays and the coded texts as arguments and compute them once
     texts = F.transform(F.array(both), lambda s: F.struct(coded(s.known, s.a).alias("a"), coded(s.known, s.b).alias("b")))
-    exact = F.when(short, F.get(F.transform(texts, lambda s: distance(s.a, s.b)), 0))
-    return F.coalesce(exact, _python(_long_distance(F.when(~short, a), F.when(~short, b))))
+    exact = F.when(a == b, 0).when(short, F.get(F.transform(texts, lambda s: _banded(s.a, s.b)), 0))
+    long = ~short & (a != b)
+    return F.coalesce(exact, on_workers(_long_distance(F.when(long, a), F.when(long, b))))
 
 
 def similarity(edits: Column, a: Column, b: Column) -> Column:

@@ -178,3 +178,21 @@ def test_block_text_rules(spark):
     rows = [(("", [("a",), ("b",)]),), ((None, [("a",)]),), (("e", []),)]
     got = spark.createDataFrame(rows, f"b {block}").select(geo.block_text(F.col("b")), geo.block_text(F.col("b"), True)).collect()
     assert [tuple(g) for g in got] == [("a\nb", ""), ("a", "a"), ("e", "e")]
+
+
+def test_like_texts_are_compared_by_diagonals():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40)))
+        b = "".join(rnd.choice("abc") if rnd.random() < 0.1 else c * rnd.choice([1, 1, 1, 1, 0, 2]) for c in a)
+        want = plain_distance(a, b)
+        assert txt.edits(a, b) == want
+        assert [txt.near_edits(a, b, most) for most in (want - 1, want, want + 3)] == [None, want, want]
+
+
+def test_texts_that_are_composed_as_they_are_do_not_reach_python(spark):
+    assert all(unicodedata.normalize("NFC", chr(c)) == chr(c) for c in range(0x300))
+    texts = [[["plain", None, "caf\u00e9"]], [["e\u0301", "plain"], None], None]
+    got = spark.createDataFrame([(t,) for t in texts], "t array<array<string>>").select(txt.nfc_nested(F.col("t")).alias("n"))
+    assert [g.n for g in got.collect()] == [texts[0], [["\u00e9", "plain"], None], None]
+    assert "_nfc_nested(CASE WHEN" in got._jdf.queryExecution().optimizedPlan().toString()
