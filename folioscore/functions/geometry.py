@@ -1,18 +1,27 @@
 """Boxes and blocks of a page: overlap, greedy matching, layout, tables, equations, diagrams, reading order.
 
 A box is a struct of x, y, width, height; a block has block_id, block_type, bbox, reading_order_index and more.
-Matching is a fold over arrays inside a page: no shuffle, no Python.
+Matching stays inside a page: no shuffle. A batch of pages is matched at once, in numpy.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from .text import order_score
+from .text import on_workers, order_score
 
 MINIMUM_IOU = 0.1
 DIAGRAMS = ("diagram", "figure")
+MATCHES = ArrayType(StructType().add("h", IntegerType()).add("iou", DoubleType()))
+#: Hypothesis boxes compared at a time (a page with more goes alone): bounds a worker's memory.
+MAX_BOXES = 65_536
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -28,29 +37,80 @@ def greedy_match(reference: Column, hypothesis: Column, minimum_iou: float = MIN
     """For each reference box in turn, the unused hypothesis box of the largest overlap (ties: the first).
 
     An array as long as the reference of (h: its position or null, iou). Below minimum_iou a reference stays
-    unmatched and the candidate free.
+    unmatched and the candidate free. Python: not for use within a lambda function (see also ordered_boxes).
     """
     if not 0 <= minimum_iou <= 1:
         raise ValueError("minimum_iou must be within 0 and 1")
-    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), lambda s: _greedy(s.r, s.h, minimum_iou))
-
-
-def _greedy(reference: Column, hypothesis: Column, minimum_iou: float) -> Column:
-    places = F.when(F.size(hypothesis) > 0, F.sequence(F.lit(0), F.size(hypothesis) - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<h: int, iou: double>>").alias("out"))
-
-    def take(state: Column, box: Column) -> Column:
-        open_ = F.filter(places, lambda j: ~F.array_contains(state.used, j))
-        best = F.array_max(F.transform(open_, lambda j: F.struct(iou(box, F.get(hypothesis, j)).alias("iou"), (-j).alias("back"))))
-        hit = F.coalesce(best.iou >= minimum_iou, F.lit(False))
-        # a let, so that the best candidate is sought once
-        found = F.transform(F.array(F.when(hit, F.struct((-best.back).alias("h"), best.iou.alias("iou")))), lambda m: F.struct(
-            F.when(m.isNotNull(), F.array_append(state.used, m.h)).otherwise(state.used).alias("used"),
-            F.array_append(state.out, F.struct(m.h.alias("h"), F.coalesce(m.iou, F.lit(0.0)).alias("iou"))).alias("out"),
-        ))
-        return F.get(found, 0)
-
-    return F.aggregate(reference, start.cast("struct<used: array<int>, out: array<struct<h: int, iou: double>>>"), take, lambda s: s.out)
+    return on_workers(_matcher(float(minimum_iou))(_numbers(reference), _numbers(hypothesis)))
+
+
+def _numbers(boxes: Column) -> Column:
+    """x, y, width and height of each box in turn: one flat array, since each nested field costs a vector a row on the way to Python."""
+    return F.flatten(F.transform(boxes, lambda b: F.array(*[b[name].cast("double") for name in ("x", "y", "width", "height")])))
+
+
+def _sides(pages: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Boxes of each page (0 if null), where they start, and x, y, width, height of all, nan for null."""
+    sizes = pc.fill_null(pc.list_value_length(pages), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    flat = pages.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 4)
+    return sizes, np.cumsum(sizes) - sizes, list(np.ascontiguousarray(flat.T))
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """iou, position by position; 0 where it is no number."""
+    (ax, ay, aw, ah), (bx, by, bw, bh) = a, b
+    both = np.fmax(0.0, np.fmin(ax + aw, bx + bw) - np.fmax(ax, bx)) * np.fmax(0.0, np.fmin(ay + ah, by + bh) - np.fmax(ay, by))
+    union = aw * ah + bw * bh - both
+    found = np.zeros(len(both))
+    np.divide(both, union, out=found, where=union > 0)
+    found[np.isnan(found)] = 0.0
+    return found
+
+
+def match_pages(reference: pa.Array, hypothesis: pa.Array, minimum_iou: float) -> pa.Array:
+    """greedy_match of a batch of pages (the four numbers of each box in turn): the first references of all pages at once, then the second ones, and so on."""
+    r_sizes, r_starts, r = _sides(reference)
+    h_sizes, h_starts, h = _sides(hypothesis)
+    partner, overlap = np.full(len(r[0]), -1, np.int32), np.zeros(len(r[0]))
+    used = np.zeros(len(h[0]), bool)
+    matchable = np.flatnonzero((r_sizes > 0) & (h_sizes > 0))
+    slices = np.split(matchable, np.flatnonzero(np.diff(np.cumsum(h_sizes[matchable]) // MAX_BOXES)) + 1)
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        for pages in slices:
+            k = kept = 0
+            while len(pages := pages[r_sizes[pages] > k]):
+                if kept != len(pages):  # all boxes of these pages, page after page
+                    kept, counts = len(pages), h_sizes[pages]
+                    begins = np.cumsum(counts) - counts
+                    own = np.repeat(np.arange(kept), counts)
+                    at = np.arange(len(own)) + (h_starts[pages] - begins)[own]
+                    candidates = [v[at] for v in h]
+                box = r_starts[pages] + k
+                found = _overlaps([v[box][own] for v in r], candidates)
+                found[used[at]] = -1.0
+                best = np.maximum.reduceat(found, begins)
+                tops = np.flatnonzero(found == best[own])
+                first = tops[np.flatnonzero(np.diff(own[tops], prepend=-1))]
+                hit = best >= minimum_iou
+                taken = at[first[hit]]
+                used[taken] = True
+                partner[box[hit]] = taken - h_starts[pages[hit]]
+                overlap[box[hit]] = best[hit]
+                k += 1
+    rows = pa.StructArray.from_arrays([pa.array(partner, pa.int32(), mask=partner < 0), pa.array(overlap)], ["h", "iou"])
+    offsets = np.append(r_starts, len(partner)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=reference.is_null())
+
+
+@functools.cache
+def _matcher(minimum_iou: float):
+    @F.arrow_udf(MATCHES)
+    def matches(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+        return match_pages(reference, hypothesis, minimum_iou)
+
+    # Declared non-deterministic so that the optimizer computes it once, as a column, and never moves it into a lambda
+    # function, where no Python runs.
+    return matches.asNondeterministic()
 
 
 def boxes(blocks: Column) -> Column:
@@ -127,7 +187,7 @@ def in_reading_order(items: Column) -> Column:
     """Sorted by reading_order_index, ties in array order. Only keys are sorted: items may hold what has no order."""
 
     def sort(own: Column) -> Column:
-        keys = F.array_sort(F.transform(own, lambda b, i: F.struct(b.reading_order_index.alias("k"), i.alias("i"))))
+        keys = F.sort_array(F.transform(own, lambda b, i: F.struct(b.reading_order_index.alias("k"), i.alias("i"))))
         return F.transform(keys, lambda k: F.get(own, k.i))
 
     return let(items, sort)
@@ -138,26 +198,35 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
+def ordered_boxes(blocks: Column) -> Column:
+    """(id, bbox) of the blocks in reading order.
+
+    No lambda function here uses another's variable: from a Python function's argument with such a one Spark can't
+    extract the function ("Cannot evaluate expression").
+    """
+    keyed = F.transform(blocks, lambda b, i: F.struct(b.reading_order_index.alias("k"), i.alias("i"), b.block_id.alias("id"), b.bbox.alias("bbox")))
+    return F.transform(F.sort_array(keyed), lambda b: F.struct(b.id.alias("id"), b.bbox.alias("bbox")))
+
+
 def comparable_orders(reference: Column, hypothesis: Column) -> Column:
     """(reference, hypothesis): block ids in reading order, hypothesis ids replaced by those of their partners."""
+    r, h = ordered_boxes(reference), ordered_boxes(hypothesis)
+    return partner_orders(r, h, greedy_match(boxes(r), boxes(h)))
 
-    def lean(items: Column) -> Column:
-        return F.transform(items, lambda b: F.struct(b.block_id.alias("id"), b.bbox.alias("bbox")))
 
-    def paired(s: Column) -> Column:
-        """The partners' ids, (h, r), the last match first: of equal hypothesis ids it counts."""
-        def pairs(m: Column) -> Column:
-            ids = F.transform(m, lambda x, i: F.struct(F.get(s.h, x.h).id.alias("h"), F.get(s.r, i).id.alias("r")))
-            return F.reverse(F.filter(ids, lambda p: p.h.isNotNull()))
+def partner_orders(reference: Column, hypothesis: Column, matches: Column) -> Column:
+    """comparable_orders from ordered_boxes of both sides and their matching."""
 
-        return let(greedy_match(boxes(s.r), boxes(s.h)), pairs)
+    def pairs(s: Column) -> Column:
+        """The partners' ids, (h, r), the last match first: of equal hypothesis ids it counts."""
+        ids = F.transform(s.m, lambda x, i: F.struct(F.get(s.h, x.h).id.alias("h"), F.get(s.r, i).id.alias("r")))
+        return F.reverse(F.filter(ids, lambda p: p.h.isNotNull()))
 
-    def mapped(s: Column, pairs: Column) -> Column:
-        own = F.transform(s.h, lambda b, i: F.coalesce(F.get(F.filter(pairs, lambda p: p.h == b.id), 0).r, F.concat(F.lit("unmatched:"), i.cast("string"))))
+    def mapped(s: Column, known: Column) -> Column:
+        own = F.transform(s.h, lambda b, i: F.coalesce(F.get(F.filter(known, lambda p: p.h == b.id), 0).r, F.concat(F.lit("unmatched:"), i.cast("string"))))
         return F.struct(F.transform(s.r, lambda b: b.id).alias("reference"), own.alias("hypothesis"))
 
-    sides = F.struct(lean(in_reading_order(reference)).alias("r"), lean(in_reading_order(hypothesis)).alias("h"))
-    return let(sides, lambda s: let(paired(s), lambda pairs: mapped(s, pairs)))
+    return let(F.struct(reference.alias("r"), hypothesis.alias("h"), matches.alias("m")), lambda s: let(pairs(s), lambda known: mapped(s, known)))
 
 
 def reading_order_score(orders: Column) -> Column:

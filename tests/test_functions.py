@@ -180,6 +180,21 @@ def test_block_text_rules(spark):
     assert [tuple(g) for g in got] == [("a\nb", ""), ("a", "a"), ("e", "e")]
 
 
+@pytest.mark.parametrize("limit", [3, 65_536])
+def test_batches_of_pages_are_matched_like_single_pages(monkeypatch, limit):
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(geo, "MAX_BOXES", limit)
+    rnd = random.Random(5)
+    page = lambda: None if rnd.random() < 0.05 else [(float(rnd.randint(0, 6)), float(rnd.randint(0, 3)), float(rnd.randint(0, 4)), float(rnd.randint(0, 4))) for _ in range(rnd.choice([0, 1, 2, 5, 12]))]
+    flat = lambda pages: pa.array([None if p is None else [v for b in p for v in b] for p in pages], pa.list_(pa.float64()))
+    r, h = [page() for _ in range(300)], [page() for _ in range(300)]
+    for least in (0.0, 0.1, 1.0):
+        got = geo.match_pages(flat(r), flat(h), least).slice(7).to_pylist()
+        for m, x, y in list(zip(got, r[7:], h[7:], strict=True)):
+            assert m is None if x is None else [(v["h"], pytest.approx(v["iou"])) for v in m] == plain_greedy(x, y or [], least)
+    assert len(geo.match_pages(flat([]), flat([]), 0.1)) == 0
+
+
 def test_like_texts_are_compared_by_diagonals():
     rnd = random.Random(6)
     for _ in range(300):
@@ -190,6 +205,14 @@ def test_like_texts_are_compared_by_diagonals():
         assert [txt.near_edits(a, b, most) for most in (want - 1, want, want + 3)] == [None, want, want]
 
 
+def test_matching_and_long_texts_leave_the_interpreted_plan(spark):
+    block = f"array<struct<block_id: string, bbox: {BOX}, reading_order_index: int>>"
+    rows = spark.createDataFrame([([], [], "a", "b")], f"r {block}, h {block}, a string, b string")
+    for column, name in ((geo.comparable_orders(F.col("r"), F.col("h")), "matches"), (txt.distance(F.col("a"), F.col("b")), "_text_distance")):
+        plan = rows.select(column.alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+        assert f"ArrowEvalPython [{name}(" in plan
+
+
 def test_texts_that_are_composed_as_they_are_do_not_reach_python(spark):
     assert all(unicodedata.normalize("NFC", chr(c)) == chr(c) for c in range(0x300))
     texts = [[["plain", None, "caf\u00e9"]], [["e\u0301", "plain"], None], None]
