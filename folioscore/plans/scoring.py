@@ -107,7 +107,7 @@ def _with_texts(pages: DataFrame, side: str, blocks: Column) -> DataFrame:
     """{side}_blocks, lean and composed, {side}_text, and texts of blocks and equations, normalised."""
     raw = F.transform(blocks, lambda b: F.concat(F.array(b.equation_text), F.transform(F.coalesce(b.lines, F.array()), lambda x: x.normalized_text)))
     own = F.col(f"{side}_blocks")
-    rows = pages.withColumn(f"{side}_nfc", txt.nfc_nested(raw))
+    rows = pages.withColumn(f"{side}_raw", raw).withColumn(f"{side}_nfc", txt.nfc_nested(F.col(f"{side}_raw"))).drop(f"{side}_raw")
     return rows.withColumn(f"{side}_blocks", _lean(blocks, F.col(f"{side}_nfc"))).withColumns({
         f"{side}_text": txt.line_ends(geo.page_text(own)),
         f"{side}_block_texts": F.transform(own, lambda b: txt.line_ends(geo.block_text(b))),
@@ -134,20 +134,29 @@ def page_observations(scored: DataFrame) -> DataFrame:
         txt.distance(rt, ht).alias("d_chars"),
         txt.words(rt).alias("r_words"),
         txt.words(ht).alias("h_words"),
-        geo.comparable_orders(r, h).alias("orders"),
-        geo.greedy_match(geo.boxes(r), geo.boxes(h)).alias("matches"),
+        geo.ordered_boxes(r).alias("r_order"),
+        geo.ordered_boxes(h).alias("h_order"),
         F.filter(r, lambda b: (b.block_type == "table") & b.table.isNotNull()).alias("r_tables"),
         geo.of_types(h, "table").alias("h_tables"),
-        geo.diagram_counts(r, h).alias("diagrams"),
         _equations("r").alias("r_equations"),
         _equations("h").alias("h_equations"),
     )
+    # all matching in one projection: Python gets a batch of pages once
+    r_order, h_order = F.col("r_order"), F.col("h_order")
+    pages = pages.select(
+        "*",
+        geo.greedy_match(geo.boxes(r), geo.boxes(h)).alias("matches"),
+        geo.partner_orders(r_order, h_order, geo.greedy_match(geo.boxes(r_order), geo.boxes(h_order))).alias("orders"),
+        geo.diagram_counts(r, h).alias("diagrams"),
+        geo.equation_page_score(F.col("r_equations"), F.col("h_equations")).alias("equations"),
+        geo.table_page_score(F.col("r_tables"), F.col("h_tables")).alias("tables"),
+    ).drop("r_order", "h_order")
     # of equal hypothesis ids the last match counts for all of them
     pairs = F.transform(F.filter(F.transform(F.col("matches"), lambda m, i: F.struct(i.alias("r"), m.h.alias("h"), m.iou.alias("iou"))), lambda m: m.h.isNotNull()), lambda m: F.struct(m.r.alias("r"), m.iou.alias("iou"), F.get(h, m.h).block_id.alias("id")))
-    pages = pages.withColumn("pairs", pairs)
+    pages = pages.withColumn("pairs", F.reverse(pairs))
 
     def outcome(b: Column, i: Column) -> Column:
-        m = F.get(F.filter(F.reverse("pairs"), lambda p: p.id == b.block_id), 0)
+        m = F.get(F.filter("pairs", lambda p: p.id == b.block_id), 0)
         right = (m.iou >= 0.5) & (F.get(r, m.r).block_type == b.block_type) & (F.get("r_block_texts", m.r) == F.get("h_block_texts", i))
         return F.coalesce(right, F.lit(False)).cast("int")
 
@@ -159,8 +168,6 @@ def page_observations(scored: DataFrame) -> DataFrame:
         F.transform(h, outcome).alias("outcomes"),
         F.transform(h, lambda b: b.score).alias("scores"),
         F.size(F.array_distinct(F.transform("pairs", lambda p: p.id))).alias("known_ids"),
-        geo.equation_page_score(F.col("r_equations"), F.col("h_equations")).alias("equations"),
-        geo.table_page_score(F.col("r_tables"), F.col("h_tables")).alias("tables"),
     )
     pages = pages.select(
         "*",

@@ -280,3 +280,13 @@ def test_workers_get_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert "shipped" in done.stdout, done.stderr[-3000:]
+
+
+def test_page_metrics_match_in_one_python_step(spark):
+    from folioscore.plans import queries
+    from folioscore.plans import scoring as sc
+
+    scored = sc.Scored(*queries._mixed_pages(spark, "/root/testdata/sf0.001"))
+    plan = scored.observations._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line for line in plan.split("\n") if "ArrowEvalPython [" in line and "matches(" in line.split("ArrowEvalPython [")[1].split("], [pythonUDF")[0]]
+    assert len(steps) == 1
