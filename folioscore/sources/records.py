@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from . import generate
 from . import schemas as S
 
-#: Ends a block within a text; in given texts it does so, too.
-END = "\x1e"
-_BLANK = r"^[\x20\x09-\x0D]*$"
+#: Ends a block while a text is cut; where a given text has it, it is written as ESC and a digit meanwhile, as is ESC.
+END, ESC = "\x1e", "\x1f"
+_BLANK = r"^[\x20\x09-\x0D]*\z"
 
 
 def blocks_of(text: Column) -> Column:
     """A text's blocks in order: lines with a bar that follow each other are one block, every other line is one; blank ones are none."""
-    cut = F.regexp_replace(text, r"\n(?=[^|\n]*(?:\n|\z))", END)  # the next line has no bar
+    marked = text.contains(END) | text.contains(ESC)
+    safe = F.when(marked, F.replace(F.replace(text, F.lit(ESC), F.lit(ESC + "1")), F.lit(END), F.lit(ESC + "0"))).otherwise(text)
+    cut = F.regexp_replace(safe, r"\n(?=[^|\n]*(?:\n|\z))", END)  # the next line has no bar
     cut = F.regexp_replace(cut, rf"(^|{END})([^|\n{END}]*)\n", f"$1$2{END}")  # this line has none
-    return F.filter(F.split(F.coalesce(cut, F.lit("")), END), lambda b: ~b.rlike(_BLANK))
+    blocks = F.filter(F.split(F.coalesce(cut, F.lit("")), END), lambda b: ~b.rlike(_BLANK))
+    return F.when(marked, F.transform(blocks, lambda b: F.replace(F.replace(b, F.lit(ESC + "0"), F.lit(END)), F.lit(ESC + "1"), F.lit(ESC)))).otherwise(blocks)
 
 
 def kind_of(block: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscore.plans import artifact_queries
 from folioscore.plans import report as R
 from folioscore.plans import scoring as sc
+from folioscore.plans.queries import SQL
 from folioscore.sources import adapters, generate, records, runner, shapes, shards
 from folioscore.sources import contracts as C
 from folioscore.sources import schemas as S
@@ -131,6 +132,20 @@ def test_pages_of_given_texts(spark):
     assert report["summary"]["scored_pages"] == 7 and report["metrics"]["cer"]["micro"] == 0 and report["metrics"]["table_structure_similarity"]["micro"] == 1
 
 
+def test_scenario_pages_equal_their_sql_in_types_and_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    texts = ["a\x1eb\n\x1f0|c\x1e|\n\x1e", "x\n\u2028\n \x85\ny=\u2029", "|", "", None, "# t\n\na|b\nc\n\x1f1="]
+    docs = [(i - 4, t, None if i == 1 else "" if i == 2 else "en") for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    said = duck.sql(SQL["scenario_pages"])
+    found = artifact_queries.scenario_pages(spark, str(tmp_path))
+    assert {n: t.upper() for n, t in found.dtypes} == {n: str(t).replace("VARCHAR", "STRING") for n, t in zip(said.columns, said.types, strict=True)}
+    assert sorted(map(repr, (tuple(r) for r in found.select(*said.columns).collect()))) == sorted(map(repr, said.fetchall()))
+
+
 def test_invoices_of_given_rows(spark):
     headers = spark.createDataFrame([("a", 0, "clean", "3.30", "A1"), ("b", 1, "skewed", None, None), ("c", 2, "clean", "9.00", "C1")], "document_id string, doc_pos int, quality string, stated string, number string").withColumn("stated", F.col("stated").cast("decimal(18,2)"))
     lines = spark.createDataFrame([("a", 2, "y", "1", "1.00", "1.00", "0.10"), ("a", 1, "x", "2", "1.00", "2.00", "0.20"), ("c", 1, "z", "1", "5.00", "5.00", "0.00"), ("c", 1, "z", "1", "5.00", "5.00", "0.00"), ("q", 1, "w", "1", "1.00", "1.00", "0.00")], "document_id string, position int, label string, quantity string, unit_price string, line_total string, line_tax string")
