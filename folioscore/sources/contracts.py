@@ -44,19 +44,28 @@ def read_artifact(spark: SparkSession, kind: str, path: str, strict: bool = True
     return raw.select(F.from_json("value", S.schema_of(kind)).alias("a")).select("a.*")
 
 
-#: Names that no rule reads at any place, though most of an artifact's text is theirs.
-UNRULED = frozenset(("raw_text", "normalized_text", "search_text", "equation_text", "language", "script", "direction", "alternatives", "warnings", "provenance", "annotation_provenance", "events", "calibrated", "method"))
+#: What V1 to V12 and the value rules read of the objects under a name ("" is the artifact itself); of other names' objects they may read all.
+RULED = {name: frozenset(names.split()) for name, names in {
+    "": "schema_version dataset_revision coordinate_system documents reference_sources samples document_extractions assets metrics",
+    "documents": "document_id split category checksum pages extractions", "reference_sources": "reference_id", "samples": "document_id page_id status page error runtime_ms peak_memory_mb", "error": "code",
+    "extractions": "document_id schema_name schema_version fields validations", "fields": "value_type confidence bbox", "validations": "status", "confidence": "score",
+    "pages": "page_id page_index checksum width height source_kind blocks reading_order", "blocks": "block_id block_type bbox reading_order_index confidence lines table",
+    "lines": "line_id spans", "spans": "span_id", "cells": "cell_id row_index column_index row_span column_span",
+}.items()}
+RULED |= {"page": RULED["pages"], "document_extractions": RULED["extractions"]}
 
 
 def rule_schema(kind: str) -> T.StructType:
-    """The schema of a kind without what V1 to V12 don't read: parsing skips that instead of building it."""
+    """The schema of a kind without what no rule reads: parsing skips that instead of building it."""
 
-    def ruled(x: T.DataType) -> T.DataType:
+    def ruled(x: T.DataType, name: str) -> T.DataType:
+        if isinstance(x, T.ArrayType):
+            return T.ArrayType(ruled(x.elementType, name), x.containsNull)
         if isinstance(x, T.StructType):
-            return T.StructType([T.StructField(f.name, ruled(f.dataType), f.nullable) for f in x if f.name not in UNRULED])
-        return T.ArrayType(ruled(x.elementType), x.containsNull) if isinstance(x, T.ArrayType) else x
+            return T.StructType([T.StructField(f.name, ruled(f.dataType, f.name), f.nullable) for f in x if f.name in RULED.get(name, x.names)])
+        return x
 
-    return ruled(S.schema_of(kind))
+    return ruled(S.schema_of(kind), "")
 
 
 def manifest_pages(manifest: DataFrame) -> DataFrame:
@@ -141,32 +150,38 @@ def reading_order_ok(page: Column) -> Column:
     return (F.size(F.array_distinct(page.reading_order)) == F.size(page.reading_order)) & (F.size(F.array_except(page.reading_order, known)) == 0)
 
 
-# A fault is (rule, key, message, once). Keys are lists of ids. Where ``once`` is true, the row only says that the key was given,
-# and it is a fault if another row says so as well.
+# A fault is (said, key): said is the place of its (rule, message, once) in a list, keys are lists of ids. Where ``once`` is true, the
+# row only says that the key was given, and it is a fault if another row says so as well. What holds gives null, which is dropped after
+# the lists of faults are exploded: what stands within a higher-order function (such as array_compact) is interpreted, not compiled.
 
-_FAULT = "array<struct<rule: string, key: array<string>, message: string, once: boolean>>"
+_FAULT = "array<struct<said: int, key: array<string>>>"
+_SAID: dict[tuple[str, str, bool], int] = {}
 
 
-def _fault(rule: str, key: Column, message: str | Column, once: bool = False) -> Column:
-    text = F.lit(message) if isinstance(message, str) else message
-    return F.struct(F.lit(rule).alias("rule"), key.cast("array<string>").alias("key"), text.alias("message"), F.lit(once).alias("once"))
+def _fault(rule: str, key: Column, message: str, once: bool = False) -> Column:
+    said = _SAID.setdefault((rule, message, once), len(_SAID))
+    return F.struct(F.lit(said).alias("said"), key.cast("array<string>").alias("key"))
+
+
+def _unless(ok: Column, fault: Column) -> Column:
+    """The fault, unless the condition holds (null counts as failed)."""
+    return F.when(~F.coalesce(ok, F.lit(False)), fault)
 
 
-def _values(key: Column, checks: dict[str, Column]) -> Column:
-    """A fault for each condition that doesn't hold (null counts as failed)."""
-    return F.array(*[F.when(~F.coalesce(ok, F.lit(False)), _fault("value", key, name)) for name, ok in checks.items()])
+def _values(key: Column, checks: dict[str, Column]) -> list[Column]:
+    return [_unless(ok, _fault("value", key, name)) for name, ok in checks.items()]
 
 
-def _rule(rule: str, key: Column, ok: Column, message: str) -> Column:
-    return F.array(F.when(~F.coalesce(ok, F.lit(False)), _fault(rule, key, message)))
+def _rule(rule: str, key: Column, ok: Column, message: str) -> list[Column]:
+    return [_unless(ok, _fault(rule, key, message))]
 
 
-def _given(rule: str, key: Column, message: str) -> Column:
-    return F.array(_fault(rule, key, message, True))
+def _given(rule: str, key: Column, message: str) -> list[Column]:
+    return [_fault(rule, key, message, True)]
 
 
-def _faults(*parts: Column, when: Column | None = None) -> Column:
-    found = F.array_compact(F.concat(*[part.cast(_FAULT) for part in parts]))
+def _faults(*parts: list[Column], when: Column | None = None) -> Column:
+    found = F.array(*[fault for part in parts for fault in part]).cast(_FAULT)
     return found if when is None else F.when(when, found).otherwise(F.array().cast(_FAULT))
 
 
@@ -226,14 +241,14 @@ def _head_faults(artifact: DataFrame, kind: str) -> Column:
     }
     if "coordinate_system" in artifact.columns:
         checks["coordinate_system"] = reduce(lambda a, b: a & b, [F.col(f"coordinate_system.{k}") == v for k, v in S.COORDINATES.items()])
-    parts = [_values(F.array(F.lit(kind)), checks)]
+    found = _faults(_values(F.array(F.lit(kind)), checks))
     if kind == "manifest":
         sources = F.coalesce("reference_sources", F.array())
-        parts.append(F.transform(sources, lambda r: _fault("V4", F.array(r.reference_id), "reference id given twice", True)))
-    elif kind == "report":
+        return F.concat(found, F.transform(sources, lambda r: _fault("V4", F.array(r.reference_id), "reference id given twice", True)).cast(_FAULT))
+    if kind == "report":
         sound = lambda m: (m.micro >= 0) & (m.macro >= 0) & (m.sample_count >= 0)
-        parts.append(F.transform(F.map_entries("metrics"), lambda e: F.when(~F.coalesce(sound(e.value), F.lit(False)), _fault("value", F.array(e.key), "metric"))))
-    return _faults(*parts)
+        return F.concat(found, F.coalesce(F.transform(F.map_entries("metrics"), lambda e: _unless(sound(e.value), _fault("value", F.array(e.key), "metric"))), F.array()).cast(_FAULT))
+    return found
 
 
 def _items(artifact: DataFrame, kind: str) -> DataFrame:
@@ -281,10 +296,11 @@ def artifact_violations(artifact: DataFrame, kind: str) -> DataFrame:
         parts += [_sample_faults(s), _page_faults(s.document_id, s.page), _extraction_faults(x), _faults(_given("V9", F.array(x.document_id, x.schema_name, x.schema_version), "extraction given twice"), when=x.isNotNull())]
     elif kind == "assets":
         parts.append(_asset_faults(F.col("asset")))
-    found = rows.select(F.explode(F.concat(*parts)).alias("f")).select("f.*")
-    counted = found.groupBy("rule", "key", "message", "once").count()
-    times = F.when(F.col("once"), (F.col("count") > 1).cast("int")).otherwise(F.col("count").cast("int"))
-    shown = counted.select("rule", F.lit(kind).alias("artifact"), F.concat_ws("/", "key").alias("key"), "message", F.explode(F.array_repeat(F.lit(1), times)).alias("_"))
+    found = rows.select(F.concat(*parts).alias("found")).select(F.explode_outer("found").alias("f")).where("f IS NOT NULL").select("f.*")
+    counted = found.groupBy("said", "key").count()
+    rule, message, once = (F.get(F.array(*map(F.lit, column)), F.col("said")) for column in zip(*_SAID, strict=True))
+    times = F.when(once, (F.col("count") > 1).cast("int")).otherwise(F.col("count").cast("int"))
+    shown = counted.select(rule.alias("rule"), F.lit(kind).alias("artifact"), F.concat_ws("/", "key").alias("key"), message.alias("message"), F.explode(F.array_repeat(F.lit(1), times)).alias("_"))
     return shown.drop("_")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import re
 import struct
 import sys
 import zlib
@@ -341,3 +342,20 @@ def test_rules_find_the_same_without_what_they_do_not_read(spark, kind):
     found = [C.artifact_violations(raw.select(F.from_json("value", schema).alias("a")).select("a.*"), kind) for schema in (S.schema_of(kind), C.rule_schema(kind))]
     assert sorted(found[0].collect()) == sorted(found[1].collect()) and found[0].count() > 10
     assert len(C.rule_schema(kind).json()) < 0.7 * len(S.schema_of(kind).json())
+
+
+@pytest.mark.parametrize("kind", ["manifest", "ground-truth", "prediction", "assets", "report"])
+def test_rules_are_compiled_and_read_only_their_names(spark, kind):
+    from folioscore.plans import artifact_queries as made
+
+    df = made.texts(spark, "/root/testdata/sf0.001", kind, []) if kind in made.RULE_FAULTS else spark.createDataFrame([("r", "{}")], "path string, value string")
+    assert kind == "report" or df.rdd.getNumPartitions() > 4  # of a table of one small file
+    typed = df.select(F.from_json("value", C.rule_schema(kind)).alias("a")).select("a.*")
+    found = C.artifact_violations(typed, kind)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # an array that a Generate or a higher-order function makes of the rules would be interpreted
+    assert "explode(found#" in plan and "knownnotcontainsnull" not in plan.lower() and "filter(concat" not in plan
+    keys = [x for x in plan.splitlines() if "Aggregate [" in x]
+    assert keys and all("message" not in x for x in keys)
+    assert not {"source", "search_text", "notes", "calibrated"} & set(re.findall(r'"name":"(\w+)"', C.rule_schema(kind).json()))
+    assert kind != "report" or {r.message for r in found.collect()} == {"schema_version", "dataset_revision", "coordinate_system"}  # though there are no metrics
